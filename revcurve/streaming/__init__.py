@@ -1,0 +1,7 @@
+"""Streaming is out of scope.
+
+The analytics this package reproduces are batch models over a finished sales table: no
+watermarks, event-time windows or state stores appear anywhere in them. The package therefore
+ships no streaming operators. A micro-batch deployment can call the batch models from
+``foreachBatch`` on each new partition of sales data; nothing here needs to change for that.
+"""
