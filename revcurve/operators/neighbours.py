@@ -14,9 +14,12 @@ data. This operator computes the same values without that bound:
    its ``lag`` from the last row of the previous non-empty partition when that row belongs to
    the same group; ``lead`` and the running count are patched the same way.
 
-The partition id is read after the range exchange. The exchange's partitioner is fixed once
-per query, so a recomputed task puts each row into the same partition again, and the result
-does not depend on task retries.
+The local result (rows, partition id, local values) is materialised once with a reliable
+``checkpoint()`` into the session's ``spark.checkpoint.dir`` before the summary is taken.
+Range bounds come from sampling, and two evaluations of the same range exchange may sample
+differently; reading one checkpoint guarantees that the summary and the rows it patches see
+the same partitioning. It also cuts the lineage, so a lost executor re-reads the checkpoint
+instead of re-running the upstream shuffles.
 
 Ties in ``order`` are broken arbitrarily, as in a window; callers pass an ``order`` that is
 unique per row or accept that equal rows are interchangeable.
@@ -29,6 +32,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from revcurve.plans.session import ensure_checkpoint_dir
+
 
 def _struct_of(prefix: str, names: Sequence[str]) -> Column:
     return F.struct(*[F.col(f"{prefix}.{n}").alias(n) for n in names])
@@ -85,7 +90,8 @@ def ordered_neighbours(
                 F.lit(0).cast("bigint"),
             ).alias("_nb_before")
         )
-    local = ranged.select("*", *local_cols)
+    ensure_checkpoint_dir(spark)
+    local = ranged.select("*", *local_cols).checkpoint(eager=True)
 
     # One row per non-empty partition: its first and last row (min / max over the key).
     lead_src = sorted(set(lead.values()) - set(keys))

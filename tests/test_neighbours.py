@@ -46,3 +46,18 @@ def test_row_count_without_weight(spark):
     w = Window.partitionBy("g").orderBy("o")
     exp = df.select("*", (F.row_number().over(w) - 1).cast("bigint").alias("rn"))
     assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
+
+
+def test_matches_window_when_sampling_is_partial(spark):
+    # Enough rows that the range exchange samples only part of each input partition.
+    df = spark.range(0, 400_000, numPartitions=8).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise((F.col("id") * 7919) % 1000).alias("g"),
+        ((F.col("id") * 104729) % 1_000_003).alias("o"),
+        (F.col("id") % 97).alias("v"),
+    )
+    got = ordered_neighbours(df, ["g"], ["o", "v"], lag={"pv": "v"}, lead={"nv": "v"},
+                             count_before="rn", num_partitions=16)
+    w = Window.partitionBy("g").orderBy("o", "v")
+    exp = df.select("*", F.lag("v").over(w).alias("pv"), F.lead("v").over(w).alias("nv"),
+                    (F.row_number().over(w) - 1).cast("bigint").alias("rn"))
+    assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
