@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from revcurve.operators import explore as E
 from revcurve.operators import profile as P
+from revcurve.operators import staging as T
 from revcurve.sources.testdata import sales_from_testdata
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,9 +67,33 @@ EXPLORE: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+def _dd(fn):
+    return lambda sales: fn(E.deduplicate(sales))
+
+
+STAGING: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "t01_dedup": E.deduplicate,
+    "t02_first_txn": _dd(T.first_new_customer_day),
+    "t03_invalid_first": _dd(T.invalid_first_entries),
+    "t04_status_anomaly": _dd(T.status_anomalies),
+    "t05_purchase_rank": _dd(T.purchase_rank),
+    "t06_repeat_npu": _dd(T.repeat_new_product_use),
+    "t07_drop_free_renewals": lambda s: T.clean_rows(s, ("t07",)),
+    "t08_anti_status": lambda s: T.clean_rows(s, ("t07", "t08")),
+    "t09_anti_repeat": lambda s: T.clean_rows(s, ("t07", "t09")),
+    "t10_anti_first": lambda s: T.clean_rows(s, ("t07", "t10")),
+    "t11_license_fix": lambda s: T.derived_column(s, "t11"),
+    "t12_discount_clamp": lambda s: T.derived_column(s, "t12"),
+    "t13_surcharge": lambda s: T.derived_column(s, "t13"),
+    "t14_total": lambda s: T.derived_column(s, "t14"),
+    "t15_discount_pct": lambda s: T.derived_column(s, "t15"),
+    "t16_staging": T.staging_model,
+}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
-    for table in (PROFILE, EXPLORE):
+    for table in (PROFILE, EXPLORE, STAGING):
         for name, fn in table.items():
             out[name] = _on_sales(fn)
     return out
