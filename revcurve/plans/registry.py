@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from revcurve.operators import explore as E
 from revcurve.operators import profile as P
 from revcurve.operators import staging as T
+from revcurve.operators import subscription as M
+from revcurve.operators import transitions as J
 from revcurve.sources.testdata import sales_from_testdata
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,9 +93,39 @@ STAGING: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+def _stg(fn):
+    return lambda sales: fn(T.staging_model(sales))
+
+
+TRANSITIONS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "j01_previous_product": _stg(J.previous_product),
+    "j02_paths": _stg(lambda s: J.paths(J.previous_product(s))),
+    "j03_transition_flag": _stg(lambda s: J.with_transition_flag(J.paths(J.previous_product(s)))),
+    "j04_path_fix": _stg(J.rewritten_paths),
+    "j05_transactional_mart": _stg(J.transactional_mart),
+}
+
+SUBSCRIPTION: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "m01_projection": _stg(M.projection),
+    "m02_neighbours": _stg(M.neighbour_view),
+    "m03_intervals": _stg(M.interval_view),
+    "m04_billing_interval": _stg(M.classified),
+    "m05_expand_yearly": _stg(lambda s: M.yearly_rows(M.classified(s))),
+    "m06_monthly_rows": _stg(lambda s: M.monthly_rows(M.classified(s))),
+    "m07_union": _stg(lambda s: M.combined_rows(M.classified(s))),
+    "m08_customer_month": _stg(lambda s: M.customer_month_view(s, "m08")),
+    "m09_is_new": _stg(lambda s: M.customer_month_view(s, "m09")),
+    "m10_previous_mrr": _stg(lambda s: M.customer_month_view(s, "m10")),
+    "m11_monthly": _stg(M.monthly_view),
+    "m11b_churned_direct": _stg(lambda s: M.monthly_view(s, direct_churn=True)),
+    "m12_month_over_month": _stg(M.month_over_month_view),
+    "m13_subscription_mart": _stg(M.subscription_mart),
+}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
-    for table in (PROFILE, EXPLORE, STAGING):
+    for table in (PROFILE, EXPLORE, STAGING, TRANSITIONS, SUBSCRIPTION):
         for name, fn in table.items():
             out[name] = _on_sales(fn)
     return out
