@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from revcurve.operators import dashboard as B
 from revcurve.operators import explore as E
 from revcurve.operators import profile as P
 from revcurve.operators import staging as T
@@ -123,9 +124,40 @@ SUBSCRIPTION: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+def _mart(fn):
+    return _stg(lambda s: fn(J.transactional_mart(s)))
+
+
+def _mom(fn):
+    return _stg(lambda s: fn(M.month_over_month(M.monthly_aggregation(
+        M.customer_months(M.classified(s))))))
+
+
+def _matrix(sales: DataFrame) -> DataFrame:
+    stg = T.staging_model(sales)
+    return B.transition_matrix(J.transactional_mart(stg), B.product_list(stg))
+
+
+DASHBOARDS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "d01_top_products": _stg(B.top_products),
+    "d02_revenue_trend": _stg(B.revenue_trend),
+    "d03_product_positioning": _stg(B.product_positioning),
+    "d04_revenue_per_sale": _stg(B.revenue_per_sale),
+    "d05_acquisition_cost": _stg(B.acquisition_cost),
+    "d06_discount_levels": _stg(B.discount_levels),
+    "d07_transition_paths": _mart(B.transition_paths),
+    "d08_transition_matrix": _matrix,
+    "d09_mrr_trend": _mom(B.mrr_trend),
+    "d10_net_dollar_retention": _mom(B.net_dollar_retention),
+    "d11_churn_rate": _mom(B.churn_rate),
+    "d12_mrr_waterfall": _mom(B.mrr_waterfall),
+    "d13_revenue_split": _stg(B.revenue_split),
+}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
-    for table in (PROFILE, EXPLORE, STAGING, TRANSITIONS, SUBSCRIPTION):
+    for table in (PROFILE, EXPLORE, STAGING, TRANSITIONS, SUBSCRIPTION, DASHBOARDS):
         for name, fn in table.items():
             out[name] = _on_sales(fn)
     return out
