@@ -155,9 +155,13 @@ DASHBOARDS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def queries() -> dict[str, Query]:
-    out: dict[str, Query] = {}
+def operators() -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """Every query as a function of the raw sales DataFrame."""
+    out: dict[str, Callable[[DataFrame], DataFrame]] = {}
     for table in (PROFILE, EXPLORE, STAGING, TRANSITIONS, SUBSCRIPTION, DASHBOARDS):
-        for name, fn in table.items():
-            out[name] = _on_sales(fn)
+        out.update(table)
     return out
+
+
+def queries() -> dict[str, Query]:
+    return {name: _on_sales(fn) for name, fn in operators().items()}
