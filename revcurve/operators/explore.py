@@ -31,10 +31,21 @@ def _with_text_amounts(sales: DataFrame) -> DataFrame:
 
 
 def deduplicate(sales: DataFrame) -> DataFrame:
-    """Drop exact duplicate rows (a hash aggregate with partial aggregation; no sort)."""
+    """Drop exact duplicate rows (a hash aggregate with partial aggregation; no sort).
+
+    Grouping is on the text of the amounts; the amounts are read back from that text, which
+    round-trips every double exactly (including -0.0), so no ``first()`` is needed.
+    """
     keyed = _with_text_amounts(sales)
-    return keyed.dropDuplicates([*_KEY_PLAIN, "_amount_txt", "_discount_txt"]).select(
-        *D.SALES_COLUMNS
+    return (
+        keyed.select(*_KEY_PLAIN, "_amount_txt", "_discount_txt")
+        .distinct()
+        .select(
+            *_KEY_PLAIN,
+            F.col("_amount_txt").cast("double").alias("amount_in_usd"),
+            F.col("_discount_txt").cast("double").alias("discount_in_usd"),
+        )
+        .select(*D.SALES_COLUMNS)
     )
 
 
@@ -48,12 +59,10 @@ def duplicate_copies(sales: DataFrame) -> DataFrame:
     groups = (
         _with_text_amounts(sales)
         .groupBy(*_KEY_PLAIN, "_amount_txt", "_discount_txt")
-        .agg(
-            F.first("amount_in_usd").alias("amount_in_usd"),
-            F.first("discount_in_usd").alias("discount_in_usd"),
-            F.count(F.lit(1)).alias("_k"),
-        )
+        .agg(F.count(F.lit(1)).alias("_k"))
         .filter(F.col("_k") > 1)
+        .withColumn("amount_in_usd", F.col("_amount_txt").cast("double"))
+        .withColumn("discount_in_usd", F.col("_discount_txt").cast("double"))
     )
     return groups.select(
         *D.SALES_COLUMNS,
