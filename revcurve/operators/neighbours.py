@@ -6,20 +6,22 @@ data. This operator computes the same values without that bound:
 
 1. ``repartitionByRange`` on ``group + order`` (sampled bounds): a hot group is cut into
    contiguous slices spread over many partitions; every partition holds a bounded key range.
-2. Inside each range partition, a window over ``(partition id, group)`` gives the local
-   ``lag`` / ``lead`` / running count. The window's hash exchange on ``(partition id, group)``
-   spreads the slices of a hot group over different tasks.
-3. One summary row per partition (its first and last row; at most ``n`` rows, so a broadcast
-   of proven size) carries values across slice boundaries: the first row of a slice takes
-   its ``lag`` from the last row of the previous non-empty partition when that row belongs to
-   the same group; ``lead`` and the running count are patched the same way.
-
-The local result (rows, partition id, local values) is materialised once with a reliable
-``checkpoint()`` into the session's ``spark.checkpoint.dir`` before the summary is taken.
+2. One hash exchange on the partition id keeps every slice whole in one task (each slice is
+   bounded by the range partitioning) and sends the slices of a hot group to different
+   tasks. A window over ``(partition id, group)`` gives the local ``lag`` / ``lead`` /
+   running count; a window over the partition id marks its first and last row. Both share
+   the exchange and one sort.
+3. The first and last row of every partition (at most ``2 n`` rows, so a broadcast of proven
+   size) carry values across slice boundaries: the first row of a slice takes its ``lag`` from
+   the last row of the previous non-empty partition when that row belongs to the same group;
+   ``lead`` and the running count are patched the same way.
+
+The local result (rows, partition id, local values) is materialised once, as a Parquet table
+in the session's ``spark.checkpoint.dir``, before the summary is taken.
 Range bounds come from sampling, and two evaluations of the same range exchange may sample
-differently; reading one checkpoint guarantees that the summary and the rows it patches see
-the same partitioning. It also cuts the lineage, so a lost executor re-reads the checkpoint
-instead of re-running the upstream shuffles.
+differently; reading one written copy guarantees that the summary and the rows it patches see
+the same partitioning. It also cuts the lineage, so a lost executor re-reads the copy instead
+of re-running the upstream shuffles.
 
 Ties in ``order`` are broken arbitrarily, as in a window; callers pass an ``order`` that is
 unique per row or accept that equal rows are interchangeable.
@@ -32,7 +34,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revcurve.plans.session import ensure_checkpoint_dir
+from revcurve.sources.files import materialize
 
 
 def _struct_of(prefix: str, names: Sequence[str]) -> Column:
@@ -68,16 +70,24 @@ def ordered_neighbours(
 
     base_cols = df.columns
     w_val = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    ranged = df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in keys]).withColumn(
-        "_nb_pid", F.spark_partition_id()
-    ).withColumn("_nb_w", w_val)
+    ranged = (
+        df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in keys])
+        .withColumn("_nb_pid", F.spark_partition_id())
+        .withColumn("_nb_w", w_val)
+        # one hash exchange on the partition id: every range slice stays whole, and the
+        # windows over (pid, group) and over (pid) below share it and one sort
+        .repartition("_nb_pid")
+    )
 
     w = Window.partitionBy("_nb_pid", *group).orderBy(*[F.col(c).asc_nulls_first() for c in order])
     w_seg = Window.partitionBy("_nb_pid", *group)
+    w_part = Window.partitionBy("_nb_pid").orderBy(*[F.col(c).asc_nulls_first() for c in keys])
     local_cols = [
         F.row_number().over(w).alias("_nb_pos"),
         F.count(F.lit(1)).over(w_seg).alias("_nb_seg_n"),
         F.sum("_nb_w").over(w_seg).alias("_nb_seg_w"),
+        F.row_number().over(w_part).alias("_nb_ppos"),
+        F.count(F.lit(1)).over(Window.partitionBy("_nb_pid")).alias("_nb_pn"),
     ]
     for out, src in lag.items():
         local_cols.append(F.lag(src).over(w).alias(f"_nb_lag_{out}"))
@@ -90,54 +100,54 @@ def ordered_neighbours(
                 F.lit(0).cast("bigint"),
             ).alias("_nb_before")
         )
-    ensure_checkpoint_dir(spark)
-    local = ranged.select("*", *local_cols).checkpoint(eager=True)
-
-    # One row per non-empty partition: its first and last row (min / max over the key).
-    lead_src = sorted(set(lead.values()) - set(keys))
-    lag_src = sorted(set(lag.values()) - set(keys))
-    summary = local.groupBy("_nb_pid").agg(
-        F.min(F.struct(*keys, *lead_src, "_nb_seg_w")).alias("_first"),
-        F.max(F.struct(*keys, *lag_src, "_nb_seg_w")).alias("_last"),
+    local = materialize(ranged.select("*", *local_cols), "neighbours")
+
+    # The first and the last row of every non-empty partition: at most 2 rows per partition.
+    edge_vals = sorted(set(lag.values()) | set(lead.values()))
+    edges = local.filter((F.col("_nb_ppos") == 1) | (F.col("_nb_ppos") == F.col("_nb_pn")))
+    firsts = edges.filter(F.col("_nb_ppos") == 1).select(
+        "_nb_pid",
+        F.struct(*group).alias("_fg"),
+        F.struct(*[F.col(c).alias(c) for c in edge_vals], "_nb_seg_w").alias("_fv"),
+    )
+    lasts = edges.filter(F.col("_nb_ppos") == F.col("_nb_pn")).select(
+        "_nb_pid",
+        F.struct(*group).alias("_lg"),
+        F.struct(*[F.col(c).alias(c) for c in edge_vals], "_nb_seg_w").alias("_lv"),
     )
+    summary = firsts.join(lasts, "_nb_pid")
     ws = Window.orderBy("_nb_pid")
     summary = summary.select(
-        "_nb_pid",
-        "_first",
-        "_last",
-        F.sum("_last._nb_seg_w")
-        .over(Window.partitionBy(_struct_of("_last", group)).orderBy("_nb_pid")
+        "*",
+        F.sum("_lv._nb_seg_w")
+        .over(Window.partitionBy("_lg").orderBy("_nb_pid")
               .rowsBetween(Window.unboundedPreceding, 0))
         .alias("_cum_last"),
     )
     summary = summary.select(
-        "_nb_pid",
-        "_first",
-        "_last",
-        F.lag("_last").over(ws).alias("_prev_last"),
+        "_nb_pid", "_fg", "_lg",
+        F.lag("_lg").over(ws).alias("_prev_lg"),
+        F.lag("_lv").over(ws).alias("_prev_lv"),
         F.lag("_cum_last").over(ws).alias("_prev_cum"),
-        F.lead("_first").over(ws).alias("_next_first"),
-    )
-    cont = F.col("_prev_last").isNotNull() & _struct_of("_prev_last", group).eqNullSafe(
-        _struct_of("_first", group)
-    )
-    nxt = F.col("_next_first").isNotNull() & _struct_of("_next_first", group).eqNullSafe(
-        _struct_of("_last", group)
+        F.lead("_fg").over(ws).alias("_next_fg"),
+        F.lead("_fv").over(ws).alias("_next_fv"),
     )
+    cont = F.col("_prev_lv").isNotNull() & F.col("_prev_lg").eqNullSafe(F.col("_fg"))
+    nxt = F.col("_next_fv").isNotNull() & F.col("_next_fg").eqNullSafe(F.col("_lg"))
     bound_cols = [
         "_nb_pid",
-        _struct_of("_first", group).alias("_nb_fg"),
-        _struct_of("_last", group).alias("_nb_lg"),
+        F.col("_fg").alias("_nb_fg"),
+        F.col("_lg").alias("_nb_lg"),
         F.when(cont, F.col("_prev_cum")).otherwise(F.lit(0).cast("bigint")).alias("_nb_b_before"),
     ]
     for out, src in lag.items():
-        bound_cols.append(F.when(cont, F.col(f"_prev_last.{src}")).alias(f"_nb_b_lag_{out}"))
+        bound_cols.append(F.when(cont, F.col(f"_prev_lv.{src}")).alias(f"_nb_b_lag_{out}"))
     for out, src in lead.items():
-        bound_cols.append(F.when(nxt, F.col(f"_next_first.{src}")).alias(f"_nb_b_lead_{out}"))
+        bound_cols.append(F.when(nxt, F.col(f"_next_fv.{src}")).alias(f"_nb_b_lead_{out}"))
     bounds = summary.select(*bound_cols)
 
     joined = local.join(F.broadcast(bounds), "_nb_pid", "left")
-    row_group = F.struct(*[F.col(c) for c in group])
+    row_group = F.struct(*group)
     is_first_group = row_group.eqNullSafe(F.col("_nb_fg"))
     is_last_group = row_group.eqNullSafe(F.col("_nb_lg"))
 

@@ -19,8 +19,9 @@ of three joins (each shuffling both sides on its own keys) or windows over ``cus
 (which put a hot customer into one task), every flag is computed once per *block*
 ``(customer, day, product)``:
 
-* one ``groupBy`` over the deduplicated rows gives per-block facts (map-side partial
-  aggregation, so a huge block is reduced before it is shuffled);
+* one ``groupBy`` over the rows gives per-block facts (map-side partial aggregation, so a huge
+  block is reduced before it is shuffled; the facts are max / min, so copies need no
+  deduplication first and the dedup shuffle is paid only on the row side);
 * a window over the *block table* adds each customer's first new-customer day and each
   (customer, product)'s first day. A customer has at most days x products blocks, a bound set
   by the calendar and the catalogue, not by the data volume;
@@ -44,7 +45,8 @@ from revcurve.operators.neighbours import ordered_neighbours
 BLOCK = ("customer", "processed_date", "product_code")
 # Order of purchases within (customer, product): day, then the remaining columns.
 PURCHASE_ORDER = ("processed_date", "customer_status", *D.RAW_TIE_ORDER)
-_ROW_KEY = ("customer_status", *D.RAW_TIE_ORDER)
+# Columns in which two candidate rows of one block can differ (the rest is shared).
+_CAND_COLS = ("amount_in_usd", "discount_in_usd", "quantity")
 
 
 def first_new_customer_day(dd: DataFrame) -> DataFrame:
@@ -108,23 +110,40 @@ def repeat_new_product_use(dd: DataFrame) -> DataFrame:
              "purchase_rank")
 
 
-def block_flags(dd: DataFrame) -> DataFrame:
+def block_flags(rows: DataFrame) -> DataFrame:
     """Per (customer, day, product) block: the three removal flags.
 
     ``drop_npu_anomaly``  block holds New rows of both new-customer and new-product-use (t04)
     ``drop_npu_repeat``   block holds an uncoded New new-product-use row of rank > 1 (t06)
     ``drop_renewal``      the day is the customer's first new-customer day (t03)
+
+    Every block fact is a max / min, so exact copies do not change it: the flags can be taken
+    from the raw rows directly, and the deduplication shuffle is paid once, on the row side
+    only. All facts are scalar max / min, so the aggregate stays a hash aggregate.
     """
     status, lic = F.col("customer_status"), F.col("license_type")
     cand = (status == D.NEW_PRODUCT_USE) & (lic == D.LICENSE_NEW) & F.col("discount_id").isNull()
-    row_key = F.struct(*_ROW_KEY)
-    blocks = dd.groupBy(*BLOCK).agg(
+    # A row that sorts before any candidate in the purchase order (status, license, code NULLS
+    # FIRST, ...): candidates all share (NPU, New, NULL code), so only status / license decide.
+    before_cand = (
+        status.isNull() | (status < D.NEW_PRODUCT_USE)
+        | ((status == D.NEW_PRODUCT_USE) & (lic.isNull() | (lic < D.LICENSE_NEW)))
+    )
+
+    def cand_val(c):
+        return F.when(cand, F.col(c))
+
+    blocks = rows.groupBy(*BLOCK).agg(
         F.max((status == D.NEW_CUSTOMER) & (lic == D.LICENSE_NEW)).alias("_nc_new"),
         F.max((status == D.NEW_PRODUCT_USE) & (lic == D.LICENSE_NEW)).alias("_npu_new"),
         F.max(status == D.NEW_CUSTOMER).alias("_has_nc"),
-        F.count_if(cand).alias("_n_cand"),
-        F.min(row_key).alias("_min_row"),
-        F.min(F.when(cand, row_key)).alias("_min_cand"),
+        F.max(cand).alias("_has_cand"),
+        F.max(F.coalesce(before_cand, F.lit(False))).alias("_before_cand"),
+        # distinct candidates differ in amount, discount or quantity (all else is shared)
+        *[F.min(cand_val(c)).alias(f"_min_{c}") for c in _CAND_COLS],
+        *[F.max(cand_val(c)).alias(f"_max_{c}") for c in _CAND_COLS],
+        *[F.max(F.when(cand, F.col(c).isNull())).alias(f"_maxnull_{c}") for c in _CAND_COLS],
+        *[F.min(F.when(cand, F.col(c).isNull())).alias(f"_minnull_{c}") for c in _CAND_COLS],
     )
     by_customer = Window.partitionBy("customer")
     by_product = Window.partitionBy("customer", "product_code")
@@ -137,12 +156,15 @@ def block_flags(dd: DataFrame) -> DataFrame:
         F.max(F.col("processed_date").isNull()).over(by_product).alias("_null_day"),
     )
     day = F.col("processed_date")
+    has_cand = F.coalesce(F.col("_has_cand"), F.lit(False))
+    several = F.lit(False)
+    for c in _CAND_COLS:
+        several = (several | ~F.col(f"_min_{c}").eqNullSafe(F.col(f"_max_{c}"))
+                   | ~F.col(f"_minnull_{c}").eqNullSafe(F.col(f"_maxnull_{c}")))
+    not_first = F.col("_before_cand")
     later = F.col("_null_day") | (day > F.col("_first_day"))
     first = day == F.col("_first_day")
-    repeat = (later & (F.col("_n_cand") >= 1)) | (
-        first & ((F.col("_n_cand") >= 2)
-                 | ((F.col("_n_cand") == 1) & ~F.col("_min_cand").eqNullSafe(F.col("_min_row"))))
-    )
+    repeat = has_cand & (later | (first & (several | not_first)))
     return blocks.select(
         *BLOCK,
         F.coalesce(F.col("_nc_new") & F.col("_npu_new"), F.lit(False)).alias("drop_npu_anomaly"),
@@ -151,9 +173,10 @@ def block_flags(dd: DataFrame) -> DataFrame:
     )
 
 
-def flagged_rows(dd: DataFrame) -> DataFrame:
+def flagged_rows(sales: DataFrame) -> DataFrame:
     """Deduplicated rows with their block's removal flags attached (null-safe join)."""
-    flags = block_flags(dd)
+    dd = deduplicate(sales)
+    flags = block_flags(sales)
     flags = flags.select(
         *[F.col(c).alias(f"_k_{c}") for c in BLOCK],
         "drop_npu_anomaly", "drop_npu_repeat", "drop_renewal",
@@ -186,8 +209,7 @@ def removal_conditions():
 
 def clean_rows(sales: DataFrame, removals: tuple[str, ...] = ("t07", "t08", "t09", "t10")) -> DataFrame:
     """Deduplicated rows that survive the chosen removals (raw nine columns)."""
-    dd = deduplicate(sales)
-    rows = flagged_rows(dd)
+    rows = flagged_rows(sales)
     cond = removal_conditions()
     keep = F.lit(True)
     if "t07" in removals:

@@ -1,7 +1,7 @@
 """Query registry: one callable ``(spark, sf_dir) -> DataFrame`` per operator ID.
 
 Every query starts from the raw sales table derived from the test tables under ``sf_dir``
-and runs over all of it.
+(written once per application, see ``load_sales``) and runs over all of it.
 """
 
 from __future__ import annotations
@@ -16,14 +16,14 @@ from revcurve.operators import profile as P
 from revcurve.operators import staging as T
 from revcurve.operators import subscription as M
 from revcurve.operators import transitions as J
-from revcurve.sources.testdata import sales_from_testdata
+from revcurve.sources.testdata import load_sales
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _on_sales(fn: Callable[[DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(sales_from_testdata(spark, sf_dir))
+        return fn(load_sales(spark, sf_dir))
 
     run.__doc__ = fn.__doc__
     return run
