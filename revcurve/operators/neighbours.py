@@ -37,8 +37,23 @@ from pyspark.sql import functions as F
 from revcurve.sources.files import materialize
 
 
-def _struct_of(prefix: str, names: Sequence[str]) -> Column:
-    return F.struct(*[F.col(f"{prefix}.{n}").alias(n) for n in names])
+# Target bytes per range slice when the input is large: slices stay far below an
+# executor's memory whatever the data volume.
+SLICE_BYTES = 128 * 1024 * 1024
+
+
+def slice_count(df: DataFrame) -> int:
+    """Number of range slices: the shuffle-partition setting, or more for a large input.
+
+    Uses the optimizer's size estimate of ``df``; AQE coalesces slices that turn out small.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        est = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # estimate unavailable: keep the configured count
+        return n
+    return max(n, min(est // SLICE_BYTES, 1_000_000))
 
 
 def ordered_neighbours(
@@ -50,6 +65,7 @@ def ordered_neighbours(
     count_before: str | None = None,
     weight: str | None = None,
     num_partitions: int | None = None,
+    keep_slice: bool = False,
 ) -> DataFrame:
     """Add neighbour columns to ``df``.
 
@@ -60,13 +76,14 @@ def ordered_neighbours(
              (or the sum of ``weight`` over them when ``weight`` names a multiplicity column).
 
     Sort order is ascending with NULLs first for every ``group`` and ``order`` column.
+    ``keep_slice`` also returns the range slice of each row (``_nb_pid``), for inspection.
     """
     lag = dict(lag or {})
     lead = dict(lead or {})
     group, order = list(group), list(order)
     keys = group + order
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or slice_count(df)
 
     base_cols = df.columns
     w_val = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
@@ -171,4 +188,6 @@ def ordered_neighbours(
              + F.when(is_first_group, F.col("_nb_b_before")).otherwise(F.lit(0).cast("bigint")))
             .alias(count_before)
         )
+    if keep_slice:
+        out_cols.append(F.col("_nb_pid"))
     return joined.select(*out_cols)

@@ -155,10 +155,24 @@ DASHBOARDS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+def _stored_staging(sales: DataFrame) -> DataFrame:
+    """sink_model / src_stg: write the staging model once, read it back by path."""
+    from revcurve.sources.files import materialize
+
+    return materialize(T.staging_model(sales), "stg_sales_data")
+
+
+SOURCES: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "src_sales": lambda sales: sales,
+    "sink_model": _stored_staging,
+    "src_stg": lambda sales: M.projection(_stored_staging(sales)),
+}
+
+
 def operators() -> dict[str, Callable[[DataFrame], DataFrame]]:
     """Every query as a function of the raw sales DataFrame."""
     out: dict[str, Callable[[DataFrame], DataFrame]] = {}
-    for table in (PROFILE, EXPLORE, STAGING, TRANSITIONS, SUBSCRIPTION, DASHBOARDS):
+    for table in (SOURCES, PROFILE, EXPLORE, STAGING, TRANSITIONS, SUBSCRIPTION, DASHBOARDS):
         out.update(table)
     return out
 

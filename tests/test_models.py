@@ -125,3 +125,16 @@ def test_entry_smoke(spark):
     assert df.columns == list(D.SUBSCRIPTION_COLUMNS)
     assert df.count() > 0
     assert set(entry.queries()) == set(entry.oracle_sql())
+
+
+def test_write_models_round_trip(spark, sales):
+    import tempfile
+
+    from revcurve.plans.models import STAGING, SUBSCRIPTION, TRANSACTIONAL, write_models
+    from revcurve.sources.files import read_model
+
+    paths = write_models(spark, sales, tempfile.mkdtemp(prefix="revcurve-models-"))
+    stg = T.staging_model(sales)
+    assert _same(read_model(spark, paths[STAGING]), stg)
+    assert _same(read_model(spark, paths[SUBSCRIPTION]), M.subscription_mart(stg))
+    assert _same(read_model(spark, paths[TRANSACTIONAL]), J.transactional_mart(stg))

@@ -61,3 +61,18 @@ def test_matches_window_when_sampling_is_partial(spark):
     exp = df.select("*", F.lag("v").over(w).alias("pv"), F.lead("v").over(w).alias("nv"),
                     (F.row_number().over(w) - 1).cast("bigint").alias("rn"))
     assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
+
+
+def test_hot_group_is_split_over_slices(spark):
+    # one group holds a third of all rows: it must be spread over many bounded slices
+    n_rows, parts = 300_000, 12
+    df = spark.range(0, n_rows, numPartitions=8).select(
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 5000).alias("g"),
+        ((F.col("id") * 7919) % 1_000_003).alias("o"),
+    )
+    got = ordered_neighbours(df, ["g"], ["o"], lag={"po": "o"}, num_partitions=parts,
+                             keep_slice=True)
+    per_slice = got.groupBy("_nb_pid").count().collect()
+    hot_slices = got.filter(F.col("g") == -1).select("_nb_pid").distinct().count()
+    assert hot_slices >= parts // 3
+    assert max(r["count"] for r in per_slice) <= 2 * n_rows / parts
