@@ -197,7 +197,10 @@ def revenue_split(stg: DataFrame) -> DataFrame:
     )
 
 
-def product_list(stg: DataFrame) -> list[str]:
-    """Distinct product codes, sorted (the pivot's column list; bounded by the catalogue)."""
-    rows = stg.select("product_code").filter(F.col("product_code").isNotNull()).distinct().collect()
+def product_list(sales: DataFrame) -> list[str]:
+    """Distinct product codes of the sales table, sorted: the pivot's column list.
+
+    Bounded by the product catalogue (not by data volume); a one-column scan.
+    """
+    rows = sales.select("product_code").filter(F.col("product_code").isNotNull()).distinct().collect()
     return sorted(r[0] for r in rows)

@@ -134,8 +134,9 @@ def _mom(fn):
 
 
 def _matrix(sales: DataFrame) -> DataFrame:
+    # the catalogue is listed from the raw table: a one-column scan, not a second staging run
     stg = T.staging_model(sales)
-    return B.transition_matrix(J.transactional_mart(stg), B.product_list(stg))
+    return B.transition_matrix(J.transactional_mart(stg), B.product_list(sales))
 
 
 DASHBOARDS: dict[str, Callable[[DataFrame], DataFrame]] = {

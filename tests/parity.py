@@ -49,6 +49,20 @@ def digest(columns, rows):
     return hashlib.sha256("\n".join(lines).encode()).hexdigest(), lines
 
 
+_SPARK_TO_SQL = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "date": "DATE", "boolean": "BOOLEAN", "smallint": "SMALLINT", "float": "FLOAT"}
+
+
+def spark_types(df):
+    return {f.name: _SPARK_TO_SQL.get(f.dataType.simpleString(), f.dataType.simpleString())
+            for f in df.schema.fields}
+
+
+def duck_types(con, sql):
+    rel = con.sql(sql)
+    return {c: str(t) for c, t in zip(rel.columns, rel.types)}
+
+
 def compare(spark, con, name, fn, sql, sf_dir):
     t0 = time.time()
     df = fn(spark, sf_dir)
@@ -62,12 +76,17 @@ def compare(spark, con, name, fn, sql, sf_dir):
     ok_cols = sorted(s_cols) == sorted(d_cols)
     hs, ls = digest(s_cols, s_rows)
     hd, ld = digest(d_cols, d_rows)
-    ok = ok_cols and len(s_rows) == len(d_rows) and hs == hd
+    st, dt = spark_types(df), duck_types(con, sql)
+    ok_types = st == dt
+    ok = ok_cols and ok_types and len(s_rows) == len(d_rows) and hs == hd
     print(f"{'OK ' if ok else 'BAD'} {name:34s} rows {len(s_rows):>7} / {len(d_rows):>7} "
           f"spark {t1 - t0:6.2f}s duck {t2 - t1:6.2f}s", flush=True)
     if not ok:
         if not ok_cols:
             print("   columns spark:", s_cols, "\n   columns duck: ", d_cols)
+        if not ok_types:
+            print("   types differ:", {c: (st.get(c), dt.get(c)) for c in set(st) | set(dt)
+                                       if st.get(c) != dt.get(c)})
         only_s = sorted(set(ls) - set(ld))[:5]
         only_d = sorted(set(ld) - set(ls))[:5]
         print("   cols:", sorted(s_cols))

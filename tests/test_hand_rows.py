@@ -24,7 +24,8 @@ def _spark_sales(spark, pdf):
 @pytest.fixture(scope="module")
 def cases(spark):
     out = []
-    for name, rows in (("crafted", crafted()), ("random", random_rows(7, 600))):
+    for name, rows in (("crafted", crafted()), ("random", random_rows(7, 600)),
+                       ("random-hot", random_rows(11, 900, hot_share=0.5))):
         pdf = frame(rows)
         con = duckdb.connect()
         con.register("hand_sales", pdf)
