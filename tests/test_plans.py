@@ -48,3 +48,53 @@ def test_csv_source_reads_with_fixed_schema(spark):
     assert df.count() == len(pdf)
     assert [f.dataType.simpleString() for f in df.schema.fields] == [
         "bigint", "string", "string", "string", "date", "bigint", "int", "double", "double"]
+
+
+def _hot_block_sales(spark, n=200_000):
+    from pyspark.sql import functions as F
+
+    from revcurve.functions import domain as D
+
+    hot = F.col("id") % 3 == 0  # one (customer, day, product) block holds a third of all rows
+    return spark.range(n).select(
+        F.when(hot, F.lit(1)).otherwise(F.col("id") % 997 + 2).cast("bigint").alias("customer"),
+        F.when(hot, F.lit(D.NEW_PRODUCT_USE)).otherwise(F.lit(D.RENEWAL)).alias("customer_status"),
+        F.when(hot, F.lit("P00")).otherwise(
+            F.concat(F.lit("P"), (F.col("id") % 13).cast("string"))).alias("product_code"),
+        F.lit("New").alias("license_type"),
+        F.when(hot, F.lit("2019-01-01")).otherwise(
+            F.date_add(F.lit("2018-01-01"), (F.col("id") % 700).cast("int"))).cast("date")
+        .alias("processed_date"),
+        F.lit(None).cast("bigint").alias("discount_id"),
+        F.lit(1).cast("int").alias("quantity"),
+        (F.col("id") / 100.0).alias("amount_in_usd"),
+        F.lit(0.0).alias("discount_in_usd"),
+    )
+
+
+def test_hot_block_join_is_split_by_aqe(spark):
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+    }
+    old = {k: spark.conf.get(k, None) for k in [*conf, "spark.sql.adaptive.skewJoin.enabled"]}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        sales = _hot_block_sales(spark)
+        df = T.staging_model(sales)
+        rows = df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "isFinalPlan=true" in plan and "SortMergeJoin(skew=true)" in plan
+        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+        plain = T.staging_model(sales).collect()
+        assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, plain), key=repr)
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
