@@ -37,23 +37,45 @@ from pyspark.sql import functions as F
 from revcurve.sources.files import materialize
 
 
-# Target bytes per range slice when the input is large: slices stay far below an
-# executor's memory whatever the data volume.
-SLICE_BYTES = 128 * 1024 * 1024
+# Input (file) bytes per range slice when the input is large. Parquet input is compressed,
+# so a slice holds several times this much in memory: well within an executor, and spillable.
+SLICE_INPUT_BYTES = 256 * 1024 * 1024
+MAX_SLICES = 1_000_000
+# Leaves whose size statistics are the data actually read.
+_SIZED_LEAVES = ("LogicalRelation", "HiveTableRelation", "LocalRelation", "DataSourceV2Relation",
+                 "DataSourceV2ScanRelation", "Range")
 
 
-def slice_count(df: DataFrame) -> int:
-    """Number of range slices: the shuffle-partition setting, or more for a large input.
+def _scan_bytes(df: DataFrame) -> int | None:
+    """Bytes of the relations ``df`` reads (file sizes), or None when one is unknown.
 
-    Uses the optimizer's size estimate of ``df``; AQE coalesces slices that turn out small.
+    Plan-level estimates multiply through joins and can be off by orders of magnitude; the
+    leaves' sizes are the files actually scanned.
     """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = 0
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() not in _SIZED_LEAVES:
+            return None  # e.g. an RDD-backed relation carrying a stale plan estimate
+        size = int(str(leaf.stats().sizeInBytes()))
+        if size >= 1 << 62:
+            return None
+        total += size
+    return total
+
+
+def slice_count(df: DataFrame) -> int:
+    """Number of range slices: the shuffle-partition setting, or more for a large input."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     try:
-        est = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # estimate unavailable: keep the configured count
+        scanned = _scan_bytes(df)
+    except Exception:  # no JVM plan access (e.g. a remote session): keep the setting
+        return n
+    if scanned is None:
         return n
-    return max(n, min(est // SLICE_BYTES, 1_000_000))
+    return max(n, min(scanned // SLICE_INPUT_BYTES, MAX_SLICES))
 
 
 def ordered_neighbours(

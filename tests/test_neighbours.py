@@ -76,3 +76,19 @@ def test_hot_group_is_split_over_slices(spark):
     hot_slices = got.filter(F.col("g") == -1).select("_nb_pid").distinct().count()
     assert hot_slices >= parts // 3
     assert max(r["count"] for r in per_slice) <= 2 * n_rows / parts
+
+
+def test_slice_count_follows_scanned_bytes(spark, monkeypatch, tmp_path):
+    import revcurve.operators.neighbours as N
+
+    path = str(tmp_path / "t")
+    spark.range(0, 200_000).selectExpr("id", "id % 7 AS g").write.parquet(path)
+    df = spark.read.parquet(path)
+    joined = df.join(df.withColumnRenamed("id", "id2"), "g")  # plan estimate explodes here
+    scanned = N._scan_bytes(joined)
+    assert scanned is not None and scanned < 10 * 1024 * 1024
+    monkeypatch.setattr(N, "SLICE_INPUT_BYTES", 64 * 1024)
+    assert N.slice_count(joined) == max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                                        scanned // (64 * 1024))
+    # an RDD-backed input has no trustworthy size: keep the configured count
+    assert N.slice_count(df.checkpoint()) == int(spark.conf.get("spark.sql.shuffle.partitions"))
