@@ -12,7 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from revcurve.operators import staging as T
 from revcurve.operators import subscription as M
 from revcurve.operators import transitions as J
-from revcurve.sources.files import read_model, write_model
+from revcurve.sources.files import (
+    materialized_paths,
+    read_model,
+    release_materialized,
+    write_model,
+)
 
 STAGING = "stg_sales_data"
 SUBSCRIPTION = "mart_subscription_metrics"
@@ -22,8 +27,10 @@ TRANSACTIONAL = "mart_transactional_analysis"
 def write_models(spark: SparkSession, sales: DataFrame, root: str) -> dict[str, str]:
     """Write staging, then both marts from the written staging; return name -> path."""
     paths = {name: f"{root.rstrip('/')}/{name}" for name in (STAGING, SUBSCRIPTION, TRANSACTIONAL)}
+    before = materialized_paths(spark)
     write_model(T.staging_model(sales), paths[STAGING])
     stg = read_model(spark, paths[STAGING])
     write_model(M.subscription_mart(stg), paths[SUBSCRIPTION])
     write_model(J.transactional_mart(stg), paths[TRANSACTIONAL])
+    release_materialized(spark, keep=before)  # this job's intermediate copies are done
     return paths

@@ -95,4 +95,32 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/revcurve-{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _MATERIALIZED.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.parquet(path)
+
+
+_MATERIALIZED: dict[str, list[str]] = {}
+
+
+def materialized_paths(spark: SparkSession) -> list[str]:
+    """The tables :func:`materialize` has written for this application so far."""
+    return list(_MATERIALIZED.get(spark.sparkContext.applicationId, []))
+
+
+def release_materialized(spark: SparkSession, keep: list[str] | None = None) -> int:
+    """Delete the tables :func:`materialize` wrote for this application, except ``keep``.
+
+    Only call once no DataFrame that reads them will run again (e.g. after the models are
+    written). Deletion goes through Hadoop's FileSystem API, so it works on any shared store.
+    Returns the number of tables deleted.
+    """
+    app = spark.sparkContext.applicationId
+    kept = set(keep or [])
+    paths = [p for p in _MATERIALIZED.get(app, []) if p not in kept]
+    _MATERIALIZED[app] = [p for p in _MATERIALIZED.get(app, []) if p in kept]
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        hp.getFileSystem(conf).delete(hp, True)
+    return len(paths)

@@ -133,7 +133,11 @@ def test_write_models_round_trip(spark, sales):
     from revcurve.plans.models import STAGING, SUBSCRIPTION, TRANSACTIONAL, write_models
     from revcurve.sources.files import read_model
 
+    from revcurve.sources import files
+
+    before = files.materialized_paths(spark)
     paths = write_models(spark, sales, tempfile.mkdtemp(prefix="revcurve-models-"))
+    assert files.materialized_paths(spark) == before
     stg = T.staging_model(sales)
     assert _same(read_model(spark, paths[STAGING]), stg)
     assert _same(read_model(spark, paths[SUBSCRIPTION]), M.subscription_mart(stg))
