@@ -52,3 +52,26 @@ def test_query_matches_sql(cases, query):
             only_s = sorted(set(ls) - set(ld))[:5]
             only_d = sorted(set(ld) - set(ls))[:5]
             pytest.fail(f"{name}: {len(s_rows)} vs {len(d_rows)} rows\nspark only {only_s}\nsql only {only_d}")
+
+
+CORE = ["t16_staging", "j05_transactional_mart", "m13_subscription_mart", "e13_self_transitions",
+        "e15_repeat_npu"]
+
+
+@pytest.mark.parametrize("seed,hot", [(21, 0.0), (22, 0.2), (23, 0.34), (24, 0.6), (25, 0.9),
+                                      (26, 0.34)])
+def test_core_models_on_random_rows(spark, seed, hot):
+    pdf = frame(random_rows(seed, 400, hot_share=hot))
+    con = duckdb.connect()
+    con.register("hand_sales", pdf)
+    con.execute("CREATE TABLE hand AS SELECT * REPLACE (CAST(processed_date AS DATE) "
+                "AS processed_date) FROM hand_sales")
+    sales = _spark_sales(spark, pdf)
+    for query in CORE:
+        df = R.operators()[query](sales)
+        sql = O.oracle_sql()[query].replace(O.SALES_CTE, "\nsales AS (SELECT * FROM hand)")
+        cur = con.execute(sql)
+        d_cols = [c[0] for c in cur.description]
+        hs, _ = digest(df.columns, [tuple(r) for r in df.collect()])
+        hd, _ = digest(d_cols, cur.fetchall())
+        assert hs == hd, (seed, hot, query)
