@@ -96,7 +96,7 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     path = f"{base}/revcurve-{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     _MATERIALIZED.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)  # known schema: no inference job
 
 
 _MATERIALIZED: dict[str, list[str]] = {}
