@@ -98,3 +98,15 @@ def test_hot_block_join_is_split_by_aqe(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_command_line_runs_a_query_on_csv(spark, tmp_path, capsys):
+    from revcurve.__main__ import main
+
+    path = str(tmp_path / "sales.csv")
+    frame(crafted()).to_csv(path, index=False)
+    assert main(["run", "s02_totals", "--sales", path, "--format", "csv"]) == 0
+    assert "total_transactions" in capsys.readouterr().out
+    out = str(tmp_path / "out")
+    assert main(["run", "t16_staging", "--sales", path, "--format", "csv", "--out", out]) == 0
+    assert spark.read.parquet(out).count() > 0
