@@ -113,9 +113,10 @@ def ordered_neighbours(
         df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in keys])
         .withColumn("_nb_pid", F.spark_partition_id())
         .withColumn("_nb_w", w_val)
-        # one hash exchange on the partition id: every range slice stays whole, and the
-        # windows over (pid, group) and over (pid) below share it and one sort
-        .repartition("_nb_pid")
+        # one hash exchange on the partition id, as many partitions as slices: every slice
+        # stays whole in about one task, and the windows over (pid, group) and over (pid)
+        # below share the exchange and one sort
+        .repartition(n, "_nb_pid")
     )
 
     w = Window.partitionBy("_nb_pid", *group).orderBy(*[F.col(c).asc_nulls_first() for c in order])
