@@ -66,9 +66,11 @@ def _scan_bytes(df: DataFrame) -> int | None:
 
 
 def slice_count(df: DataFrame) -> int:
-    """Number of range slices: the shuffle-partition setting, or more for a large input."""
+    """Number of range slices: one per ``SLICE_INPUT_BYTES`` of scanned input, at least the
+    smaller of the shuffle-partition setting and the cluster's default parallelism."""
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")),
+            spark.sparkContext.defaultParallelism)
     try:
         scanned = _scan_bytes(df)
     except Exception:  # no JVM plan access (e.g. a remote session): keep the setting

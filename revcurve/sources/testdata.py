@@ -29,6 +29,15 @@ from revcurve.functions import domain as D
 from revcurve.plans.session import ensure_checkpoint_dir
 from revcurve.sources.files import read_sales
 
+
+def _scan_bytes(df: DataFrame) -> int | None:
+    from revcurve.operators.neighbours import _scan_bytes as scan
+
+    try:
+        return scan(df)
+    except Exception:  # no JVM plan access
+        return None
+
 # --- fixed values: parameters of the fixture mapping ----------------------------------------
 PRODUCT_COUNT = 13
 DATE_ORIGIN = _dt.date(1995, 1, 1)
@@ -163,6 +172,7 @@ def sales_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LOADED: dict[tuple[str, str], str] = {}
+FILE_INPUT_BYTES = 128 * 1024 * 1024
 
 
 def load_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,9 +189,11 @@ def load_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         base = ensure_checkpoint_dir(spark)
         tag = hashlib.sha1(key[1].encode()).hexdigest()[:16]
         path = f"{base.rstrip('/')}/revcurve-sales-{tag}"
-        files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        # one file per shuffle partition: scans start with full parallelism whatever AQE
-        # coalesced the derivation's last shuffle to
-        sales_from_testdata(spark, sf_dir).repartition(files).write.mode("overwrite").parquet(path)
+        sales = sales_from_testdata(spark, sf_dir)
+        # one file per 128 MB of scanned input, at least one per core: later scans start with
+        # full parallelism whatever AQE coalesced the derivation's last shuffle to
+        scanned = _scan_bytes(sales) or 0
+        files = max(spark.sparkContext.defaultParallelism, scanned // FILE_INPUT_BYTES)
+        sales.repartition(int(files)).write.mode("overwrite").parquet(path)
         _LOADED[key] = path
     return read_sales(spark, path)
