@@ -48,12 +48,16 @@ def write_model(
     path: str,
     partition_by: tuple[str, ...] = (),
     mode: str = "overwrite",
+    fmt: str = "parquet",
 ) -> None:
-    """Persist a model as Parquet (optionally partitioned, e.g. the mart by month)."""
-    w = df.write.mode(mode)
+    """Persist a model (Parquet by default; CSV / ORC / JSON for extracts), optionally
+    partitioned by columns (e.g. a large mart by month)."""
+    w = df.write.mode(mode).format(fmt)
+    if fmt == "csv":
+        w = w.option("header", "true")
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    w.save(path)
 
 
 def save_model_table(

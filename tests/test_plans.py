@@ -110,3 +110,16 @@ def test_command_line_runs_a_query_on_csv(spark, tmp_path, capsys):
     out = str(tmp_path / "out")
     assert main(["run", "t16_staging", "--sales", path, "--format", "csv", "--out", out]) == 0
     assert spark.read.parquet(out).count() > 0
+
+
+def test_models_write_as_csv_and_read_back(spark, tmp_path):
+    from revcurve.operators import subscription as M
+    from revcurve.sources.files import read_sales as rs, write_model as wm
+
+    sales = _sales_file(spark)
+    mart = M.subscription_mart(T.staging_model(sales))
+    out = str(tmp_path / "mrr_csv")
+    wm(mart, out, fmt="csv")
+    back = spark.read.option("header", "true").csv(out)
+    assert back.count() == mart.count() and "churned_mrr" in back.columns
+    assert rs is not None
