@@ -78,22 +78,40 @@ def _within_band(total: str, other: str):
     return (t >= o * D.BAND_LOW_PCT) & (t <= o * D.BAND_HIGH_PCT)
 
 
-def billing_interval():
-    """m04: the seven ordered rules."""
+def _rules():
+    """The seven ordered rules of m04 as (condition, interval) pairs; the last is the default."""
     lic, status = F.col("updated_license_type"), F.col("customer_status")
     back, fwd = F.col("backward_interval"), F.col("forward_interval")
     yearly = F.lit(D.YEARLY)
-    return (
-        F.when((lic == D.LICENSE_UPGRADE) & (status == D.NEW_PRODUCT_USE)
-               & _within_band("_total_c", "_next_total_c"), F.coalesce(fwd, yearly))
-        .when((lic == D.LICENSE_UPGRADE) & (status == D.RENEWAL)
-              & _within_band("_total_c", "_prev_total_c"), F.coalesce(back, yearly))
-        .when(status == D.ADDITIONAL_LICENSES, F.coalesce(back, yearly))
-        .when(status == D.NEW_CUSTOMER, F.coalesce(fwd, yearly))
-        .when(back.isNotNull(), back)
-        .when(fwd.isNotNull(), fwd)
-        .otherwise(yearly)
-    )
+    return [
+        ((lic == D.LICENSE_UPGRADE) & (status == D.NEW_PRODUCT_USE)
+         & _within_band("_total_c", "_next_total_c"), F.coalesce(fwd, yearly)),
+        ((lic == D.LICENSE_UPGRADE) & (status == D.RENEWAL)
+         & _within_band("_total_c", "_prev_total_c"), F.coalesce(back, yearly)),
+        (status == D.ADDITIONAL_LICENSES, F.coalesce(back, yearly)),
+        (status == D.NEW_CUSTOMER, F.coalesce(fwd, yearly)),
+        (back.isNotNull(), back),
+        (fwd.isNotNull(), fwd),
+        (F.lit(True), yearly),
+    ]
+
+
+def billing_interval():
+    """m04: the interval of the first matching rule."""
+    rules = _rules()
+    expr = F.when(rules[0][0], rules[0][1])
+    for cond, value in rules[1:-1]:
+        expr = expr.when(cond, value)
+    return expr.otherwise(rules[-1][1])
+
+
+def billing_rule():
+    """Which of the seven rules decided the interval (1-7), for diagnostics."""
+    rules = _rules()
+    expr = F.when(rules[0][0], F.lit(1))
+    for i, (cond, _) in enumerate(rules[1:-1], start=2):
+        expr = expr.when(cond, F.lit(i))
+    return expr.otherwise(F.lit(len(rules)))
 
 
 def classified(stg: DataFrame) -> DataFrame:
@@ -108,6 +126,16 @@ def classified(stg: DataFrame) -> DataFrame:
     )
 
 
+def classified_with_rule(stg: DataFrame) -> DataFrame:
+    """m04 rows plus the number of the rule that decided the interval (diagnostics)."""
+    h = transaction_history(stg)
+    return h.select(
+        "customer", "product_code", "customer_status", "processed_date",
+        billing_interval().alias("final_billing_interval"),
+        billing_rule().alias("billing_rule"),
+    )
+
+
 def _months(n):
     """Explode 1..n as the month counter."""
     return F.explode(F.sequence(F.lit(1), n)).alias("month_counter")

@@ -142,3 +142,56 @@ def test_write_models_round_trip(spark, sales):
     assert _same(read_model(spark, paths[STAGING]), stg)
     assert _same(read_model(spark, paths[SUBSCRIPTION]), M.subscription_mart(stg))
     assert _same(read_model(spark, paths[TRANSACTIONAL]), J.transactional_mart(stg))
+
+
+# Row counts measured on the sf0.01 test tables (FIXTURES.md section 4).
+GOLDEN_ROWS_SF001 = {
+    "s03_txn_histogram": 86, "s12_discount_ge_amount": 503, "e01b_duplicates": 1495,
+    "e02_zero_revenue_codes": 14, "e03_free_renewals": 1573, "e06_suspicious_pairs": 3087,
+    "e07_same_day_new_and_npu": 780, "e08_first_day_not_new": 1990, "e09_negative_by_status": 4,
+    "e11_uncoded_by_free": 2, "e12_free_npu_by_license": 3, "e13_self_transitions": 9,
+    "e14_same_day_anomaly_rows": 415, "e15_repeat_npu": 4209, "t01_dedup": 60000,
+    "t16_staging": 53429, "m13_subscription_mart": 47,
+}
+
+
+def test_golden_row_counts_sf001(spark):
+    from revcurve.plans import registry as R
+    from revcurve.sources.testdata import load_sales
+
+    sales = load_sales(spark, SF01)
+    ops = R.operators()
+    got = {q: ops[q](sales).count() for q in GOLDEN_ROWS_SF001}
+    assert got == GOLDEN_ROWS_SF001
+    s = sales.agg(F.min("processed_date"), F.max("processed_date"),
+                  F.countDistinct("processed_date"), F.countDistinct("discount_id")).first()
+    assert (str(s[0]), str(s[1]), s[2], s[3]) == ("2018-01-01", "2020-12-31", 1096, 13)
+
+
+def test_golden_transition_outcomes_sf001(spark):
+    from revcurve.sources.testdata import load_sales
+
+    mart = J.transactional_mart(T.staging_model(load_sales(spark, SF01)))
+    c = mart.agg(
+        F.count_if(F.col("transition_flag") & (F.col("from_path") == D.NEW_CUSTOMER_PATH)).alias("a"),
+        F.count_if(F.col("transition_flag") & (F.col("from_path") != D.NEW_CUSTOMER_PATH)).alias("b"),
+        F.count_if(~F.col("transition_flag") & (F.col("from_path") == F.col("to_path"))).alias("c"),
+        F.count_if(F.col("from_path").isNull()).alias("d"),
+    ).first()
+    assert (c["a"], c["b"], c["c"], c["d"]) == (2884, 6592, 42874, 1079)
+
+
+def test_golden_billing_rules_sf001(spark):
+    """(rule, interval) counts on the sf0.01 test tables (FIXTURES.md section 4)."""
+    from revcurve.sources.testdata import load_sales
+
+    rows = (M.classified_with_rule(T.staging_model(load_sales(spark, SF01)))
+            .groupBy("billing_rule", "final_billing_interval").count().collect())
+    got = {(r["billing_rule"], r["final_billing_interval"]): r["count"] for r in rows}
+    expected = {
+        (1, "Monthly"): 90, (1, "Yearly"): 1698, (2, "Monthly"): 161, (2, "Yearly"): 3975,
+        (3, "Monthly"): 480, (3, "Yearly"): 10553, (4, "Monthly"): 125, (4, "Yearly"): 2759,
+        (5, "Monthly"): 1150, (5, "Yearly"): 5571, (6, "Monthly"): 968, (6, "Yearly"): 5027,
+        (7, "Yearly"): 20872,
+    }
+    assert got == expected

@@ -114,7 +114,7 @@ def test_command_line_runs_a_query_on_csv(spark, tmp_path, capsys):
 
 def test_models_write_as_csv_and_read_back(spark, tmp_path):
     from revcurve.operators import subscription as M
-    from revcurve.sources.files import read_sales as rs, write_model as wm
+    from revcurve.sources.files import write_model as wm
 
     sales = _sales_file(spark)
     mart = M.subscription_mart(T.staging_model(sales))
@@ -122,4 +122,3 @@ def test_models_write_as_csv_and_read_back(spark, tmp_path):
     wm(mart, out, fmt="csv")
     back = spark.read.option("header", "true").csv(out)
     assert back.count() == mart.count() and "churned_mrr" in back.columns
-    assert rs is not None
