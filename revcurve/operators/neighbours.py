@@ -23,6 +23,10 @@ differently; reading one written copy guarantees that the summary and the rows i
 the same partitioning. It also cuts the lineage, so a lost executor re-reads the copy instead
 of re-running the upstream shuffles.
 
+Sizing: one slice per ``SLICE_INPUT_BYTES`` of scanned input (file sizes of the relations read,
+not the optimizer's estimate, which multiplies through joins), at least the configured
+parallelism; the exchange on the slice id uses the same count, so a task holds about one slice.
+
 Ties in ``order`` are broken arbitrarily, as in a window; callers pass an ``order`` that is
 unique per row or accept that equal rows are interchangeable.
 """
