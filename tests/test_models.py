@@ -195,3 +195,25 @@ def test_golden_billing_rules_sf001(spark):
         (7, "Yearly"): 20872,
     }
     assert got == expected
+
+
+def test_golden_counts_sf0001(spark):
+    """Measured on the sf0.001 test tables (FIXTURES.md section 4)."""
+    from revcurve.sources.testdata import load_sales
+
+    sales = load_sales(spark, SF001)
+    stg = T.staging_model(sales)
+    assert sales.count() == 6142
+    assert E.deduplicate(sales).count() == 6000
+    assert stg.count() == 5796
+    assert stg.filter(F.col("discount_percentage").isNull()).count() == 2
+    assert stg.filter(F.col("surcharge_amount_in_usd") > 0).count() == 17
+    mart = J.transactional_mart(stg)
+    flags = mart.agg(
+        F.count_if(F.col("transition_flag") & (F.col("from_path") == D.NEW_CUSTOMER_PATH)),
+        F.count_if(F.col("transition_flag") & (F.col("from_path") != D.NEW_CUSTOMER_PATH)),
+        F.count_if(~F.col("transition_flag") & (F.col("from_path") == F.col("to_path"))),
+        F.count_if(F.col("from_path").isNull()),
+    ).first()
+    assert tuple(flags) == (278, 1048, 4358, 112)
+    assert M.subscription_mart(stg).count() == 47
