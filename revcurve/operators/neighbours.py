@@ -114,32 +114,35 @@ def ordered_neighbours(
     n = num_partitions or slice_count(df)
 
     base_cols = df.columns
-    w_val = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
     ranged = (
         df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in keys])
         .withColumn("_nb_pid", F.spark_partition_id())
-        .withColumn("_nb_w", w_val)
         # one hash exchange on the partition id, as many partitions as slices: every slice
         # stays whole in about one task, and the windows over (pid, group) and over (pid)
         # below share the exchange and one sort
         .repartition(n, "_nb_pid")
     )
+    if count_before:
+        ranged = ranged.withColumn(
+            "_nb_w", F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+        )
 
     w = Window.partitionBy("_nb_pid", *group).orderBy(*[F.col(c).asc_nulls_first() for c in order])
     w_seg = Window.partitionBy("_nb_pid", *group)
     w_part = Window.partitionBy("_nb_pid").orderBy(*[F.col(c).asc_nulls_first() for c in keys])
     local_cols = [
         F.row_number().over(w).alias("_nb_pos"),
-        F.count(F.lit(1)).over(w_seg).alias("_nb_seg_n"),
-        F.sum("_nb_w").over(w_seg).alias("_nb_seg_w"),
         F.row_number().over(w_part).alias("_nb_ppos"),
         F.count(F.lit(1)).over(Window.partitionBy("_nb_pid")).alias("_nb_pn"),
     ]
+    if lead:
+        local_cols.append(F.count(F.lit(1)).over(w_seg).alias("_nb_seg_n"))
     for out, src in lag.items():
         local_cols.append(F.lag(src).over(w).alias(f"_nb_lag_{out}"))
     for out, src in lead.items():
         local_cols.append(F.lead(src).over(w).alias(f"_nb_lead_{out}"))
     if count_before:
+        local_cols.append(F.sum("_nb_w").over(w_seg).alias("_nb_seg_w"))
         local_cols.append(
             F.coalesce(
                 F.sum("_nb_w").over(w.rowsBetween(Window.unboundedPreceding, -1)),
@@ -150,16 +153,17 @@ def ordered_neighbours(
 
     # The first and the last row of every non-empty partition: at most 2 rows per partition.
     edge_vals = sorted(set(lag.values()) | set(lead.values()))
+    seg_w = [F.col("_nb_seg_w")] if count_before else [F.lit(0).cast("bigint").alias("_nb_seg_w")]
     edges = local.filter((F.col("_nb_ppos") == 1) | (F.col("_nb_ppos") == F.col("_nb_pn")))
     firsts = edges.filter(F.col("_nb_ppos") == 1).select(
         "_nb_pid",
         F.struct(*group).alias("_fg"),
-        F.struct(*[F.col(c).alias(c) for c in edge_vals], "_nb_seg_w").alias("_fv"),
+        F.struct(*[F.col(c).alias(c) for c in edge_vals], *seg_w).alias("_fv"),
     )
     lasts = edges.filter(F.col("_nb_ppos") == F.col("_nb_pn")).select(
         "_nb_pid",
         F.struct(*group).alias("_lg"),
-        F.struct(*[F.col(c).alias(c) for c in edge_vals], "_nb_seg_w").alias("_lv"),
+        F.struct(*[F.col(c).alias(c) for c in edge_vals], *seg_w).alias("_lv"),
     )
     summary = firsts.join(lasts, "_nb_pid")
     ws = Window.orderBy("_nb_pid")
