@@ -38,35 +38,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revcurve.sources.files import materialize
+from revcurve.sources.files import materialize, scanned_bytes
 
 
 # Input (file) bytes per range slice when the input is large. Parquet input is compressed,
 # so a slice holds several times this much in memory: well within an executor, and spillable.
 SLICE_INPUT_BYTES = 256 * 1024 * 1024
 MAX_SLICES = 1_000_000
-# Leaves whose size statistics are the data actually read.
-_SIZED_LEAVES = ("LogicalRelation", "HiveTableRelation", "LocalRelation", "DataSourceV2Relation",
-                 "DataSourceV2ScanRelation", "Range")
-
-
-def _scan_bytes(df: DataFrame) -> int | None:
-    """Bytes of the relations ``df`` reads (file sizes), or None when one is unknown.
-
-    Plan-level estimates multiply through joins and can be off by orders of magnitude; the
-    leaves' sizes are the files actually scanned.
-    """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    total = 0
-    for i in range(leaves.size()):
-        leaf = leaves.apply(i)
-        if leaf.getClass().getSimpleName() not in _SIZED_LEAVES:
-            return None  # e.g. an RDD-backed relation carrying a stale plan estimate
-        size = int(str(leaf.stats().sizeInBytes()))
-        if size >= 1 << 62:
-            return None
-        total += size
-    return total
 
 
 def slice_count(df: DataFrame) -> int:
@@ -76,7 +54,7 @@ def slice_count(df: DataFrame) -> int:
     n = min(int(spark.conf.get("spark.sql.shuffle.partitions")),
             spark.sparkContext.defaultParallelism)
     try:
-        scanned = _scan_bytes(df)
+        scanned = scanned_bytes(df)
     except Exception:  # no JVM plan access (e.g. a remote session): keep the setting
         return n
     if scanned is None:

@@ -128,3 +128,27 @@ def release_materialized(spark: SparkSession, keep: list[str] | None = None) ->
         hp = jvm.org.apache.hadoop.fs.Path(p)
         hp.getFileSystem(conf).delete(hp, True)
     return len(paths)
+
+
+# Leaves whose size statistics are the data actually read.
+_SIZED_LEAVES = ("LogicalRelation", "HiveTableRelation", "LocalRelation", "DataSourceV2Relation",
+                 "DataSourceV2ScanRelation", "Range")
+
+
+def scanned_bytes(df: DataFrame) -> int | None:
+    """Bytes of the relations ``df`` reads (file sizes), or None when one is unknown.
+
+    Plan-level estimates multiply through joins and can be off by orders of magnitude; the
+    leaves' sizes are the files actually scanned.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = 0
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() not in _SIZED_LEAVES:
+            return None  # e.g. an RDD-backed relation carrying a stale plan estimate
+        size = int(str(leaf.stats().sizeInBytes()))
+        if size >= 1 << 62:
+            return None
+        total += size
+    return total

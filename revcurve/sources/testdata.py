@@ -27,14 +27,12 @@ from pyspark.sql import functions as F
 
 from revcurve.functions import domain as D
 from revcurve.plans.session import ensure_checkpoint_dir
-from revcurve.sources.files import read_sales
+from revcurve.sources.files import read_sales, scanned_bytes
 
 
 def _scan_bytes(df: DataFrame) -> int | None:
-    from revcurve.operators.neighbours import _scan_bytes as scan
-
     try:
-        return scan(df)
+        return scanned_bytes(df)
     except Exception:  # no JVM plan access
         return None
 

@@ -85,7 +85,9 @@ def test_slice_count_follows_scanned_bytes(spark, monkeypatch, tmp_path):
     spark.range(0, 200_000).selectExpr("id", "id % 7 AS g").write.parquet(path)
     df = spark.read.parquet(path)
     joined = df.join(df.withColumnRenamed("id", "id2"), "g")  # plan estimate explodes here
-    scanned = N._scan_bytes(joined)
+    from revcurve.sources.files import scanned_bytes
+
+    scanned = scanned_bytes(joined)
     assert scanned is not None and scanned < 10 * 1024 * 1024
     monkeypatch.setattr(N, "SLICE_INPUT_BYTES", 64 * 1024)
     floor = min(int(spark.conf.get("spark.sql.shuffle.partitions")),
