@@ -122,3 +122,18 @@ def test_models_write_as_csv_and_read_back(spark, tmp_path):
     wm(mart, out, fmt="csv")
     back = spark.read.option("header", "true").csv(out)
     assert back.count() == mart.count() and "churned_mrr" in back.columns
+
+
+def test_customer_lookup_forms(spark):
+    from pyspark.sql import functions as F
+
+    from revcurve.operators import explore as E
+
+    sales = _sales_file(spark)
+    one = E.customer_rows(sales, 13)
+    assert one.count() == sales.filter(F.col("customer") == 13).count() > 0
+    some = E.customer_rows(sales, [13, 14])
+    assert some.count() == sales.filter(F.col("customer").isin(13, 14)).count()
+    ids = spark.createDataFrame([(13,), (14,), (14,)], "customer bigint")
+    assert E.customer_rows(sales, ids).exceptAll(some).count() == 0
+    assert "PushedFilters: [IsNotNull(customer), EqualTo(customer,13)]" in _plan(one)
