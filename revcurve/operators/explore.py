@@ -4,7 +4,8 @@ Row-order questions (previous product, purchase rank) run on the raw table, whic
 exact copies. Copies are first collapsed into one row with a multiplicity (an aggregate with
 map-side combining, so even a huge pile of copies is reduced before the shuffle), and the
 ordered computation runs on distinct rows through the skew-safe neighbour operator. The
-multiplicity is expanded again only where single rows are reported.
+multiplicity is expanded again only where single rows are reported, through
+``explode_range``, which spreads a long expansion over many tasks.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from revcurve.functions import domain as D
 from revcurve.functions.money import div_round, to_cents, usd
 from revcurve.operators.neighbours import ordered_neighbours
+from revcurve.operators.ranges import explode_range
 
 # Exact-duplicate key: the nine columns, with the two amounts compared as text (so that
 # values that print differently, such as 0.0 and -0.0, stay different rows).
@@ -64,10 +66,8 @@ def duplicate_copies(sales: DataFrame) -> DataFrame:
         .withColumn("amount_in_usd", F.col("_amount_txt").cast("double"))
         .withColumn("discount_in_usd", F.col("_discount_txt").cast("double"))
     )
-    return groups.select(
-        *D.SALES_COLUMNS,
-        F.explode(F.sequence(F.lit(2).cast("bigint"), F.col("_k"))).alias("row_num"),
-    )
+    return explode_range(groups.select(*D.SALES_COLUMNS, "_k"), F.lit(2), F.col("_k"),
+                         "row_num").select(*D.SALES_COLUMNS, "row_num")
 
 
 def zero_revenue_codes(sales: DataFrame) -> DataFrame:
@@ -296,9 +296,16 @@ def repeat_npu(sales: DataFrame) -> DataFrame:
     hits = nb.filter(
         (F.col("customer_status") == D.NEW_PRODUCT_USE) & (F.col("license_type") == D.LICENSE_NEW)
     )
-    ranked = hits.select(
+    # ranks above 1 only: the copies of a row take consecutive ranks
+    hits = hits.select(
         "customer", "product_code", "processed_date", "customer_status", "license_type",
-        F.explode(F.sequence(F.col("_before") + 1, F.col("_before") + F.col("_mult")))
-        .alias("purchase_rank"),
+        "_before", "_mult",
+    )
+    ranked = explode_range(
+        hits, F.greatest(F.col("_before") + 1, F.lit(2)), F.col("_before") + F.col("_mult"),
+        "purchase_rank",
     )
-    return ranked.filter(F.col("purchase_rank") > 1).orderBy("customer", "processed_date")
+    return ranked.select(
+        "customer", "product_code", "processed_date", "customer_status", "license_type",
+        "purchase_rank",
+    ).orderBy("customer", "processed_date")
