@@ -28,7 +28,11 @@ not the optimizer's estimate, which multiplies through joins), at least the conf
 parallelism; the exchange on the slice id uses the same count, so a task holds about one slice.
 
 Ties in ``order`` are broken arbitrarily, as in a window; callers pass an ``order`` that is
-unique per row or accept that equal rows are interchangeable.
+unique per row or accept that equal rows are interchangeable. Range partitioning cannot
+split rows whose ``group + order`` keys are equal, so keys must be (nearly) unique: callers
+collapse exact copies into a multiplicity first (``weight``). In this package the inputs are
+deduplicated rows, collapsed copies, or staging rows (equal at most three at a time, when the
+license fix makes rows identical).
 """
 
 from __future__ import annotations
