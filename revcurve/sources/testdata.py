@@ -21,6 +21,7 @@ from __future__ import annotations
 import datetime as _dt
 import hashlib
 import os
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -170,6 +171,7 @@ def sales_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LOADED: dict[tuple[str, str], str] = {}
+_LOAD_LOCK = threading.Lock()
 FILE_INPUT_BYTES = 128 * 1024 * 1024
 
 
@@ -182,6 +184,12 @@ def load_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     cluster: a shared folder), in a sub-folder unique to this application.
     """
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    with _LOAD_LOCK:  # queries built from several threads write the table once
+        path = _load_once(spark, sf_dir, key)
+    return read_sales(spark, path)
+
+
+def _load_once(spark: SparkSession, sf_dir: str, key: tuple[str, str]) -> str:
     path = _LOADED.get(key)
     if path is None:
         base = ensure_checkpoint_dir(spark)
@@ -194,4 +202,4 @@ def load_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         files = max(spark.sparkContext.defaultParallelism, scanned // FILE_INPUT_BYTES)
         sales.repartition(int(files)).write.mode("overwrite").parquet(path)
         _LOADED[key] = path
-    return read_sales(spark, path)
+    return path
