@@ -22,9 +22,9 @@ of three joins (each shuffling both sides on its own keys) or windows over ``cus
 * one ``groupBy`` over the rows gives per-block facts (map-side partial aggregation, so a huge
   block is reduced before it is shuffled; the facts are max / min, so copies need no
   deduplication first and the dedup shuffle is paid only on the row side);
-* a window over the *block table* adds each customer's first new-customer day and each
-  (customer, product)'s first day. A customer has at most days x products blocks, a bound set
-  by the calendar and the catalogue, not by the data volume;
+* each customer's first new-customer day and each (customer, product)'s first day are small
+  aggregates (one row per customer / pair) joined to the block table; no window holds a
+  customer's blocks, so a customer with a long history and a large catalogue is not one task;
 * one join attaches the flags to the rows (null-safe on the block key, so a row with a NULL
   product still gets its customer-day flag). AQE's skew-join handling splits a hot block.
 
@@ -34,7 +34,7 @@ row is kept; every flag is therefore ``coalesce(..., false)``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revcurve.functions import domain as D
@@ -145,15 +145,21 @@ def block_flags(rows: DataFrame) -> DataFrame:
         *[F.max(F.when(cand, F.col(c).isNull())).alias(f"_maxnull_{c}") for c in _CAND_COLS],
         *[F.min(F.when(cand, F.col(c).isNull())).alias(f"_minnull_{c}") for c in _CAND_COLS],
     )
-    by_customer = Window.partitionBy("customer")
-    by_product = Window.partitionBy("customer", "product_code")
-    blocks = blocks.select(
-        "*",
-        F.min(F.when(F.col("_has_nc"), F.col("processed_date"))).over(by_customer)
-        .alias("_first_nc_day"),
-        F.min("processed_date").over(by_product).alias("_first_day"),
+    # Per customer and per (customer, product): small aggregates joined to the block table
+    # (no window over a customer's blocks, so no task holds a whole customer). A NULL key
+    # never matches here, like in NOT EXISTS; the row-level guards skip such rows anyway.
+    first_nc = (
+        rows.filter(status == D.NEW_CUSTOMER)
+        .groupBy("customer")
+        .agg(F.min("processed_date").alias("_first_nc_day"))
+    )
+    first_day = rows.groupBy("customer", "product_code").agg(
+        F.min("processed_date").alias("_first_day"),
         # rank order puts NULL days first: a NULL-day purchase precedes every dated one
-        F.max(F.col("processed_date").isNull()).over(by_product).alias("_null_day"),
+        F.max(F.col("processed_date").isNull()).alias("_null_day"),
+    )
+    blocks = blocks.join(first_nc, "customer", "left").join(
+        first_day, ["customer", "product_code"], "left"
     )
     day = F.col("processed_date")
     has_cand = F.coalesce(F.col("_has_cand"), F.lit(False))
