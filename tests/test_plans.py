@@ -137,3 +137,17 @@ def test_customer_lookup_forms(spark):
     ids = spark.createDataFrame([(13,), (14,), (14,)], "customer bigint")
     assert E.customer_rows(sales, ids).exceptAll(some).count() == 0
     assert "PushedFilters: [IsNotNull(customer), EqualTo(customer,13)]" in _plan(one)
+
+
+def test_read_sales_with_renamed_export(spark, tmp_path):
+    from revcurve.functions import domain as D
+    from revcurve.sources.files import read_sales
+
+    pdf = frame(crafted())
+    names = {c: f"src_{c}" for c in D.SALES_COLUMNS}
+    path = str(tmp_path / "export.csv")
+    pdf.rename(columns=names).to_csv(path, index=False)
+    df = read_sales(spark, path, fmt="csv", rename={v: k for k, v in names.items()})
+    assert df.columns == list(D.SALES_COLUMNS)
+    assert df.count() == len(pdf)
+    assert df.filter("discount_id IS NULL").count() == int(pdf["discount_id"].isna().sum())
