@@ -136,7 +136,6 @@ def block_flags(rows: DataFrame) -> DataFrame:
     blocks = rows.groupBy(*BLOCK).agg(
         F.max((status == D.NEW_CUSTOMER) & (lic == D.LICENSE_NEW)).alias("_nc_new"),
         F.max((status == D.NEW_PRODUCT_USE) & (lic == D.LICENSE_NEW)).alias("_npu_new"),
-        F.max(status == D.NEW_CUSTOMER).alias("_has_nc"),
         F.max(cand).alias("_has_cand"),
         F.max(F.coalesce(before_cand, F.lit(False))).alias("_before_cand"),
         # distinct candidates differ in amount, discount or quantity (all else is shared)
