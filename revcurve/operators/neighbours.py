@@ -23,6 +23,11 @@ differently; reading one written copy guarantees that the summary and the rows i
 the same partitioning. It also cuts the lineage, so a lost executor re-reads the copy instead
 of re-running the upstream shuffles.
 
+Small inputs: when the whole input scans at most ``SMALL_INPUT_BYTES`` (one slice), a single
+group of it already fits in one bounded task, so a plain window is used (no slicing, no
+copy). The check uses the scanned file sizes, so it suits inputs no larger than what they
+read (filters, aggregates, key-preserving joins), which is what this package passes.
+
 Sizing: one slice per ``SLICE_INPUT_BYTES`` of scanned input (file sizes of the relations read,
 not the optimizer's estimate, which multiplies through joins), at least the configured
 parallelism; the exchange on the slice id uses the same count, so a task holds about one slice.
@@ -51,6 +56,33 @@ SLICE_INPUT_BYTES = 256 * 1024 * 1024
 MAX_SLICES = 1_000_000
 
 
+# An input that scans no more than this fits in one task even if it were a single group: a
+# plain window is then already bounded, and slicing would only add passes.
+SMALL_INPUT_BYTES = SLICE_INPUT_BYTES
+
+
+def _needs_slicing(df: DataFrame) -> bool:
+    try:
+        scanned = scanned_bytes(df)
+    except Exception:  # no JVM plan access: be safe
+        return True
+    return scanned is None or scanned > SMALL_INPUT_BYTES
+
+
+def _plain_neighbours(df, group, order, lag, lead, count_before, weight) -> DataFrame:
+    w = Window.partitionBy(*group).orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    cols = [F.col(c) for c in df.columns]
+    cols += [F.lag(src).over(w).alias(out) for out, src in lag.items()]
+    cols += [F.lead(src).over(w).alias(out) for out, src in lead.items()]
+    if count_before:
+        wv = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+        cols.append(
+            F.coalesce(F.sum(wv).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+                       F.lit(0).cast("bigint")).alias(count_before)
+        )
+    return df.select(*cols)
+
+
 def slice_count(df: DataFrame) -> int:
     """Number of range slices: one per ``SLICE_INPUT_BYTES`` of scanned input, at least the
     smaller of the shuffle-partition setting and the cluster's default parallelism."""
@@ -91,6 +123,8 @@ def ordered_neighbours(
     lag = dict(lag or {})
     lead = dict(lead or {})
     group, order = list(group), list(order)
+    if num_partitions is None and not keep_slice and not _needs_slicing(df):
+        return _plain_neighbours(df, group, order, lag, lead, count_before, weight)
     keys = group + order
     spark = df.sparkSession
     n = num_partitions or slice_count(df)

@@ -58,9 +58,14 @@ CORE = ["t16_staging", "j05_transactional_mart", "m13_subscription_mart", "e13_s
         "e15_repeat_npu"]
 
 
+@pytest.mark.parametrize("sliced", [True, False])
 @pytest.mark.parametrize("seed,hot", [(21, 0.0), (22, 0.2), (23, 0.34), (24, 0.6), (25, 0.9),
                                       (26, 0.34)])
-def test_core_models_on_random_rows(spark, seed, hot):
+def test_core_models_on_random_rows(spark, monkeypatch, seed, hot, sliced):
+    import revcurve.operators.neighbours as N
+
+    # sliced: force the range-sliced path even though the input is tiny
+    monkeypatch.setattr(N, "SMALL_INPUT_BYTES", -1 if sliced else N.SMALL_INPUT_BYTES)
     pdf = frame(random_rows(seed, 400, hot_share=hot))
     con = duckdb.connect()
     con.register("hand_sales", pdf)
