@@ -34,13 +34,15 @@ row is kept; every flag is therefore ``coalesce(..., false)``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revcurve.functions import domain as D
 from revcurve.functions.money import div_round, to_cents, usd
 from revcurve.operators.explore import deduplicate, free_renewal_condition, license_fix_condition
+from revcurve.operators import neighbours as N
 from revcurve.operators.neighbours import ordered_neighbours
+from revcurve.sources.files import scanned_bytes
 
 BLOCK = ("customer", "processed_date", "product_code")
 # Order of purchases within (customer, product): day, then the remaining columns.
@@ -110,6 +112,52 @@ def repeat_new_product_use(dd: DataFrame) -> DataFrame:
              "purchase_rank")
 
 
+def _facts(rows: DataFrame):
+    """(name, aggregate) pairs of the per-block facts; usable as window functions too."""
+    status, lic = F.col("customer_status"), F.col("license_type")
+    cand = (status == D.NEW_PRODUCT_USE) & (lic == D.LICENSE_NEW) & F.col("discount_id").isNull()
+    # A row that sorts before any candidate in the purchase order (status, license, code NULLS
+    # FIRST, ...): candidates all share (NPU, New, NULL code), so only status / license decide.
+    before_cand = (
+        status.isNull() | (status < D.NEW_PRODUCT_USE)
+        | ((status == D.NEW_PRODUCT_USE) & (lic.isNull() | (lic < D.LICENSE_NEW)))
+    )
+    facts = [
+        ("_nc_new", F.max((status == D.NEW_CUSTOMER) & (lic == D.LICENSE_NEW))),
+        ("_npu_new", F.max((status == D.NEW_PRODUCT_USE) & (lic == D.LICENSE_NEW))),
+        ("_has_cand", F.max(cand)),
+        ("_before_cand", F.max(F.coalesce(before_cand, F.lit(False)))),
+    ]
+    # distinct candidates differ in amount, discount or quantity (all else is shared)
+    for c in _CAND_COLS:
+        facts += [
+            (f"_min_{c}", F.min(F.when(cand, F.col(c)))),
+            (f"_max_{c}", F.max(F.when(cand, F.col(c)))),
+            (f"_maxnull_{c}", F.max(F.when(cand, F.col(c).isNull()))),
+            (f"_minnull_{c}", F.min(F.when(cand, F.col(c).isNull()))),
+        ]
+    return facts
+
+
+def _flags():
+    """The three removal flags from the facts and the first days (never NULL)."""
+    day = F.col("processed_date")
+    has_cand = F.coalesce(F.col("_has_cand"), F.lit(False))
+    several = F.lit(False)
+    for c in _CAND_COLS:
+        several = (several | ~F.col(f"_min_{c}").eqNullSafe(F.col(f"_max_{c}"))
+                   | ~F.col(f"_minnull_{c}").eqNullSafe(F.col(f"_maxnull_{c}")))
+    not_first = F.col("_before_cand")
+    later = F.col("_null_day") | (day > F.col("_first_day"))
+    first = day == F.col("_first_day")
+    repeat = has_cand & (later | (first & (several | not_first)))
+    return [
+        F.coalesce(F.col("_nc_new") & F.col("_npu_new"), F.lit(False)).alias("drop_npu_anomaly"),
+        F.coalesce(repeat, F.lit(False)).alias("drop_npu_repeat"),
+        F.coalesce(day == F.col("_first_nc_day"), F.lit(False)).alias("drop_renewal"),
+    ]
+
+
 def block_flags(rows: DataFrame) -> DataFrame:
     """Per (customer, day, product) block: the three removal flags.
 
@@ -121,34 +169,12 @@ def block_flags(rows: DataFrame) -> DataFrame:
     from the raw rows directly, and the deduplication shuffle is paid once, on the row side
     only. All facts are scalar max / min, so the aggregate stays a hash aggregate.
     """
-    status, lic = F.col("customer_status"), F.col("license_type")
-    cand = (status == D.NEW_PRODUCT_USE) & (lic == D.LICENSE_NEW) & F.col("discount_id").isNull()
-    # A row that sorts before any candidate in the purchase order (status, license, code NULLS
-    # FIRST, ...): candidates all share (NPU, New, NULL code), so only status / license decide.
-    before_cand = (
-        status.isNull() | (status < D.NEW_PRODUCT_USE)
-        | ((status == D.NEW_PRODUCT_USE) & (lic.isNull() | (lic < D.LICENSE_NEW)))
-    )
-
-    def cand_val(c):
-        return F.when(cand, F.col(c))
-
-    blocks = rows.groupBy(*BLOCK).agg(
-        F.max((status == D.NEW_CUSTOMER) & (lic == D.LICENSE_NEW)).alias("_nc_new"),
-        F.max((status == D.NEW_PRODUCT_USE) & (lic == D.LICENSE_NEW)).alias("_npu_new"),
-        F.max(cand).alias("_has_cand"),
-        F.max(F.coalesce(before_cand, F.lit(False))).alias("_before_cand"),
-        # distinct candidates differ in amount, discount or quantity (all else is shared)
-        *[F.min(cand_val(c)).alias(f"_min_{c}") for c in _CAND_COLS],
-        *[F.max(cand_val(c)).alias(f"_max_{c}") for c in _CAND_COLS],
-        *[F.max(F.when(cand, F.col(c).isNull())).alias(f"_maxnull_{c}") for c in _CAND_COLS],
-        *[F.min(F.when(cand, F.col(c).isNull())).alias(f"_minnull_{c}") for c in _CAND_COLS],
-    )
+    blocks = rows.groupBy(*BLOCK).agg(*[e.alias(n) for n, e in _facts(rows)])
     # Per customer and per (customer, product): small aggregates joined to the block table
     # (no window over a customer's blocks, so no task holds a whole customer). A NULL key
     # never matches here, like in NOT EXISTS; the row-level guards skip such rows anyway.
     first_nc = (
-        rows.filter(status == D.NEW_CUSTOMER)
+        rows.filter(F.col("customer_status") == D.NEW_CUSTOMER)
         .groupBy("customer")
         .agg(F.min("processed_date").alias("_first_nc_day"))
     )
@@ -160,26 +186,10 @@ def block_flags(rows: DataFrame) -> DataFrame:
     blocks = blocks.join(first_nc, "customer", "left").join(
         first_day, ["customer", "product_code"], "left"
     )
-    day = F.col("processed_date")
-    has_cand = F.coalesce(F.col("_has_cand"), F.lit(False))
-    several = F.lit(False)
-    for c in _CAND_COLS:
-        several = (several | ~F.col(f"_min_{c}").eqNullSafe(F.col(f"_max_{c}"))
-                   | ~F.col(f"_minnull_{c}").eqNullSafe(F.col(f"_maxnull_{c}")))
-    not_first = F.col("_before_cand")
-    later = F.col("_null_day") | (day > F.col("_first_day"))
-    first = day == F.col("_first_day")
-    repeat = has_cand & (later | (first & (several | not_first)))
-    return blocks.select(
-        *BLOCK,
-        F.coalesce(F.col("_nc_new") & F.col("_npu_new"), F.lit(False)).alias("drop_npu_anomaly"),
-        F.coalesce(repeat, F.lit(False)).alias("drop_npu_repeat"),
-        F.coalesce(day == F.col("_first_nc_day"), F.lit(False)).alias("drop_renewal"),
-    )
+    return blocks.select(*BLOCK, *_flags())
 
 
-def flagged_rows(sales: DataFrame) -> DataFrame:
-    """Deduplicated rows with their block's removal flags attached (null-safe join)."""
+def _flagged_rows_by_blocks(sales: DataFrame) -> DataFrame:
     dd = deduplicate(sales)
     flags = block_flags(sales)
     flags = flags.select(
@@ -192,6 +202,43 @@ def flagged_rows(sales: DataFrame) -> DataFrame:
     )
 
 
+def _flagged_rows_by_windows(sales: DataFrame) -> DataFrame:
+    """Small inputs: one shuffle by customer, then deduplication and every fact as a window
+    on that partitioning (a whole customer fits in one task when the whole input does)."""
+    dd = deduplicate(sales.repartition("customer"))
+    by_block = Window.partitionBy(*BLOCK)
+    by_product = Window.partitionBy("customer", "product_code")
+    facts = [e.over(by_block).alias(n) for n, e in _facts(dd)]
+    firsts = [
+        F.min(F.when(F.col("customer_status") == D.NEW_CUSTOMER, F.col("processed_date")))
+        .over(Window.partitionBy("customer")).alias("_first_nc_day"),
+        F.min("processed_date").over(by_product).alias("_first_day"),
+        F.max(F.col("processed_date").isNull()).over(by_product).alias("_null_day"),
+    ]
+    return dd.select("*", *facts, *firsts).select(*D.SALES_COLUMNS, *_flags())
+
+
+def flagged_rows(sales: DataFrame) -> DataFrame:
+    """Deduplicated rows with their block's removal flags attached.
+
+    Inputs that scan more than one slice (``SMALL_INPUT_BYTES``) take the block plan: hash
+    aggregates and AQE-splittable joins, no window, so no task holds a whole customer.
+    Smaller inputs fit in one task even as a single customer, and take the one-shuffle plan:
+    partition by customer, then windows.
+    """
+    if _is_small(sales):
+        return _flagged_rows_by_windows(sales)
+    return _flagged_rows_by_blocks(sales)
+
+
+def _is_small(df: DataFrame) -> bool:
+    try:
+        scanned = scanned_bytes(df)
+    except Exception:  # no JVM plan access: take the plan that is safe at any size
+        return False
+    return scanned is not None and scanned <= N.SMALL_INPUT_BYTES
+
+
 def _keys_present(*cols: str):
     cond = F.lit(True)
     for c in cols:

@@ -22,8 +22,13 @@ def _same(a, b):
     return a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-def test_staging_equals_not_exists_twin(spark, sales):
-    """Block flags give the same rows as the literal NOT EXISTS statement run by Spark."""
+@pytest.mark.parametrize("plan", ["windows", "blocks"])
+def test_staging_equals_not_exists_twin(spark, sales, monkeypatch, plan):
+    """Both staging plans give the same rows as the literal NOT EXISTS statement run by Spark."""
+    import revcurve.operators.neighbours as N
+
+    if plan == "blocks":
+        monkeypatch.setattr(N, "SMALL_INPUT_BYTES", -1)
     E.deduplicate(sales).createOrReplaceTempView("dd")
     twin = spark.sql(f"""
       WITH first_transaction AS (

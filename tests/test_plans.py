@@ -32,7 +32,10 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "ReadSchema: struct<customer:bigint>" in plan
 
 
-def test_staging_uses_no_anti_join_and_no_row_window_by_customer(spark):
+def test_staging_uses_no_anti_join_and_no_row_window_by_customer(spark, monkeypatch):
+    import revcurve.operators.neighbours as N
+
+    monkeypatch.setattr(N, "SMALL_INPUT_BYTES", -1)  # the plan used above one slice of input
     sales = _sales_file(spark)
     plan = _plan(T.staging_model(sales))
     assert "LeftAnti" not in plan
@@ -72,7 +75,16 @@ def _hot_block_sales(spark, n=200_000):
     )
 
 
-def test_hot_block_join_is_split_by_aqe(spark):
+def test_small_input_staging_is_one_shuffle_by_customer(spark):
+    sales = _sales_file(spark)
+    plan = _plan(T.staging_model(sales))
+    assert "Join" not in plan and "Exchange hashpartitioning(customer" in plan
+
+
+def test_hot_block_join_is_split_by_aqe(spark, monkeypatch):
+    import revcurve.operators.neighbours as N
+
+    monkeypatch.setattr(N, "SMALL_INPUT_BYTES", -1)  # the block plan of large inputs
     conf = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
