@@ -119,6 +119,7 @@ def ordered_neighbours(
 
     Sort order is ascending with NULLs first for every ``group`` and ``order`` column.
     ``keep_slice`` also returns the range slice of each row (``_nb_pid``), for inspection.
+    Passing ``num_partitions`` or ``keep_slice`` always takes the sliced path.
     """
     lag = dict(lag or {})
     lead = dict(lead or {})
