@@ -6,9 +6,9 @@ data. This operator computes the same values without that bound:
 
 1. ``repartitionByRange`` on ``group + order`` (sampled bounds): a hot group is cut into
    contiguous slices spread over many partitions; every partition holds a bounded key range.
-2. One hash exchange on the partition id keeps every slice whole in one task (each slice is
-   bounded by the range partitioning) and sends the slices of a hot group to different
-   tasks. A window over ``(partition id, group)`` gives the local ``lag`` / ``lead`` /
+2. One exchange on the partition id (range-partitioned on the id, so about one slice per
+   task) keeps every slice whole in one task (each slice is bounded by the range
+   partitioning) and sends the slices of a hot group to different tasks. A window over ``(partition id, group)`` gives the local ``lag`` / ``lead`` /
    running count; a window over the partition id marks its first and last row. Both share
    the exchange and one sort.
 3. The first and last row of every partition (at most ``2 n`` rows, so a broadcast of proven
@@ -134,10 +134,11 @@ def ordered_neighbours(
     ranged = (
         df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in keys])
         .withColumn("_nb_pid", F.spark_partition_id())
-        # one hash exchange on the partition id, as many partitions as slices: every slice
-        # stays whole in about one task, and the windows over (pid, group) and over (pid)
-        # below share the exchange and one sort
-        .repartition(n, "_nb_pid")
+        # one exchange on the slice id, range-partitioned so that consecutive ids share a
+        # task and each task holds about one slice (hashing n ids into n tasks would pile
+        # several slices into some tasks); the windows over (pid, group) and over (pid)
+        # below share this exchange and one sort
+        .repartitionByRange(n, "_nb_pid")
     )
     if count_before:
         ranged = ranged.withColumn(
