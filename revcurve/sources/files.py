@@ -66,12 +66,17 @@ def save_model_table(
     bucket_by: str | None = None,
     buckets: int = 0,
     sort_by: tuple[str, ...] = (),
+    path: str | None = None,
 ) -> None:
     """Persist a model as a catalog table, optionally bucketed (e.g. staging by customer).
 
     A table bucketed by ``customer`` lets later per-customer jobs skip their shuffle.
+    ``path`` makes it an external table at that location (a shared folder on a cluster)
+    instead of the warehouse folder.
     """
     w = df.write.mode("overwrite").format("parquet")
+    if path:
+        w = w.option("path", path)
     if bucket_by and buckets > 0:
         w = w.bucketBy(buckets, bucket_by)
         if sort_by:
