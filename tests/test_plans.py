@@ -177,3 +177,16 @@ def test_bucketed_model_table_round_trip(spark, tmp_path):
     plan = _plan(back.groupBy("customer").count())
     assert "Exchange" not in plan
     spark.sql("DROP TABLE revcurve_test_stg")
+
+
+def test_no_query_uses_a_cross_or_nested_loop_join(spark, monkeypatch):
+    import revcurve.operators.neighbours as N
+    from revcurve.plans import registry as R
+
+    sales = _sales_file(spark)
+    for large in (False, True):
+        if large:
+            monkeypatch.setattr(N, "SMALL_INPUT_BYTES", -1)
+        for name, fn in R.operators().items():
+            plan = _plan(fn(sales))
+            assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
