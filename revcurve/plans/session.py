@@ -8,8 +8,9 @@ The settings that matter for this workload:
 * Shuffle partitions sized by the caller (default: 4 x cores locally; on a cluster, size it
   so one partition is ~128-256 MB of shuffle data).
 * Session time zone UTC: dates are derived from timestamps without zone.
-* The checkpoint folder is read from ``spark.checkpoint.dir`` when the cluster sets one; only
-  when it is unset (tests, local runs) is a local folder chosen.
+* The checkpoint folder is read from ``spark.checkpoint.dir``. Only a local master may run
+  without it (tests, one machine); anything else fails, because executors on other machines
+  would each write to a disk of their own.
 """
 
 from __future__ import annotations
@@ -49,18 +50,31 @@ def build_session(
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
+def is_one_machine(master: str) -> bool:
+    """True for masters whose tasks all run in the driver's process."""
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder, setting a local one only when the cluster set none."""
+    """The session's checkpoint folder (``spark.checkpoint.dir``).
+
+    Unset on a local master: a folder of this machine is chosen. Unset on any other master:
+    an error, since a folder of one machine cannot be read by the others.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not is_one_machine(sc.master):
+            raise RuntimeError(
+                f"spark.checkpoint.dir is not set and the master is {sc.master}: set it to a folder "
+                "that the driver and all executors share"
+            )
         configured = tempfile.mkdtemp(prefix="revcurve-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
