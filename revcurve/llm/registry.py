@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revcurve.llm import quality_cnn
+from revcurve.llm import quality_cnn, toxicity
 from revcurve.llm.common import remainder
 
 
@@ -24,9 +24,18 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels are learned where crc32(doc_id) mod 3 is not 1."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    lexicon = toxicity.learn(docs, labels, remainder("doc_id", 3) != 1)
+    return docs.select(
+        "doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), toxicity.score(lexicon).alias("score")
+    ).withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The operators' queries by name."""
-    return {"op10_quality_cnn": op10_quality_cnn}
+    return {"op5_toxicity": op5_toxicity, "op10_quality_cnn": op10_quality_cnn}
 
 
 def oracle_sql() -> dict[str, str]:
