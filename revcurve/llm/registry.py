@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revcurve.llm import quality_cnn, toxicity
+from revcurve.llm import html_extract, quality_cnn, toxicity
 from revcurve.llm.common import remainder
 
 
@@ -15,6 +15,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op9_html_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, site templates removed."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages).select(
+        "page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars")
+    )
+
+
 def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; labels are learned where crc32(doc_id) mod 5 is not 0."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -35,7 +43,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The operators' queries by name."""
-    return {"op5_toxicity": op5_toxicity, "op10_quality_cnn": op10_quality_cnn}
+    return {"op5_toxicity": op5_toxicity, "op9_html_templates": op9_html_templates, "op10_quality_cnn": op10_quality_cnn}
 
 
 def oracle_sql() -> dict[str, str]:
