@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revcurve.llm import html_extract, quality_cnn, toxicity
+from revcurve.llm import html_extract, quality_cnn, simhash_variants, toxicity
 from revcurve.llm.common import remainder
+from revcurve.operators.ranges import explode_range
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,14 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
 
 
+def op3_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of every document and the group it belongs to at 2 or fewer differing bits."""
+    found = simhash_variants.groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return explode_range(found, F.lit(1), F.col("copies"), "copy").select(
+        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
+    )
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; labels are learned where crc32(doc_id) mod 3 is not 1."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -43,7 +52,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The operators' queries by name."""
-    return {"op5_toxicity": op5_toxicity, "op9_html_templates": op9_html_templates, "op10_quality_cnn": op10_quality_cnn}
+    return {"op3_simhash_variants": op3_simhash_variants, "op5_toxicity": op5_toxicity, "op9_html_templates": op9_html_templates, "op10_quality_cnn": op10_quality_cnn}
 
 
 def oracle_sql() -> dict[str, str]:
