@@ -102,10 +102,10 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of all rows of a run: (start, end, row). A word never crosses a row's end."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words (runs without ``breaks``) of all rows of a run: (start, end, row). A word never crosses a row's end."""
     n = len(data)
-    solid = ~IS_SPACE[data]
+    solid = ~breaks[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.empty(n, bool)
@@ -166,6 +166,14 @@ class LookupTable:
             lost = self.slots[at] != left
             left, at = left[lost], (at[lost] + 1) & self.mask
 
+    def maybe(self, keys: np.ndarray) -> np.ndarray:
+        """False only for keys that are not in the table (a sparse bitmap; few others are True)."""
+        if not hasattr(self, "sparse"):
+            self.sparse_shift = np.uint64(max(0, 64 - max(16, (len(self.keys) * 64).bit_length())))
+            self.sparse = np.zeros(1 << (64 - int(self.sparse_shift)), bool)
+            self.sparse[self.keys >> self.sparse_shift] = True
+        return self.sparse[keys >> self.sparse_shift]
+
     def _home(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revcurve.llm import html_extract, quality_cnn, simhash_variants, toxicity
+from revcurve.llm import decontaminate, html_extract, quality_cnn, simhash_variants, toxicity
 from revcurve.llm.common import remainder
 from revcurve.operators.ranges import explode_range
 
@@ -16,6 +16,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and its exact edit distance."""
+    return decontaminate.find(
+        _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("item_id", "text")
+    )
+
+
 def op9_html_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page, site templates removed."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -52,7 +59,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The operators' queries by name."""
-    return {"op3_simhash_variants": op3_simhash_variants, "op5_toxicity": op5_toxicity, "op9_html_templates": op9_html_templates, "op10_quality_cnn": op10_quality_cnn}
+    return {"op3_simhash_variants": op3_simhash_variants, "op5_toxicity": op5_toxicity, "op7_decontaminate": op7_decontaminate, "op9_html_templates": op9_html_templates, "op10_quality_cnn": op10_quality_cnn}
 
 
 def oracle_sql() -> dict[str, str]:
