@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revcurve.llm import decontaminate, html_extract, quality_cnn, simhash_variants, toxicity
-from revcurve.llm.common import remainder
+from revcurve.llm import decontaminate, html_extract, quality_cnn, simhash_variants, toxicity, warc_zip
+from revcurve.llm.common import new_folder, remainder
 from revcurve.operators.ranges import explode_range
 
 
@@ -48,6 +48,14 @@ def op3_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes every page as a WARC record into ZIP packages, then reads the packages back."""
+    folder = new_folder(spark, "warc")
+    warc_zip.write(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
+    found = warc_zip.read(spark, folder, payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; labels are learned where crc32(doc_id) mod 3 is not 1."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -59,9 +67,23 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The operators' queries by name."""
-    return {"op3_simhash_variants": op3_simhash_variants, "op5_toxicity": op5_toxicity, "op7_decontaminate": op7_decontaminate, "op9_html_templates": op9_html_templates, "op10_quality_cnn": op10_quality_cnn}
+    return {"op3_simhash_variants": op3_simhash_variants, "op4_warc_zip": op4_warc_zip, "op5_toxicity": op5_toxicity, "op7_decontaminate": op7_decontaminate, "op9_html_templates": op9_html_templates, "op10_quality_cnn": op10_quality_cnn}
+
+
+OP4_SQL = """
+WITH rows AS (
+    SELECT page_id, encode(coalesce(html, '')) AS payload, sha256(coalesce(html, '')) AS digest FROM pages
+), firsts AS (
+    SELECT digest, min(page_id) AS first FROM rows WHERE octet_length(payload) >= 100 GROUP BY digest
+)
+SELECT page_id, octet_length(payload) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to,
+       true AS verified
+FROM rows LEFT JOIN firsts USING (digest)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {}
+    return {"op4_warc_zip": OP4_SQL}
