@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revcurve.llm import decontaminate, html_extract, quality_cnn, simhash_variants, toxicity, warc_zip
+from revcurve.llm import decontaminate, html_extract, line_templates, quality_cnn, simhash_variants, toxicity, warc_zip
 from revcurve.llm.common import new_folder, remainder
 from revcurve.operators.ranges import explode_range
 
@@ -40,6 +40,12 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
 
 
+def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines whose template recurs across documents."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.drop_recurring(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "n_dropped")
+
+
 def op3_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of every document and the group it belongs to at 2 or fewer differing bits."""
     found = simhash_variants.groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -67,7 +73,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The operators' queries by name."""
-    return {"op3_simhash_variants": op3_simhash_variants, "op4_warc_zip": op4_warc_zip, "op5_toxicity": op5_toxicity, "op7_decontaminate": op7_decontaminate, "op9_html_templates": op9_html_templates, "op10_quality_cnn": op10_quality_cnn}
+    return {"op1_line_templates": op1_line_templates, "op3_simhash_variants": op3_simhash_variants, "op4_warc_zip": op4_warc_zip, "op5_toxicity": op5_toxicity, "op7_decontaminate": op7_decontaminate, "op9_html_templates": op9_html_templates, "op10_quality_cnn": op10_quality_cnn}
 
 
 OP4_SQL = """
@@ -84,6 +90,44 @@ FROM rows LEFT JOIN firsts USING (digest)
 """
 
 
+OP1_SQL = r"""
+WITH docs AS (
+    SELECT doc_id, coalesce(text, '') AS text FROM documents
+), raw AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs
+), lines AS (
+    SELECT doc_id, pos, length(trim(raw)) - length(replace(trim(raw), ' ', '')) + 1 AS n,
+           CASE WHEN regexp_matches(raw, '[0-9]') THEN regexp_replace(trim(raw), '\S*[0-9]\S*', '<*>', 'g') ELSE trim(raw) END AS masked
+    FROM raw
+), placed AS (
+    SELECT *, array_to_string(string_split(masked, ' ')[1:3], ' ') AS opening FROM lines WHERE n >= 3 AND masked <> ''
+), leaves AS (
+    SELECT n, opening FROM placed GROUP BY n, opening HAVING count(DISTINCT doc_id) >= 3
+), held AS (
+    SELECT n, opening, masked, count(DISTINCT doc_id) AS docs FROM placed SEMI JOIN leaves USING (n, opening) GROUP BY n, opening, masked
+), tokens AS (
+    SELECT n, opening, masked, docs, unnest(string_split(masked, ' ')) AS token, generate_subscripts(string_split(masked, ' '), 1) AS place FROM held
+), constant AS (
+    SELECT n, opening, place, token FROM tokens GROUP BY n, opening, place, token HAVING sum(docs) >= 3
+), templates AS (
+    SELECT n, opening, masked, string_agg(place || ':' || token, ' ' ORDER BY place) AS template
+    FROM tokens JOIN constant USING (n, opening, place, token) GROUP BY n, opening, masked HAVING count(*) >= 0.75 * n
+), found AS (
+    SELECT n, opening, template, doc_id, pos FROM placed JOIN templates USING (n, opening, masked)
+), dropped AS (
+    SELECT n, opening, template, min(doc_id) AS first FROM found GROUP BY n, opening, template HAVING count(DISTINCT doc_id) >= 3
+), firsts AS (
+    SELECT n, opening, template, doc_id, min(pos) AS pos
+    FROM found JOIN dropped USING (n, opening, template) WHERE doc_id = first GROUP BY n, opening, template, doc_id
+), gone AS (
+    SELECT doc_id, pos FROM found SEMI JOIN dropped USING (n, opening, template)
+    WHERE (doc_id, pos) NOT IN (SELECT (doc_id, pos) FROM firsts)
+)
+SELECT doc_id, coalesce(string_agg(CASE WHEN g.pos IS NULL THEN raw END, chr(10) ORDER BY r.pos), '') AS text, count(g.pos) AS n_dropped
+FROM raw r LEFT JOIN gone g USING (doc_id, pos) GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op4_warc_zip": OP4_SQL}
+    return {"op1_line_templates": OP1_SQL, "op4_warc_zip": OP4_SQL}
