@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revcurve.llm import decontaminate, html_extract, line_templates, quality_cnn, simhash_variants, toxicity, warc_zip
+from revcurve.llm import decontaminate, html_extract, line_templates, mixing, quality_cnn, simhash_variants, toxicity, warc_zip
 from revcurve.llm.common import new_folder, remainder
 from revcurve.operators.ranges import explode_range
 
@@ -23,6 +23,23 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+MIX_TARGETS = {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}
+
+
+def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document rates that bring the expected language shares to :data:`MIX_TARGETS`.
+
+    The domains are languages; they are learned from the documents of the labelled table.
+    """
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labelled = _table(spark, sf_dir, "labels").select("doc_id").join(docs.select("doc_id", F.col("lang").alias("domain")), "doc_id")
+    mixed = mixing.mix(docs.select("doc_id", "text"), labelled, MIX_TARGETS)
+    return mixed.select(
+        "doc_id", F.col("mix_tokens").alias("n_tokens"), *[F.col("mix_posterior")[d].alias(f"p_{d}") for d in MIX_TARGETS],
+        F.col("mix_rate").alias("rate"), mixing.copies("mix_rate", "doc_id").alias("copies"),
+    )
+
+
 def op9_html_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page, site templates removed."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -73,7 +90,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The operators' queries by name."""
-    return {"op1_line_templates": op1_line_templates, "op3_simhash_variants": op3_simhash_variants, "op4_warc_zip": op4_warc_zip, "op5_toxicity": op5_toxicity, "op7_decontaminate": op7_decontaminate, "op9_html_templates": op9_html_templates, "op10_quality_cnn": op10_quality_cnn}
+    return {"op1_line_templates": op1_line_templates, "op3_simhash_variants": op3_simhash_variants, "op4_warc_zip": op4_warc_zip, "op5_toxicity": op5_toxicity, "op7_decontaminate": op7_decontaminate, "op8_soft_mixing": op8_soft_mixing, "op9_html_templates": op9_html_templates, "op10_quality_cnn": op10_quality_cnn}
 
 
 OP4_SQL = """
