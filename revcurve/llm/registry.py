@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revcurve.llm import decontaminate, html_extract, line_templates, mixing, quality_cnn, simhash_variants, toxicity, warc_zip
+from revcurve.llm import decontaminate, html_extract, line_templates, mixing, ppm, quality_cnn, simhash_variants, toxicity, warc_zip
 from revcurve.llm.common import new_folder, remainder
 from revcurve.operators.ranges import explode_range
 
@@ -63,6 +63,16 @@ def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.drop_recurring(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "n_dropped")
 
 
+def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PPM and unigram log10 probabilities of every document; trained where crc32(doc_id) mod 7 is not 2."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ppm.train(docs, remainder("doc_id", 7) != 2)
+    return ppm.score(docs, model).select(
+        "doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), F.col("lm_tokens").alias("n_tokens"), F.col("lm_known").alias("n_known"),
+        F.lit(model.tokens).cast("bigint").alias("train_tokens"), F.col("lm_base").alias("base_score"), F.col("lm_score").alias("score"),
+    )
+
+
 def op3_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of every document and the group it belongs to at 2 or fewer differing bits."""
     found = simhash_variants.groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -90,7 +100,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The operators' queries by name."""
-    return {"op1_line_templates": op1_line_templates, "op3_simhash_variants": op3_simhash_variants, "op4_warc_zip": op4_warc_zip, "op5_toxicity": op5_toxicity, "op7_decontaminate": op7_decontaminate, "op8_soft_mixing": op8_soft_mixing, "op9_html_templates": op9_html_templates, "op10_quality_cnn": op10_quality_cnn}
+    return {"op1_line_templates": op1_line_templates, "op2_ppm": op2_ppm, "op3_simhash_variants": op3_simhash_variants, "op4_warc_zip": op4_warc_zip, "op5_toxicity": op5_toxicity, "op7_decontaminate": op7_decontaminate, "op8_soft_mixing": op8_soft_mixing, "op9_html_templates": op9_html_templates, "op10_quality_cnn": op10_quality_cnn}
 
 
 OP4_SQL = """
