@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revcurve.llm import decontaminate, html_extract, line_templates, mixing, ppm, quality_cnn, simhash_variants, toxicity, warc_zip
+from revcurve.llm import ann_mih, decontaminate, html_extract, line_templates, mixing, ppm, quality_cnn, simhash_variants, toxicity, warc_zip
 from revcurve.llm.common import new_folder, remainder
 from revcurve.operators.ranges import explode_range
 
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_ann_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every vector whose id is divisible by 20."""
+    return ann_mih.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with the item and its exact edit distance."""
     return decontaminate.find(
@@ -100,7 +105,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The operators' queries by name."""
-    return {"op1_line_templates": op1_line_templates, "op2_ppm": op2_ppm, "op3_simhash_variants": op3_simhash_variants, "op4_warc_zip": op4_warc_zip, "op5_toxicity": op5_toxicity, "op7_decontaminate": op7_decontaminate, "op8_soft_mixing": op8_soft_mixing, "op9_html_templates": op9_html_templates, "op10_quality_cnn": op10_quality_cnn}
+    return {"op1_line_templates": op1_line_templates, "op2_ppm": op2_ppm, "op3_simhash_variants": op3_simhash_variants, "op4_warc_zip": op4_warc_zip, "op5_toxicity": op5_toxicity, "op6_ann_mih": op6_ann_mih, "op7_decontaminate": op7_decontaminate, "op8_soft_mixing": op8_soft_mixing, "op9_html_templates": op9_html_templates, "op10_quality_cnn": op10_quality_cnn}
 
 
 OP4_SQL = """
