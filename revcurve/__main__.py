@@ -56,6 +56,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.out:
         write_model(df, args.out)
     else:
+        print(f"first {args.rows} rows (--out writes all of them)")
         df.show(args.rows, truncate=False)
     return 0
 

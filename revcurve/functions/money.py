@@ -33,12 +33,14 @@ def usd(cents: str | Column) -> Column:
 def div_round_sql(num: str, den: str) -> str:
     """Spark SQL text for ``num / den`` on integers, rounded half away from zero.
 
-    NULL when ``den`` is 0 or either side is NULL. ``num`` and ``den`` are SQL expressions.
+    NULL when ``den`` is 0 or either side is NULL. ``num`` and ``den`` are SQL expressions of
+    BIGINT range; they are doubled as DECIMAL, so no product can overflow. The quotient is BIGINT.
     """
+    n, d = f"CAST({num} AS DECIMAL(30, 0))", f"CAST({den} AS DECIMAL(30, 0))"
     return (
-        f"CASE WHEN ({den}) = 0 THEN NULL "
-        f"ELSE (CASE WHEN (({num}) < 0) <> (({den}) < 0) THEN -1 ELSE 1 END) "
-        f"* ((2 * abs({num}) + abs({den})) div (2 * abs({den}))) END"
+        f"CASE WHEN {d} = 0 THEN NULL "
+        f"ELSE (CASE WHEN ({n} < 0) <> ({d} < 0) THEN -1 ELSE 1 END) "
+        f"* CAST((2 * abs({n}) + abs({d})) div (2 * abs({d})) AS BIGINT) END"
     )
 
 

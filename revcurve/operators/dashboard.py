@@ -30,7 +30,7 @@ def _cents(stg: DataFrame) -> DataFrame:
 
 def _pct2(num: str, den: str):
     """``num / den`` as a percentage with 2 decimals."""
-    return (div_round(f"10000 * ({num})", den) / F.lit(100.0))
+    return (div_round(f"10000 * CAST({num} AS DECIMAL(25, 0))", den) / F.lit(100.0))
 
 
 def top_products(stg: DataFrame, k: int = TOP_PRODUCTS) -> DataFrame:
@@ -130,7 +130,7 @@ def transition_paths(mart: DataFrame) -> DataFrame:
 
 
 def transition_matrix(mart: DataFrame, products: Sequence[str]) -> DataFrame:
-    """d08: transition counts as a from x to matrix, one column per destination product."""
+    """d08: transition counts as a from x to matrix, one column per product of the given catalogue."""
     t = mart.filter(F.col("transition_flag"))
     piv = t.groupBy("from_path").pivot("to_path", list(products)).agg(F.count(F.lit(1)))
     return piv.select(
@@ -195,12 +195,3 @@ def revenue_split(stg: DataFrame) -> DataFrame:
         "customer_status", "updated_license_type", "transactions", usd("_paid").alias("total_paid"),
         _pct2("_paid", "_all").alias("revenue_share_pct"),
     )
-
-
-def product_list(sales: DataFrame) -> list[str]:
-    """Distinct product codes of the sales table, sorted: the pivot's column list.
-
-    Bounded by the product catalogue (not by data volume); a one-column scan.
-    """
-    rows = sales.select("product_code").filter(F.col("product_code").isNotNull()).distinct().collect()
-    return sorted(r[0] for r in rows)

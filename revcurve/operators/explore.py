@@ -56,6 +56,13 @@ def dedup_with_row_num(sales: DataFrame) -> DataFrame:
     return deduplicate(sales).withColumn("row_num", F.lit(1).cast("bigint"))
 
 
+def dedup_totals(sales: DataFrame) -> DataFrame:
+    """e01c: transactions and customers after deduplication."""
+    return deduplicate(sales).agg(
+        F.count(F.lit(1)).alias("transactions"), F.countDistinct("customer").alias("customers")
+    )
+
+
 def duplicate_copies(sales: DataFrame) -> DataFrame:
     """e01b: the copies removed by deduplication, numbered 2..k within each group."""
     groups = (
@@ -185,6 +192,11 @@ def first_day_not_new(sales: DataFrame) -> DataFrame:
     )
 
 
+def first_day_customers(sales: DataFrame) -> DataFrame:
+    """e08b: how many customers have a row of e08."""
+    return first_day_not_new(sales).agg(F.countDistinct("customer").alias("customers"))
+
+
 def negative_by_status(sales: DataFrame) -> DataFrame:
     """e09: negative discounts (surcharges) per status."""
     return (
@@ -308,4 +320,7 @@ def repeat_npu(sales: DataFrame) -> DataFrame:
     return ranked.select(
         "customer", "product_code", "processed_date", "customer_status", "license_type",
         "purchase_rank",
-    ).orderBy("customer", "processed_date")
+    ).orderBy(
+        # the reference order (customer, day), completed to a unique key so that a hot day is split
+        "customer", "processed_date", "product_code", "customer_status", "license_type", "purchase_rank"
+    )

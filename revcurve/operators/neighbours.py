@@ -2,42 +2,27 @@
 
 A plain ``Window.partitionBy(group).orderBy(order)`` sends every row of a group to one task:
 a customer that owns a third of all rows would become a single task holding a third of the
-data. This operator computes the same values without that bound:
-
-1. ``repartitionByRange`` on ``group + order`` (sampled bounds): a hot group is cut into
-   contiguous slices spread over many partitions; every partition holds a bounded key range.
-2. One exchange on the partition id (range-partitioned on the id, so about one slice per
-   task) keeps every slice whole in one task (each slice is bounded by the range
-   partitioning) and sends the slices of a hot group to different tasks. A window over ``(partition id, group)`` gives the local ``lag`` / ``lead`` /
-   running count; a window over the partition id marks its first and last row. Both share
-   the exchange and one sort.
-3. The first and last row of every partition (at most ``2 n`` rows, so a broadcast of proven
-   size) carry values across slice boundaries: the first row of a slice takes its ``lag`` from
-   the last row of the previous non-empty partition when that row belongs to the same group;
-   ``lead`` and the running count are patched the same way.
-
-The local result (rows, partition id, local values) is materialised once, as a Parquet table
-in the session's ``spark.checkpoint.dir``, before the summary is taken.
-Range bounds come from sampling, and two evaluations of the same range exchange may sample
-differently; reading one written copy guarantees that the summary and the rows it patches see
-the same partitioning. It also cuts the lineage, so a lost executor re-reads the copy instead
-of re-running the upstream shuffles.
-
-Small inputs: when the whole input scans at most ``SMALL_INPUT_BYTES`` (one slice), a single
-group of it already fits in one bounded task, so a plain window is used (no slicing, no
-copy). The check uses the scanned file sizes, so it suits inputs no larger than what they
-read (filters, aggregates, key-preserving joins), which is what this package passes.
-
-Sizing: one slice per ``SLICE_INPUT_BYTES`` of scanned input (file sizes of the relations read,
-not the optimizer's estimate, which multiplies through joins), at least the configured
-parallelism; the exchange on the slice id uses the same count, so a task holds about one slice.
+data. This operator computes the same values in two levels, with one plan at every size:
+
+1. A *block* is the group plus the first ``block`` columns of the order (day, status and
+   product or license in this package). Rows are hashed by block, and a window inside each block
+   gives the values of all rows but the block's edges. A hot group is spread over as many tasks
+   as it has blocks.
+2. One row per block (a hash aggregate with partial sums, so a pile of rows is reduced before
+   it moves) carries the block's first and last values and its weight. A window over the blocks
+   of a group, whose number is bounded by the calendar times the catalogue and not by the rows, hands
+   them to the next and previous block, and a plain join on the block key takes them back to the
+   rows; it reuses the rows' partitioning.
+
+Nothing is sampled, written or run while the DataFrame is built, and no side is broadcast by a
+hint.
+
+Rows of one block meet in one task: that bounds a task by what one group does in one day under
+one status and product (or license). Callers collapse exact copies into a multiplicity first
+(``weight``), so a block holds only rows that differ in code, amount, discount or quantity.
 
 Ties in ``order`` are broken arbitrarily, as in a window; callers pass an ``order`` that is
-unique per row or accept that equal rows are interchangeable. Range partitioning cannot
-split rows whose ``group + order`` keys are equal, so keys must be (nearly) unique: callers
-collapse exact copies into a multiplicity first (``weight``). In this package the inputs are
-deduplicated rows, collapsed copies, or staging rows (equal at most three at a time, when the
-license fix makes rows identical).
+unique per row or accept that equal rows are interchangeable.
 """
 
 from __future__ import annotations
@@ -47,55 +32,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revcurve.sources.files import materialize, scanned_bytes
-
-
-# Input (file) bytes per range slice when the input is large. Parquet input is compressed,
-# so a slice holds several times this much in memory: well within an executor, and spillable.
-SLICE_INPUT_BYTES = 256 * 1024 * 1024
-MAX_SLICES = 1_000_000
-
-
-# An input that scans no more than this fits in one task even if it were a single group: a
-# plain window is then already bounded, and slicing would only add passes.
-SMALL_INPUT_BYTES = SLICE_INPUT_BYTES
-
-
-def _needs_slicing(df: DataFrame) -> bool:
-    try:
-        scanned = scanned_bytes(df)
-    except Exception:  # no JVM plan access: be safe
-        return True
-    return scanned is None or scanned > SMALL_INPUT_BYTES
-
-
-def _plain_neighbours(df, group, order, lag, lead, count_before, weight) -> DataFrame:
-    w = Window.partitionBy(*group).orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    cols = [F.col(c) for c in df.columns]
-    cols += [F.lag(src).over(w).alias(out) for out, src in lag.items()]
-    cols += [F.lead(src).over(w).alias(out) for out, src in lead.items()]
-    if count_before:
-        wv = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-        cols.append(
-            F.coalesce(F.sum(wv).over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                       F.lit(0).cast("bigint")).alias(count_before)
-        )
-    return df.select(*cols)
-
-
-def slice_count(df: DataFrame) -> int:
-    """Number of range slices: one per ``SLICE_INPUT_BYTES`` of scanned input, at least the
-    smaller of the shuffle-partition setting and the cluster's default parallelism."""
-    spark = df.sparkSession
-    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")),
-            spark.sparkContext.defaultParallelism)
-    try:
-        scanned = scanned_bytes(df)
-    except Exception:  # no JVM plan access (e.g. a remote session): keep the setting
-        return n
-    if scanned is None:
-        return n
-    return max(n, min(scanned // SLICE_INPUT_BYTES, MAX_SLICES))
+BLOCK_COLUMNS = 3
 
 
 def ordered_neighbours(
@@ -106,8 +43,7 @@ def ordered_neighbours(
     lead: Mapping[str, str] | None = None,
     count_before: str | None = None,
     weight: str | None = None,
-    num_partitions: int | None = None,
-    keep_slice: bool = False,
+    block: int = BLOCK_COLUMNS,
 ) -> DataFrame:
     """Add neighbour columns to ``df``.
 
@@ -116,129 +52,61 @@ def ordered_neighbours(
     ``lead`` same, for the next row.
     ``count_before`` names an output column holding the number of earlier rows of the group
              (or the sum of ``weight`` over them when ``weight`` names a multiplicity column).
+    ``block`` is the number of leading ``order`` columns that cut a group into blocks.
 
-    Sort order is ascending with NULLs first for every ``group`` and ``order`` column.
-    ``keep_slice`` also returns the range slice of each row (``_nb_pid``), for inspection.
-    Passing ``num_partitions`` or ``keep_slice`` always takes the sliced path.
+    Sort order is ascending with NULLs first for every ``order`` column; NULLs of ``group`` are
+    one group.
     """
-    lag = dict(lag or {})
-    lead = dict(lead or {})
+    lag, lead = dict(lag or {}), dict(lead or {})
     group, order = list(group), list(order)
-    if num_partitions is None and not keep_slice and not _needs_slicing(df):
-        return _plain_neighbours(df, group, order, lag, lead, count_before, weight)
-    keys = group + order
-    spark = df.sparkSession
-    n = num_partitions or slice_count(df)
-
-    base_cols = df.columns
-    ranged = (
-        df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in keys])
-        .withColumn("_nb_pid", F.spark_partition_id())
-        # one exchange on the slice id, range-partitioned so that consecutive ids share a
-        # task and each task holds about one slice (hashing n ids into n tasks would pile
-        # several slices into some tasks); the windows over (pid, group) and over (pid)
-        # below share this exchange and one sort
-        .repartitionByRange(n, "_nb_pid")
+    prefix, rest = order[:block], order[block:]
+    keys = group + prefix
+    ascending = lambda names: [F.col(c).asc_nulls_first() for c in names]
+    w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+
+    rows = df.withColumn("_nb_key", F.struct(*keys))  # equal structs are equal in their NULLs too
+    aggs, firsts, lasts = [F.sum(w).alias("_nb_w")], {}, {}
+    inner = F.struct(*rest) if rest else F.lit(0)
+    for src in sorted(set(lag.values())):
+        if src in keys:
+            lasts[src] = F.col(f"_nb_key.{src}")
+        else:
+            aggs.append(F.max_by(F.struct(src), inner).alias(f"_nb_last_{src}"))
+            lasts[src] = F.col(f"_nb_last_{src}.{src}")
+    for src in sorted(set(lead.values())):
+        if src in keys:
+            firsts[src] = F.col(f"_nb_key.{src}")
+        else:
+            aggs.append(F.min_by(F.struct(src), inner).alias(f"_nb_first_{src}"))
+            firsts[src] = F.col(f"_nb_first_{src}.{src}")
+    between = Window.partitionBy(*[F.col(f"_nb_key.{c}") for c in group]).orderBy(
+        *[F.col(f"_nb_key.{c}").asc_nulls_first() for c in prefix]
     )
+    edges = [F.lag(lasts[src]).over(between).alias(f"_nb_prev_{out}") for out, src in lag.items()]
+    edges += [F.lead(firsts[src]).over(between).alias(f"_nb_next_{out}") for out, src in lead.items()]
     if count_before:
-        ranged = ranged.withColumn(
-            "_nb_w", F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-        )
-
-    w = Window.partitionBy("_nb_pid", *group).orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    w_seg = Window.partitionBy("_nb_pid", *group)
-    w_part = Window.partitionBy("_nb_pid").orderBy(*[F.col(c).asc_nulls_first() for c in keys])
-    local_cols = [
-        F.row_number().over(w).alias("_nb_pos"),
-        F.row_number().over(w_part).alias("_nb_ppos"),
-        F.count(F.lit(1)).over(Window.partitionBy("_nb_pid")).alias("_nb_pn"),
-    ]
+        earlier = F.sum("_nb_w").over(between.rowsBetween(Window.unboundedPreceding, -1))
+        edges.append(F.coalesce(earlier, F.lit(0).cast("bigint")).alias("_nb_earlier"))
+    blocks = rows.groupBy("_nb_key").agg(*aggs).select("_nb_key", *edges)
+
+    inside = Window.partitionBy("_nb_key").orderBy(*(ascending(rest) or [F.lit(0)]))
+    spans = [F.row_number().over(inside).alias("_nb_pos")]
+    spans += [F.lag(src).over(inside).alias(f"_nb_lag_{out}") for out, src in lag.items()]
+    spans += [F.lead(src).over(inside).alias(f"_nb_lead_{out}") for out, src in lead.items()]
     if lead:
-        local_cols.append(F.count(F.lit(1)).over(w_seg).alias("_nb_seg_n"))
-    for out, src in lag.items():
-        local_cols.append(F.lag(src).over(w).alias(f"_nb_lag_{out}"))
-    for out, src in lead.items():
-        local_cols.append(F.lead(src).over(w).alias(f"_nb_lead_{out}"))
+        spans.append(F.count(F.lit(1)).over(Window.partitionBy("_nb_key")).alias("_nb_n"))
     if count_before:
-        local_cols.append(F.sum("_nb_w").over(w_seg).alias("_nb_seg_w"))
-        local_cols.append(
-            F.coalesce(
-                F.sum("_nb_w").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                F.lit(0).cast("bigint"),
-            ).alias("_nb_before")
-        )
-    local = materialize(ranged.select("*", *local_cols), "neighbours")
-
-    # The first and the last row of every non-empty partition: at most 2 rows per partition.
-    edge_vals = sorted(set(lag.values()) | set(lead.values()))
-    seg_w = [F.col("_nb_seg_w")] if count_before else [F.lit(0).cast("bigint").alias("_nb_seg_w")]
-    edges = local.filter((F.col("_nb_ppos") == 1) | (F.col("_nb_ppos") == F.col("_nb_pn")))
-    firsts = edges.filter(F.col("_nb_ppos") == 1).select(
-        "_nb_pid",
-        F.struct(*group).alias("_fg"),
-        F.struct(*[F.col(c).alias(c) for c in edge_vals], *seg_w).alias("_fv"),
-    )
-    lasts = edges.filter(F.col("_nb_ppos") == F.col("_nb_pn")).select(
-        "_nb_pid",
-        F.struct(*group).alias("_lg"),
-        F.struct(*[F.col(c).alias(c) for c in edge_vals], *seg_w).alias("_lv"),
-    )
-    summary = firsts.join(lasts, "_nb_pid")
-    ws = Window.orderBy("_nb_pid")
-    summary = summary.select(
-        "*",
-        F.sum("_lv._nb_seg_w")
-        .over(Window.partitionBy("_lg").orderBy("_nb_pid")
-              .rowsBetween(Window.unboundedPreceding, 0))
-        .alias("_cum_last"),
-    )
-    summary = summary.select(
-        "_nb_pid", "_fg", "_lg",
-        F.lag("_lg").over(ws).alias("_prev_lg"),
-        F.lag("_lv").over(ws).alias("_prev_lv"),
-        F.lag("_cum_last").over(ws).alias("_prev_cum"),
-        F.lead("_fg").over(ws).alias("_next_fg"),
-        F.lead("_fv").over(ws).alias("_next_fv"),
-    )
-    cont = F.col("_prev_lv").isNotNull() & F.col("_prev_lg").eqNullSafe(F.col("_fg"))
-    nxt = F.col("_next_fv").isNotNull() & F.col("_next_fg").eqNullSafe(F.col("_lg"))
-    bound_cols = [
-        "_nb_pid",
-        F.col("_fg").alias("_nb_fg"),
-        F.col("_lg").alias("_nb_lg"),
-        F.when(cont, F.col("_prev_cum")).otherwise(F.lit(0).cast("bigint")).alias("_nb_b_before"),
+        before = F.sum(w).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+        spans.append(F.coalesce(before, F.lit(0).cast("bigint")).alias("_nb_before"))
+    joined = rows.join(blocks, "_nb_key").select("*", *spans)
+
+    out_cols = [F.col(c) for c in df.columns]
+    out_cols += [
+        F.when(F.col("_nb_pos") == 1, F.col(f"_nb_prev_{out}")).otherwise(F.col(f"_nb_lag_{out}")).alias(out) for out in lag
+    ]
+    out_cols += [
+        F.when(F.col("_nb_pos") == F.col("_nb_n"), F.col(f"_nb_next_{out}")).otherwise(F.col(f"_nb_lead_{out}")).alias(out) for out in lead
     ]
-    for out, src in lag.items():
-        bound_cols.append(F.when(cont, F.col(f"_prev_lv.{src}")).alias(f"_nb_b_lag_{out}"))
-    for out, src in lead.items():
-        bound_cols.append(F.when(nxt, F.col(f"_next_fv.{src}")).alias(f"_nb_b_lead_{out}"))
-    bounds = summary.select(*bound_cols)
-
-    joined = local.join(F.broadcast(bounds), "_nb_pid", "left")
-    row_group = F.struct(*group)
-    is_first_group = row_group.eqNullSafe(F.col("_nb_fg"))
-    is_last_group = row_group.eqNullSafe(F.col("_nb_lg"))
-
-    out_cols = [F.col(c) for c in base_cols]
-    for out in lag:
-        out_cols.append(
-            F.when(F.col("_nb_pos") == 1, F.when(is_first_group, F.col(f"_nb_b_lag_{out}")))
-            .otherwise(F.col(f"_nb_lag_{out}"))
-            .alias(out)
-        )
-    for out in lead:
-        out_cols.append(
-            F.when(F.col("_nb_pos") == F.col("_nb_seg_n"),
-                   F.when(is_last_group, F.col(f"_nb_b_lead_{out}")))
-            .otherwise(F.col(f"_nb_lead_{out}"))
-            .alias(out)
-        )
     if count_before:
-        out_cols.append(
-            (F.col("_nb_before")
-             + F.when(is_first_group, F.col("_nb_b_before")).otherwise(F.lit(0).cast("bigint")))
-            .alias(count_before)
-        )
-    if keep_slice:
-        out_cols.append(F.col("_nb_pid"))
+        out_cols.append((F.col("_nb_earlier") + F.col("_nb_before")).alias(count_before))
     return joined.select(*out_cols)

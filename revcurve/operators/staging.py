@@ -34,15 +34,13 @@ row is kept; every flag is therefore ``coalesce(..., false)``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revcurve.functions import domain as D
 from revcurve.functions.money import div_round, to_cents, usd
 from revcurve.operators.explore import deduplicate, free_renewal_condition, license_fix_condition
-from revcurve.operators import neighbours as N
 from revcurve.operators.neighbours import ordered_neighbours
-from revcurve.sources.files import scanned_bytes
 
 BLOCK = ("customer", "processed_date", "product_code")
 # Order of purchases within (customer, product): day, then the remaining columns.
@@ -113,7 +111,7 @@ def repeat_new_product_use(dd: DataFrame) -> DataFrame:
 
 
 def _facts(rows: DataFrame):
-    """(name, aggregate) pairs of the per-block facts; usable as window functions too."""
+    """(name, aggregate) pairs of the per-block facts."""
     status, lic = F.col("customer_status"), F.col("license_type")
     cand = (status == D.NEW_PRODUCT_USE) & (lic == D.LICENSE_NEW) & F.col("discount_id").isNull()
     # A row that sorts before any candidate in the purchase order (status, license, code NULLS
@@ -189,7 +187,11 @@ def block_flags(rows: DataFrame) -> DataFrame:
     return blocks.select(*BLOCK, *_flags())
 
 
-def _flagged_rows_by_blocks(sales: DataFrame) -> DataFrame:
+def flagged_rows(sales: DataFrame) -> DataFrame:
+    """Deduplicated rows with their block's removal flags attached.
+
+    Hash aggregates and AQE-splittable joins, no window, so no task holds a whole customer.
+    """
     dd = deduplicate(sales)
     flags = block_flags(sales)
     flags = flags.select(
@@ -202,43 +204,6 @@ def _flagged_rows_by_blocks(sales: DataFrame) -> DataFrame:
     )
 
 
-def _flagged_rows_by_windows(sales: DataFrame) -> DataFrame:
-    """Small inputs: one shuffle by customer, then deduplication and every fact as a window
-    on that partitioning (a whole customer fits in one task when the whole input does)."""
-    dd = deduplicate(sales.repartition("customer"))
-    by_block = Window.partitionBy(*BLOCK)
-    by_product = Window.partitionBy("customer", "product_code")
-    facts = [e.over(by_block).alias(n) for n, e in _facts(dd)]
-    firsts = [
-        F.min(F.when(F.col("customer_status") == D.NEW_CUSTOMER, F.col("processed_date")))
-        .over(Window.partitionBy("customer")).alias("_first_nc_day"),
-        F.min("processed_date").over(by_product).alias("_first_day"),
-        F.max(F.col("processed_date").isNull()).over(by_product).alias("_null_day"),
-    ]
-    return dd.select("*", *facts, *firsts).select(*D.SALES_COLUMNS, *_flags())
-
-
-def flagged_rows(sales: DataFrame) -> DataFrame:
-    """Deduplicated rows with their block's removal flags attached.
-
-    Inputs that scan more than one slice (``SMALL_INPUT_BYTES``) take the block plan: hash
-    aggregates and AQE-splittable joins, no window, so no task holds a whole customer.
-    Smaller inputs fit in one task even as a single customer, and take the one-shuffle plan:
-    partition by customer, then windows.
-    """
-    if _is_small(sales):
-        return _flagged_rows_by_windows(sales)
-    return _flagged_rows_by_blocks(sales)
-
-
-def _is_small(df: DataFrame) -> bool:
-    try:
-        scanned = scanned_bytes(df)
-    except Exception:  # no JVM plan access: take the plan that is safe at any size
-        return False
-    return scanned is not None and scanned <= N.SMALL_INPUT_BYTES
-
-
 def _keys_present(*cols: str):
     cond = F.lit(True)
     for c in cols:
@@ -261,14 +226,13 @@ def removal_conditions():
 
 def clean_rows(sales: DataFrame, removals: tuple[str, ...] = ("t07", "t08", "t09", "t10")) -> DataFrame:
     """Deduplicated rows that survive the chosen removals (raw nine columns)."""
-    rows = flagged_rows(sales)
-    cond = removal_conditions()
+    flagged = [r for r in ("t08", "t09", "t10") if r in removals]
+    rows = flagged_rows(sales) if flagged else deduplicate(sales)
     keep = F.lit(True)
     if "t07" in removals:
         keep = keep & ~free_renewal_condition()
-    for r in ("t08", "t09", "t10"):
-        if r in removals:
-            keep = keep & ~cond[r]
+    for r in flagged:
+        keep = keep & ~removal_conditions()[r]
     return rows.filter(keep).select(*D.SALES_COLUMNS)
 
 

@@ -6,9 +6,11 @@ Every query starts from the raw sales table derived from the test tables under `
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from revcurve.operators import dashboard as B
 from revcurve.operators import explore as E
@@ -16,7 +18,9 @@ from revcurve.operators import profile as P
 from revcurve.operators import staging as T
 from revcurve.operators import subscription as M
 from revcurve.operators import transitions as J
-from revcurve.sources.testdata import load_sales
+from revcurve.plans.session import ensure_checkpoint_dir
+from revcurve.sources.files import read_model, read_sales, write_model
+from revcurve.sources.testdata import PRODUCT_CODES, load_sales
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +37,12 @@ def _customer_lookup(sales: DataFrame) -> DataFrame:
     return E.customer_rows(sales, E.surcharged_customers(sales))
 
 
+def _single_customer(sales: DataFrame) -> DataFrame:
+    """e10b: the rows of one id taken from the data, the smallest customer with a surcharge."""
+    wanted = E.surcharged_customers(sales).agg(F.min("customer")).first()[0]
+    return E.customer_rows(sales, wanted)
+
+
 PROFILE: dict[str, Callable[[DataFrame], DataFrame]] = {
     "s01_schema_profile": P.schema_profile,
     "s02_totals": P.totals,
@@ -53,6 +63,7 @@ PROFILE: dict[str, Callable[[DataFrame], DataFrame]] = {
 EXPLORE: dict[str, Callable[[DataFrame], DataFrame]] = {
     "e01_dedup": E.dedup_with_row_num,
     "e01b_duplicates": E.duplicate_copies,
+    "e01c_dedup_totals": E.dedup_totals,
     "e02_zero_revenue_codes": E.zero_revenue_codes,
     "e03_free_renewals": E.free_renewals,
     "e04_not_free_renewals": E.not_free_renewals,
@@ -60,8 +71,10 @@ EXPLORE: dict[str, Callable[[DataFrame], DataFrame]] = {
     "e06_suspicious_pairs": E.suspicious_pairs,
     "e07_same_day_new_and_npu": E.same_day_new_and_npu,
     "e08_first_day_not_new": E.first_day_not_new,
+    "e08b_first_day_customers": E.first_day_customers,
     "e09_negative_by_status": E.negative_by_status,
     "e10_customer_lookup": _customer_lookup,
+    "e10b_single_customer": _single_customer,
     "e11_uncoded_by_free": E.uncoded_by_free,
     "e12_free_npu_by_license": E.free_npu_by_license,
     "e13_self_transitions": E.self_transitions,
@@ -134,9 +147,7 @@ def _mom(fn):
 
 
 def _matrix(sales: DataFrame) -> DataFrame:
-    # the catalogue is listed from the raw table: a one-column scan, not a second staging run
-    stg = T.staging_model(sales)
-    return B.transition_matrix(J.transactional_mart(stg), B.product_list(sales))
+    return B.transition_matrix(J.transactional_mart(T.staging_model(sales)), PRODUCT_CODES)
 
 
 DASHBOARDS: dict[str, Callable[[DataFrame], DataFrame]] = {
@@ -156,15 +167,27 @@ DASHBOARDS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+def _folder(spark: SparkSession, label: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/revcurve-{label}-{uuid.uuid4().hex}"
+
+
 def _stored_staging(sales: DataFrame) -> DataFrame:
     """sink_model / src_stg: write the staging model once, read it back by path."""
-    from revcurve.sources.files import materialize
+    path = _folder(sales.sparkSession, "stg_sales_data")
+    write_model(T.staging_model(sales), path)
+    return read_model(sales.sparkSession, path)
+
 
-    return materialize(T.staging_model(sales), "stg_sales_data")
+def _sales_through_csv(sales: DataFrame) -> DataFrame:
+    """src_sales_csv: the sales table written as a CSV export and read back by the CSV reader."""
+    path = _folder(sales.sparkSession, "sales_export")
+    write_model(sales.select(*reversed(sales.columns)), path, fmt="csv")  # not in the reader's order
+    return read_sales(sales.sparkSession, path, fmt="csv")
 
 
 SOURCES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "src_sales": lambda sales: sales,
+    "src_sales_csv": _sales_through_csv,
     "sink_model": _stored_staging,
     "src_stg": lambda sales: M.projection(_stored_staging(sales)),
 }

@@ -25,21 +25,26 @@ def read_sales(
 ) -> DataFrame:
     """Read the raw sales table and return the nine sales columns with their types.
 
-    ``rename`` maps source column names to sales column names when the export differs.
-    CSV is read with the fixed schema (``header`` defaults to true); Parquet is read as stored
-    and cast, so pruning and pushdown still reach the scan.
+    Columns are found by name in every format, whatever their order; extra columns are left out
+    and a missing one is an error. ``rename`` maps source column names to sales column names.
+    CSV has a header and typed columns: a value that is not of its column's type fails the read
+    (``FAILFAST``), and so does a file whose header differs from the others'. Parquet is read as
+    stored and cast, so pruning and pushdown still reach the scan.
     """
+    types = dict(f.split(" ", 1) for f in D.SALES_DDL.split(", "))
+    names = dict(rename or {})
     if fmt == "csv":
-        opts = {"header": "true", **options}
-        if rename:
-            df = spark.read.options(**opts).csv(path)
-        else:
-            df = spark.read.options(**opts).schema(D.SALES_DDL).csv(path)
+        opts = {"header": "true", "mode": "FAILFAST", "enforceSchema": "false", **options}
+        header = spark.read.options(**{**opts, "mode": "PERMISSIVE", "inferSchema": "false"}).csv(path).columns
+        ddl = ", ".join(f"`{c}` {types.get(names.get(c, c), 'string')}" for c in header)
+        df = spark.read.options(**opts).schema(ddl).csv(path)
     else:
         df = spark.read.options(**options).format(fmt).load(path)
-    for src, dst in (rename or {}).items():
+    for src, dst in names.items():
         df = df.withColumnRenamed(src, dst)
-    types = dict(f.split(" ", 1) for f in D.SALES_DDL.split(", "))
+    missing = [c for c in D.SALES_COLUMNS if c not in df.columns]
+    if missing:
+        raise ValueError(f"the sales export lacks the columns {missing}; it has {df.columns}")
     return df.select(*[F.col(c).cast(types[c]).alias(c) for c in D.SALES_COLUMNS])
 
 
@@ -89,52 +94,6 @@ def read_model(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` once as Parquet under the session's checkpoint folder and read it back.
-
-    Cuts the lineage like ``checkpoint()``, but the copy is compressed and columnar (a
-    fraction of the bytes of a serialized-row checkpoint on shared storage) and the read
-    back is vectorised. The folder is ``spark.checkpoint.dir`` when the cluster sets it.
-    """
-    import uuid
-
-    from revcurve.plans.session import ensure_checkpoint_dir
-
-    spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/revcurve-{label}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    _MATERIALIZED.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)  # known schema: no inference job
-
-
-_MATERIALIZED: dict[str, list[str]] = {}
-
-
-def materialized_paths(spark: SparkSession) -> list[str]:
-    """The tables :func:`materialize` has written for this application so far."""
-    return list(_MATERIALIZED.get(spark.sparkContext.applicationId, []))
-
-
-def release_materialized(spark: SparkSession, keep: list[str] | None = None) -> int:
-    """Delete the tables :func:`materialize` wrote for this application, except ``keep``.
-
-    Only call once no DataFrame that reads them will run again (e.g. after the models are
-    written). Deletion goes through Hadoop's FileSystem API, so it works on any shared store.
-    Returns the number of tables deleted.
-    """
-    app = spark.sparkContext.applicationId
-    kept = set(keep or [])
-    paths = [p for p in _MATERIALIZED.get(app, []) if p not in kept]
-    _MATERIALIZED[app] = [p for p in _MATERIALIZED.get(app, []) if p in kept]
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for p in paths:
-        hp = jvm.org.apache.hadoop.fs.Path(p)
-        hp.getFileSystem(conf).delete(hp, True)
-    return len(paths)
-
-
 # Leaves whose size statistics are the data actually read.
 _SIZED_LEAVES = ("LogicalRelation", "HiveTableRelation", "LocalRelation", "DataSourceV2Relation",
                  "DataSourceV2ScanRelation", "Range")

@@ -30,15 +30,9 @@ from revcurve.functions import domain as D
 from revcurve.plans.session import ensure_checkpoint_dir
 from revcurve.sources.files import read_sales, scanned_bytes
 
-
-def _scan_bytes(df: DataFrame) -> int | None:
-    try:
-        return scanned_bytes(df)
-    except Exception:  # no JVM plan access
-        return None
-
 # --- fixed values: parameters of the fixture mapping ----------------------------------------
 PRODUCT_COUNT = 13
+PRODUCT_CODES = [f"P{i:02d}" for i in range(PRODUCT_COUNT)]
 DATE_ORIGIN = _dt.date(1995, 1, 1)
 DATE_BASE = _dt.date(2018, 1, 1)
 DATE_SPAN_DAYS = 1096
@@ -198,7 +192,7 @@ def _load_once(spark: SparkSession, sf_dir: str, key: tuple[str, str]) -> str:
         sales = sales_from_testdata(spark, sf_dir)
         # one file per 128 MB of scanned input, at least one per core: later scans start with
         # full parallelism whatever AQE coalesced the derivation's last shuffle to
-        scanned = _scan_bytes(sales) or 0
+        scanned = scanned_bytes(sales) or 0
         files = max(spark.sparkContext.defaultParallelism, scanned // FILE_INPUT_BYTES)
         sales.repartition(int(files)).write.mode("overwrite").parquet(path)
         _LOADED[key] = path

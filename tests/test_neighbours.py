@@ -1,4 +1,4 @@
-"""The skew-safe neighbour operator equals plain windows, also when groups span partitions."""
+"""The skew-safe neighbour operator equals plain windows, also when groups span blocks."""
 
 import random
 
@@ -7,91 +7,93 @@ from pyspark.sql import functions as F
 
 from revcurve.operators.neighbours import ordered_neighbours
 
+SCHEMA = "g int, h string, d int, s string, o int, v int, m int"
+
 
 def _rows(seed, n=3000):
     rnd = random.Random(seed)
     rows = []
     for i in range(n):
-        # one hot group holding about a third of the rows, some NULL groups
+        # one hot group holding about a third of the rows, some NULL groups and order values
         g = 0 if rnd.random() < 0.35 else rnd.choice([1, 2, 3, None, 5, 6, 7, 8, 9])
         h = rnd.choice(["a", "b", None]) if g != 0 else "a"
-        rows.append((g, h, i, rnd.choice([None, rnd.randint(0, 50)]), rnd.randint(1, 3)))
+        rows.append((g, h, rnd.choice([None, 1, 2, 3, 4, 5]), rnd.choice(["x", "y", None]), i,
+                     rnd.choice([None, rnd.randint(0, 50)]), rnd.randint(1, 3)))
     return rows
 
 
+def _same(a, b):
+    assert a.columns == b.columns
+    assert a.exceptAll(b).count() == 0
+    assert b.exceptAll(a).count() == 0
+
+
+def _ordered(*cols):
+    return [F.col(c).asc_nulls_first() for c in cols]
+
+
 def test_matches_window(spark):
-    for seed, parts in [(1, 7), (2, 13), (3, 1), (4, 40)]:
-        df = spark.createDataFrame(_rows(seed), "g int, h string, o int, v int, m int")
+    order = ["d", "s", "o"]
+    for seed, block in [(1, 1), (2, 2), (3, 3)]:
+        df = spark.createDataFrame(_rows(seed), SCHEMA)
         got = ordered_neighbours(
-            df, ["g", "h"], ["o"], lag={"pv": "v", "po": "o"}, lead={"nv": "v"},
-            count_before="before", weight="m", num_partitions=parts,
+            df, ["g", "h"], order, lag={"pv": "v", "pd": "d"}, lead={"nv": "v", "ns": "s"},
+            count_before="before", weight="m", block=block,
         )
-        w = Window.partitionBy("g", "h").orderBy("o")
-        exp = df.select(
+        w = Window.partitionBy("g", "h").orderBy(*_ordered(*order))
+        _same(got, df.select(
             "*",
             F.lag("v").over(w).alias("pv"),
-            F.lag("o").over(w).alias("po"),
+            F.lag("d").over(w).alias("pd"),
             F.lead("v").over(w).alias("nv"),
+            F.lead("s").over(w).alias("ns"),
             F.coalesce(F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, -1)),
                        F.lit(0).cast("bigint")).alias("before"),
-        )
-        assert got.columns == exp.columns
-        assert got.exceptAll(exp).count() == 0
-        assert exp.exceptAll(got).count() == 0
+        ))
 
 
 def test_row_count_without_weight(spark):
-    df = spark.createDataFrame(_rows(9, 500), "g int, h string, o int, v int, m int")
-    got = ordered_neighbours(df, ["g"], ["o"], count_before="rn", num_partitions=5)
-    w = Window.partitionBy("g").orderBy("o")
-    exp = df.select("*", (F.row_number().over(w) - 1).cast("bigint").alias("rn"))
-    assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
-
-
-def test_matches_window_when_sampling_is_partial(spark):
-    # Enough rows that the range exchange samples only part of each input partition.
-    df = spark.range(0, 400_000, numPartitions=8).select(
-        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise((F.col("id") * 7919) % 1000).alias("g"),
-        ((F.col("id") * 104729) % 1_000_003).alias("o"),
-        (F.col("id") % 97).alias("v"),
-    )
-    got = ordered_neighbours(df, ["g"], ["o", "v"], lag={"pv": "v"}, lead={"nv": "v"},
-                             count_before="rn", num_partitions=16)
-    w = Window.partitionBy("g").orderBy("o", "v")
-    exp = df.select("*", F.lag("v").over(w).alias("pv"), F.lead("v").over(w).alias("nv"),
-                    (F.row_number().over(w) - 1).cast("bigint").alias("rn"))
-    assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
+    df = spark.createDataFrame(_rows(9, 500), SCHEMA)
+    got = ordered_neighbours(df, ["g"], ["d", "o"], count_before="rn", block=1)
+    w = Window.partitionBy("g").orderBy(*_ordered("d", "o"))
+    _same(got, df.select("*", (F.row_number().over(w) - 1).cast("bigint").alias("rn")))
+
+
+def test_empty_input(spark):
+    df = spark.createDataFrame([], SCHEMA)
+    assert ordered_neighbours(df, ["g"], ["d", "o"], lag={"pv": "v"}, block=1).count() == 0
 
 
-def test_hot_group_is_split_over_slices(spark):
-    # one group holds a third of all rows: it must be spread over many bounded slices
-    n_rows, parts = 300_000, 12
+def test_hot_group_is_spread_over_tasks(spark):
+    """One customer with a third of all rows, highly compressible: no task holds more than its blocks."""
+    n_rows, days = 300_000, 1000
     df = spark.range(0, n_rows, numPartitions=8).select(
         F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 5000).alias("g"),
-        ((F.col("id") * 7919) % 1_000_003).alias("o"),
+        (F.col("id") % days).alias("d"), F.lit("x").alias("s"), F.lit("y").alias("p"), F.col("id").alias("o"),
     )
-    got = ordered_neighbours(df, ["g"], ["o"], lag={"po": "o"}, num_partitions=parts,
-                             keep_slice=True)
-    per_slice = got.groupBy("_nb_pid").count().collect()
-    hot_slices = got.filter(F.col("g") == -1).select("_nb_pid").distinct().count()
-    assert hot_slices >= parts // 3
-    assert max(r["count"] for r in per_slice) <= 2 * n_rows / parts
-
-
-def test_slice_count_follows_scanned_bytes(spark, monkeypatch, tmp_path):
-    import revcurve.operators.neighbours as N
-
-    path = str(tmp_path / "t")
-    spark.range(0, 200_000).selectExpr("id", "id % 7 AS g").write.parquet(path)
-    df = spark.read.parquet(path)
-    joined = df.join(df.withColumnRenamed("id", "id2"), "g")  # plan estimate explodes here
-    from revcurve.sources.files import scanned_bytes
-
-    scanned = scanned_bytes(joined)
-    assert scanned is not None and scanned < 10 * 1024 * 1024
-    monkeypatch.setattr(N, "SLICE_INPUT_BYTES", 64 * 1024)
-    floor = min(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                spark.sparkContext.defaultParallelism)
-    assert N.slice_count(joined) == max(floor, scanned // (64 * 1024))
-    # an RDD-backed input has no trustworthy size: keep the floor
-    assert N.slice_count(df.checkpoint()) == floor
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = ordered_neighbours(df, ["g"], ["d", "s", "p", "o"], lag={"po": "o"}).withColumn("task", F.spark_partition_id())
+        per_task = got.groupBy("task").agg(
+            F.count("*").alias("n"), F.count_if(F.col("g") == -1).alias("hot"), F.sum("po").alias("used")
+        ).collect()
+        sizes, hot = [r["n"] for r in per_task], sum(r["hot"] > 0 for r in per_task)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == n_rows and hot >= 12
+    assert max(sizes) <= 2 * n_rows / 16
+
+
+def test_building_runs_no_job_and_hints_no_broadcast(spark):
+    df = spark.createDataFrame(_rows(4, 50), SCHEMA)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("neighbours-build", "build only")
+    try:
+        plan = ordered_neighbours(df, ["g"], ["d", "o"], lag={"pv": "v"}, block=1)._jdf.queryExecution().optimizedPlan().toString()
+        assert not list(tracker.getJobIdsForGroup("neighbours-build"))
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    assert "broadcast" not in plan.lower()

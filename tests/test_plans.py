@@ -32,10 +32,7 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "ReadSchema: struct<customer:bigint>" in plan
 
 
-def test_staging_uses_no_anti_join_and_no_row_window_by_customer(spark, monkeypatch):
-    import revcurve.operators.neighbours as N
-
-    monkeypatch.setattr(N, "SMALL_INPUT_BYTES", -1)  # the plan used above one slice of input
+def test_staging_uses_no_anti_join_and_no_row_window_by_customer(spark):
     sales = _sales_file(spark)
     plan = _plan(T.staging_model(sales))
     assert "LeftAnti" not in plan
@@ -75,16 +72,11 @@ def _hot_block_sales(spark, n=200_000):
     )
 
 
-def test_small_input_staging_is_one_shuffle_by_customer(spark):
-    sales = _sales_file(spark)
-    plan = _plan(T.staging_model(sales))
-    assert "Join" not in plan and "Exchange hashpartitioning(customer" in plan
-
+def test_free_renewals_alone_need_no_flags(spark):
+    assert "Join" not in _plan(T.clean_rows(_sales_file(spark), ("t07",)))
 
-def test_hot_block_join_is_split_by_aqe(spark, monkeypatch):
-    import revcurve.operators.neighbours as N
 
-    monkeypatch.setattr(N, "SMALL_INPUT_BYTES", -1)  # the block plan of large inputs
+def test_hot_block_join_is_split_by_aqe(spark):
     conf = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
@@ -179,14 +171,90 @@ def test_bucketed_model_table_round_trip(spark, tmp_path):
     spark.sql("DROP TABLE revcurve_test_stg")
 
 
-def test_no_query_uses_a_cross_or_nested_loop_join(spark, monkeypatch):
-    import revcurve.operators.neighbours as N
+def test_no_query_uses_a_cross_or_nested_loop_join(spark):
     from revcurve.plans import registry as R
 
     sales = _sales_file(spark)
-    for large in (False, True):
-        if large:
-            monkeypatch.setattr(N, "SMALL_INPUT_BYTES", -1)
-        for name, fn in R.operators().items():
-            plan = _plan(fn(sales))
-            assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+    for name, fn in R.operators().items():
+        plan = _plan(fn(sales))
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    pdf = frame(crafted())
+    path = str(tmp_path / "reordered.csv")
+    pdf[list(pdf.columns)[::-1]].assign(extra=1).to_csv(path, index=False)
+    straight = str(tmp_path / "straight.csv")
+    pdf.to_csv(straight, index=False)
+    got, want = read_sales(spark, path, fmt="csv"), read_sales(spark, straight, fmt="csv")
+    assert got.columns == want.columns
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_csv_without_a_column_or_with_a_bad_value_fails(spark, tmp_path):
+    import pytest
+
+    pdf = frame(crafted())
+    short = str(tmp_path / "short.csv")
+    pdf.drop(columns=["quantity"]).to_csv(short, index=False)
+    with pytest.raises(ValueError, match="quantity"):
+        read_sales(spark, short, fmt="csv")
+    for column, value in (("processed_date", "01/02/2019"), ("customer", "x"), ("amount_in_usd", "abc")):
+        bad = pdf.astype(object).copy()
+        bad.loc[bad.index[0], column] = value
+        path = str(tmp_path / f"bad_{column}.csv")
+        bad.to_csv(path, index=False)
+        with pytest.raises(Exception, match="(?i)malformed|parse|cannot"):
+            read_sales(spark, path, fmt="csv").collect()
+
+
+def test_large_amounts_do_not_overflow(spark):
+    """1e14 dollars: shares and growth in percent stay exact."""
+    from revcurve.operators import dashboard as B
+
+    stg = spark.createDataFrame(
+        [("new customer", "New", 1e14, 0.0), ("existing customer: renewal", "Renew", 3e14, 0.0)],
+        "customer_status string, updated_license_type string, paid_amount_in_usd double, updated_discount_in_usd double",
+    )
+    got = {r["customer_status"]: r["revenue_share_pct"] for r in B.revenue_split(stg).collect()}
+    assert got == {"new customer": 25.0, "existing customer: renewal": 75.0}
+    month = spark.sql(
+        "SELECT DATE'2020-01-01' mrr_month, 30000000000000000L mrr_c, 10000000000000000L previous_mrr_c, 1L active_customers, "
+        "1L churned_customers, 4L previous_month_active_customers, 5000000000000000L churned_mrr_c, "
+        "0L expansion_mrr_c, 0L contraction_mrr_c"
+    )
+    assert B.mrr_trend(month).first()["mrr_growth_pct"] == 200.0
+    assert B.net_dollar_retention(month).first()["net_dollar_retention_pct"] == 50.0
+    assert B.churn_rate(month).first()["revenue_churn_pct"] == 50.0
+
+
+def test_repeat_npu_output_splits_a_hot_day(spark):
+    """Many copies on one (customer, day): no output task holds most of them."""
+    from pyspark.sql import functions as F
+
+    from revcurve.functions import domain as D
+    from revcurve.operators import explore as E
+
+    hot = _hot_block_sales(spark, 6).where("customer = 1").limit(1)
+    sales = hot.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(300_000)))).select(*D.SALES_COLUMNS)
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = E.repeat_npu(sales).withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    sizes = [r["count"] for r in got]
+    assert sum(sizes) == 299_999 and max(sizes) < 0.4 * 299_999
+
+
+def test_shared_folder_is_required_off_one_machine():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from revcurve.plans.session import ensure_checkpoint_dir
+
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077", setCheckpointDir=None)
+    session = SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(session)
