@@ -13,8 +13,8 @@ of the host's different pages, elsewhere in ``outer_share``; both need ``min_pag
 
 Work per run: one pass that emits (host, content, subtree hashes) rows, without text; two
 aggregates with map-side partial sums; and one pass over the pages joined with the host's
-template hashes (one row per host; AQE broadcasts it while it is small, splits a hot host
-otherwise).
+template hashes (one row per host, repeated for each of :data:`HOST_PARTS` parts of the host's
+pages, so a hot host is spread; broadcast by Spark while it is below the session's threshold).
 
 Defined results: null html reads as empty; a page without text gives an empty string; a null
 or unparsable url is a host of its own kind (the empty host); repeated rows give repeated
@@ -47,6 +47,8 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 SCOPES = frozenset("ul ol dl table div article section main body td th blockquote".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
+HOST_PARTS = 64
+
 _BOILER = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|"
     r"footer|sidebar|side-?bar|aside|widget|related|recommend\w*|share|sharing|social|cookies?|consent|notice|gdpr|popup|modal|"
@@ -291,7 +293,10 @@ def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", **th
     """``pages`` (html column and all others) with ``text``, the main text without site templates."""
     if "text" in pages.columns or "templates" in pages.columns:
         raise ValueError("the input has a column named text or templates; rename it")
-    templates = site_templates(pages, html_col=html_col, url_col=url_col, **thresholds)
-    joined = pages.withColumn("_host", host_of(url_col)).join(templates.withColumnRenamed("host", "_host"), "_host", "left")
+    templates = store(site_templates(pages, html_col=html_col, url_col=url_col, **thresholds), "html-templates")
+    # the few template rows go to every part of a host, so that a hot host's pages are spread
+    spread = templates.select(F.col("host").alias("_host"), "templates", F.explode(F.sequence(F.lit(0), F.lit(HOST_PARTS - 1))).alias("_part"))
+    part = F.pmod(F.xxhash64(html_col, url_col), F.lit(HOST_PARTS)).cast("int")
+    joined = pages.withColumns({"_host": host_of(url_col), "_part": part}).join(spread, ["_host", "_part"], "left")
     udf = F.arrow_udf(_extract, "string")
-    return joined.withColumn("text", udf(text_of(html_col), F.col("templates"))).drop("_host", "templates")
+    return joined.withColumn("text", udf(text_of(html_col), F.col("templates"))).drop("_host", "_part", "templates")
