@@ -2,7 +2,8 @@
 
 The model is a byte-context trie of order :data:`ORDER`, pretrained on the training texts: for
 every context of up to ORDER bytes, how often each byte follows. A symbol is coded in the
-longest context that the trie knows; when the context has not seen it, an escape (method C) leads to
+longest context that the trie knows; when the context has not seen it, an escape (method D: half a
+count of every symbol seen) leads to
 the next shorter context, where the symbols of the longer one are excluded; below order 0 all
 remaining symbols are equally likely. The trie's levels are kept as tables of (context, symbol)
 codes, so whole batches of positions are looked up at once; as counts of longer contexts are never
@@ -11,7 +12,7 @@ worked out once.
 
 Counting covers every byte of every training text: tasks merge their (ORDER + 1)-byte windows
 before the shuffle, and shorter contexts are sums of longer ones. A trie node stays when it holds
-at least the share ``keep`` of all training symbols (and 2 of them); pruned symbols count as escapes. By
+at least the share ``keep`` of all training symbols; pruned symbols count as escapes. By
 that rule a level has at most 1 / keep nodes, which bounds what is broadcast at any input size, and the
 rule is the same at every size.
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from revcurve.llm.common import LOWER, LookupTable, chunks, span_hashes, store, text_of, word_spans
 
-ORDER = 5
+ORDER = 6
 SYMBOLS = 255  # all bytes but START
 START, STOP = 0xFE, 0xFF  # neither byte occurs in UTF-8 text
 END_WORD = 0
@@ -141,8 +142,8 @@ class Trie:
             built.append((codes, counts, names, n, q, kept, at))
         self.empty = not len(built) or not len(built[0][0])
         for k, (codes, counts, names, n, q, kept, at) in enumerate(built):
-            seen = log(counts) - log(n + q)[at]
-            escape = log(n - kept + q) - log(n + q)
+            seen = log(counts - 0.5) - log(n)[at]
+            escape = log(n - kept + 0.5 * q) - log(n)
             if k == 0:
                 rest = np.maximum(1, SYMBOLS - q)
                 lower, lower_escape = log(rest), np.zeros(len(names))
@@ -154,10 +155,10 @@ class Trie:
                 gone = np.bincount(at, same, len(names))
                 below = np.searchsorted(b_names, names & ((1 << 8 * (k - 1)) - 1))
                 rest_n, rest_q = np.maximum(0, b_n[below] - gone), np.maximum(0, b_q[below] - q)
-                lower = log(rest_n + rest_q)
-                left = b_n[below] - b_kept[below] + rest_q
+                lower = log(rest_n)
+                left = b_n[below] - b_kept[below] + 0.5 * rest_q
                 lower_escape = np.where(left > 0, log(left), 0) - np.where(left > 0, lower, 0)
-            self.levels.append((LookupTable(codes.view(np.uint64)), seen.astype(np.float32), log(counts).astype(np.float32)))
+            self.levels.append((LookupTable(codes.view(np.uint64)), seen.astype(np.float32), log(counts - 0.5).astype(np.float32)))
             self.contexts.append((LookupTable(names.view(np.uint64)), escape.astype(np.float32), lower.astype(np.float32), lower_escape.astype(np.float32)))
         self.word_table, self.word_counts = LookupTable(vocabulary[0].view(np.uint64)), vocabulary[1].astype(np.int64)
         self.divisor = float(tokens + distinct + 1)
@@ -235,7 +236,7 @@ class Model:
         self.trie, self.counts, self.tokens, self.distinct = trie, counts, tokens, distinct
 
 
-def train(docs: DataFrame, train_rows: Column, text_col: str = "text", keep: float = 1e-6, keep_words: float = 2.5e-7) -> Model:
+def train(docs: DataFrame, train_rows: Column, text_col: str = "text", keep: float = 5e-7, keep_words: float = 2.5e-7) -> Model:
     """Count the training texts and build the model; ``keep`` and ``keep_words`` bound its size."""
     texts = docs.where(train_rows).select(text_of(text_col).alias("text"))
     counts = store(
@@ -247,12 +248,12 @@ def train(docs: DataFrame, train_rows: Column, text_col: str = "text", keep: flo
     symbols = totals[0]["n"] if 0 in totals else 0
     ends = words_of.where(F.col("key") == END_WORD).first()
     levels, level = [], counts.where("kind = 0").select("key", "n")
-    least = max(2.0, keep * symbols)
+    least = max(1.0, keep * symbols)
     for k in range(ORDER, -1, -1):
         if k < ORDER:
             level = store(level.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")), "ppm-level")
         levels.append(_arrays(level.where(F.col("n") >= least)))
-    vocabulary = _arrays(words_of.where(F.col("n") >= max(2.0, keep_words * tokens)))
+    vocabulary = _arrays(words_of.where(F.col("n") >= max(1.0, keep_words * tokens)))
     trie = Trie(levels[::-1], symbols, ends["n"] if ends else 0, vocabulary, tokens, distinct)
     return Model(trie, words_of, tokens, distinct)
 
