@@ -11,8 +11,9 @@ largest edit distance allowed, and a candidate counts only after an exact word e
 
 Windows are item-sized: an item of n words is read by windows of n rounded down to a multiple
 of 8 words (at most 64), from its beginning, its end and every 64 words between. Every window of
-every document is considered; one that holds too few words of the benchmark to reach the edit
-bound cannot match and is not walked.
+every document is considered; one that holds too few words of the benchmark, or too few of its
+rare words (at most :data:`RARE` times in the block), to reach the edit bound with any item of
+its length cannot match and is not walked.
 
 Items are read in blocks of at most ``block_bytes``, each held by every task; the documents are
 scanned once per block and never shuffled. The result has a row for each document and item found.
@@ -38,6 +39,7 @@ SAMPLED = 4
 TABLES_PER_WALK = 16
 LONGEST = 64
 MOST_WALKS = 24
+RARE = (2, 10)
 _BREAKS = np.ones(256, bool)
 _BREAKS[48:58] = _BREAKS[65:91] = _BREAKS[97:123] = _BREAKS[128:] = False
 MATCH = "struct<item: int, edits: int, first_word: int>"
@@ -118,6 +120,9 @@ class Index:
         self.vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
         self.lookup = LookupTable(self.vocabulary)
         self.items = [(np.searchsorted(self.vocabulary, h) + 1).astype(np.int32) for h in hashes]
+        counts = np.bincount(np.concatenate(self.items), minlength=len(self.vocabulary) + 1) if self.items else np.zeros(1, int)
+        symbols = np.arange(len(counts)) > 0
+        self.kinds = [symbols, *(symbols & (counts <= most) for most in RARE)]  # all words of the block, and its rare ones
         by_size: dict[int, list[tuple[int, int]]] = {}
         for i, item in enumerate(self.items):
             if len(item) >= min_words:
@@ -126,7 +131,8 @@ class Index:
         self.classes = []
         for size, places in sorted(by_size.items()):
             longest = max(len(self.items[i]) for i, _ in places if len(self.items[i]) < 2 * LONGEST) if size < LONGEST else LONGEST + 15
-            need = size - int(max_edits * longest)
+            segments = np.stack([self.items[i][at : at + size] for i, at in places])
+            need = [int(kind[segments].sum(1).min()) - int(max_edits * longest) for kind in self.kinds]
             laid, at = self._laid([self.items[i][p:] for i, p in places], 2 * size)
             walks = self._walks(size, [self.items[i][p:] for i, p in places], target_recall)
             tables = []
@@ -136,7 +142,7 @@ class Index:
                 unique, first = np.unique(flat, return_inverse=True)
                 order = np.argsort(first, kind="stable")
                 tables.append((parts, LookupTable(unique), np.concatenate([[0], np.cumsum(np.bincount(first, minlength=len(unique)))]), order % len(places)))
-            self.classes.append((size, max(1, need), np.array(places), tables))
+            self.classes.append((size, [max(1, need[0]), *need[1:]], np.array(places), tables))
 
     @staticmethod
     def _laid(rows: list[np.ndarray], gap: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,9 +187,10 @@ class Index:
         begin = np.cumsum(n_words + gap) - n_words
         laid = np.zeros(int((n_words + gap).sum()) + gap, np.int32)
         laid[np.arange(len(symbols)) + np.repeat(begin - (np.cumsum(n_words) - n_words), n_words)] = symbols
-        known = np.concatenate([[0], np.cumsum(laid > 0)])
+        sums = [np.concatenate([[0], np.cumsum(kind[laid], dtype=np.int32)]) for kind in self.kinds]
         for size, need, places, tables in self.classes:
-            at = np.flatnonzero(known[size:] - known[:-size] >= need)
+            enough = [total[size:] - total[:-size] >= least for total, least in zip(sums, need, strict=True) if least > 0]
+            at = np.flatnonzero(np.logical_and.reduce(enough))
             for lo in range(0, len(at), 1 << 15):
                 self._search_windows(laid, at[lo : lo + (1 << 15)], size, places, tables, begin, n_words, out)
         return out
