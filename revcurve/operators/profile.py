@@ -22,26 +22,28 @@ def schema_profile(sales: DataFrame) -> DataFrame:
     fields = sales.schema.fields
     pairs = F.explode(
         F.array(*[
-            F.struct(
-                F.lit(i + 1).alias("ordinal_position"),
-                F.lit(f.name).alias("column_name"),
-                F.lit(f.dataType.simpleString()).alias("data_type"),
-                F.col(f.name).cast("string").alias("value"),
-            )
+            F.struct(F.lit(i + 1).alias("ordinal_position"), F.col(f.name).cast("string").alias("value"))
             for i, f in enumerate(fields)
         ])
     ).alias("p")
     per_value = (
-        sales.select(pairs)
-        .select("p.*")
-        .groupBy("ordinal_position", "column_name", "data_type", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+        sales.select(pairs).select("p.*").groupBy("ordinal_position", "value").agg(F.count(F.lit(1)).alias("n"))
     )
-    return per_value.groupBy("ordinal_position", "column_name", "data_type").agg(
+    counts = per_value.groupBy("ordinal_position").agg(
         F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(F.lit(0))).cast("bigint")
         .alias("non_null_count"),
         F.count("value").alias("distinct_count"),
     )
+    # names and types join the few result rows, not the shuffled pairs
+    names = F.array(*[F.lit(f.name) for f in fields])
+    types = F.array(*[F.lit(f.dataType.simpleString()) for f in fields])
+    return counts.select(
+        "ordinal_position",
+        F.element_at(names, F.col("ordinal_position")).alias("column_name"),
+        F.element_at(types, F.col("ordinal_position")).alias("data_type"),
+        "non_null_count",
+        "distinct_count",
+    )
 
 
 def totals(sales: DataFrame) -> DataFrame:
