@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revcurve.llm.common import store
+from revcurve.llm.common import share, shared, store
 
 ROTATIONS = 4
 SUBSTRING = 16
@@ -166,10 +166,10 @@ def search(
     spread = lambda n: F.pmod(F.xxhash64("id", "row", F.lit(3)), F.lit(n)).cast("int")
     candidates = rows.select("id", "row", "v", spread(n_blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("part"), F.lit(False).alias("asks"))
     asking = wanted.select("id", "row", "v", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), spread(q_blocks).alias("part"), F.lit(True).alias("asks"))
-    shared = spark.sparkContext.broadcast((codes, radius))
+    sent = share(spark, (codes, radius))
 
     def cell(table: pa.Table) -> pa.Table:
-        codes, radius = shared.value
+        codes, radius = shared(sent)
         asks = table["asks"].combine_chunks().to_numpy(zero_copy_only=False)
         ids, row = table["id"].to_numpy(), table["row"].to_numpy()
         x = _matrix(table["v"].combine_chunks(), dim)

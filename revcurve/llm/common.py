@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,16 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hp, True)
 
 
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast a bounded value by value; tasks read it with :func:`shared`."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared(sent: Broadcast) -> object:
+    """The value of :func:`share`, inside a task."""
+    return cloudpickle.loads(sent.value)
+
+
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of the column's text, modulo ``modulus``; a null column counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revcurve.llm.common import LOWER, LookupTable, chunks, span_hashes, store, text_of, word_spans
+from revcurve.llm.common import LOWER, LookupTable, chunks, share, shared, span_hashes, store, text_of, word_spans
 
 ORDER = 6
 SYMBOLS = 255  # all bytes but START
@@ -263,12 +263,13 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     clash = {"lm_tokens", "lm_known", "lm_base", "lm_score", "lm_row"} & set(docs.columns)
     if clash:
         raise ValueError(f"the input has columns named {sorted(clash)}; rename them")
-    shared = docs.sparkSession.sparkContext.broadcast(model.trie)
+    sent = share(docs.sparkSession, model.trie)
 
     @F.arrow_udf("struct<n_tokens: bigint, known: bigint, base: double, score: double, tail: array<bigint>, tail_n: array<bigint>>")
     def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        trie = shared(sent)
         for arr in batches:
-            yield shared.value.score(arr)
+            yield trie.score(arr)
 
     rest = [c for c in docs.columns if c != text_col]
     scored = store(docs.select(*rest, F.monotonically_increasing_id().alias("lm_row"), measure(text_of(text_col)).alias("m")), "ppm-scores")
