@@ -238,7 +238,7 @@ def test_pipeline(spark):
     from revcurve.llm.common import remainder, store
 
     docs = spark.read.parquet(f"{SF001}/documents.parquet").withColumn("extra", F.lit("kept"))
-    odd = spark.createDataFrame([(None, None, None, None, None, None), (10_000_000, "", "en", "src0", 0, "e")], docs.schema)
+    odd = spark.createDataFrame([(None, None, None, None, None, None), (10_000_000, "", "en", "src0", 0, "e")], ", ".join(f"{c} {t}" for c, t in docs.dtypes))
     docs = store(docs.unionByName(odd).unionByName(docs.limit(3)), "test")
     columns = docs.columns
     labels = spark.read.parquet(f"{SF001}/labels.parquet")
