@@ -100,7 +100,9 @@ def _variants(fps: DataFrame) -> DataFrame:
                 (F.lit((s * 64 + p) << 32) + seg[s].bitwiseAND(F.lit(_LOW32 ^ (1 << p)))).alias("key"),
                 F.shiftright(seg[s], p).bitwiseAND(F.lit(1)).cast("int").alias("side"),
             ))
-    return fps.select("fp", F.explode(F.array(*cells)).alias("v")).select("v.key", "v.side", "fp")
+    # one narrow row becomes 66: spread the few files of a small table over all tasks first
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    return spread.select("fp", F.explode(F.array(*cells)).alias("v")).select("v.key", "v.side", "fp")
 
 
 def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
