@@ -41,7 +41,7 @@ ORDER = 6
 SYMBOLS = 255  # all bytes but START
 START, STOP = 0xFE, 0xFF  # neither byte occurs in UTF-8 text
 END_WORD = 0
-MERGE_ROWS = 1 << 21
+MERGE_ROWS = 1 << 20
 
 
 def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
