@@ -11,15 +11,20 @@ larger than those of their suffixes, the excluded mass is one number per context
 worked out once.
 
 Counting covers every byte of every training text: tasks merge their (ORDER + 1)-byte windows
-before the shuffle, and shorter contexts are sums of longer ones. A trie node stays when it holds
-at least the share ``keep`` of all training symbols; pruned symbols count as escapes. By
-that rule a level has at most 1 / keep nodes, which bounds what is broadcast at any input size, and the
-rule is the same at every size.
+before the shuffle, and shorter contexts are sums of longer ones. Nothing is cut: every node that
+occurs once stays, so the model grows with the text. All levels lie in stored tables (a node's code
+carries its level), joined only where a key has at most 256 rows: nodes with their suffix, contexts
+with their parent.
+
+A window's probability depends on the window alone. Windows with at least the share ``keep`` of all
+training symbols travel with their probabilities (at most 1 / keep of them); the others are counted per
+text and meet theirs in a join. Those that training has not seen are worked out once each, level
+by level. ``keep`` moves work between broadcast and join and does not change a result.
 
 The baseline is a word unigram model with add-one smoothing; word counts cover all training
 tokens and are exact (words are known by 64-bit hashes). Words with at least the share
 ``keep_words`` of all tokens travel with the model (at most 1 / keep_words of them), the others
-meet their counts in a join on the word.
+meet their counts in the same join.
 
 Defined results: null text reads as empty; an empty text is one end symbol and one end token. A-Z
 are lower-cased. Repeated rows give repeated results; with no training text every symbol is
@@ -119,7 +124,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Trie:
-    """The kept trie levels with their log probabilities (base 10), and the frequent words."""
+    """Trie levels in memory with their log probabilities (base 10): what the stored tables are tested against."""
 
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], symbols: int, texts: int, vocabulary: tuple[np.ndarray, np.ndarray], tokens: int, distinct: int):
         self.levels, self.contexts = [], []
@@ -160,8 +165,6 @@ class Trie:
                 lower_escape = np.where(left > 0, log(left), 0) - np.where(left > 0, lower, 0)
             self.levels.append((LookupTable(codes.view(np.uint64)), seen.astype(np.float32), log(counts - 0.5).astype(np.float32)))
             self.contexts.append((LookupTable(names.view(np.uint64)), escape.astype(np.float32), lower.astype(np.float32), lower_escape.astype(np.float32)))
-        self.word_table, self.word_counts = LookupTable(vocabulary[0].view(np.uint64)), vocabulary[1].astype(np.int64)
-        self.divisor = float(tokens + distinct + 1)
 
     def log_probability(self, codes: np.ndarray) -> np.ndarray:
         """log10 probability of every window's last symbol after the ones before it."""
@@ -193,13 +196,33 @@ class Trie:
         out[left] -= np.where(np.isnan(lower), np.log10(SYMBOLS), lower)
         return out
 
+
+def _tail(keys: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(different keys of each row in row order, how often each, how many a row has)."""
+    order = np.lexsort((keys, rows))
+    keys, rows = keys[order], rows[order]
+    new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])])) if len(keys) else np.zeros(0, int)
+    return keys[new], np.diff(np.append(new, len(keys))), np.bincount(rows[new], minlength=n_rows)
+
+
+class Head:
+    """The frequent windows with their log probabilities (base 10), and the frequent words."""
+
+    def __init__(self, frequent: tuple[np.ndarray, np.ndarray], vocabulary: tuple[np.ndarray, np.ndarray], tokens: int, distinct: int):
+        self.window_table, self.window_logs = LookupTable(frequent[0].view(np.uint64)), frequent[1]
+        self.word_table, self.word_counts = LookupTable(vocabulary[0].view(np.uint64)), vocabulary[1].astype(np.int64)
+        self.divisor = float(tokens + distinct + 1)
+
     def score(self, arr: pa.Array) -> pa.StructArray:
-        """n_tokens, known, base (of the frequent words and the end), score, and the other words with their counts."""
-        n_tokens, known, base, score, tails, tail_n, tail_rows = [], [], [], [], [], [], []
+        """n_tokens, known, base and score of what travels with the model, and the other words and windows with their counts."""
+        n_tokens, known, base, score, tails = [], [], [], [], ([], [])
         for _, _, data, offsets in chunks(arr):
             low, n_rows = LOWER[data], len(offsets) - 1
             codes, rows = windows(low, offsets)
-            score.append(np.bincount(rows, self.log_probability(codes), n_rows))
+            at = self.window_table.find(codes.view(np.uint64))
+            hit = at >= 0
+            score.append(np.bincount(rows[hit], self.window_logs[at[hit]], n_rows))
+            tails[0].append(_tail(codes[~hit], rows[~hit], n_rows))
             found, word_rows = words(low, offsets)
             found = np.concatenate([found, np.full(n_rows, END_WORD, np.int64)])
             word_rows = np.concatenate([word_rows, np.arange(n_rows)])
@@ -208,36 +231,81 @@ class Trie:
             n_tokens.append(np.bincount(word_rows, minlength=n_rows))
             known.append(np.bincount(word_rows[hit], minlength=n_rows))
             base.append(np.bincount(word_rows[hit], np.log10((self.word_counts[at[hit]] + 1) / self.divisor), n_rows))
-            rest, rest_rows = found[~hit], word_rows[~hit]
-            order = np.lexsort((rest, rest_rows))
-            rest, rest_rows = rest[order], rest_rows[order]
-            new = np.flatnonzero(np.concatenate([[True], (rest[1:] != rest[:-1]) | (rest_rows[1:] != rest_rows[:-1])])) if len(rest) else np.zeros(0, int)
-            tails.append(rest[new])
-            tail_n.append(np.diff(np.append(new, len(rest))))
-            tail_rows.append(np.bincount(rest_rows[new], minlength=n_rows))
+            tails[1].append(_tail(found[~hit], word_rows[~hit], n_rows))
         cat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(cat(tail_rows, np.int64))]).astype(np.int32))
+        lists = []
+        for parts in tails:
+            offsets = pa.array(np.concatenate([[0], np.cumsum(cat([p[2] for p in parts], np.int64))]).astype(np.int32))
+            lists += [pa.ListArray.from_arrays(offsets, pa.array(cat([p[0] for p in parts], np.int64))), pa.ListArray.from_arrays(offsets, pa.array(cat([p[1] for p in parts], np.int32)))]
         return pa.StructArray.from_arrays(
-            [pa.array(cat(n_tokens, np.int64)), pa.array(cat(known, np.int64)), pa.array(cat(base, float)), pa.array(cat(score, float)),
-             pa.ListArray.from_arrays(offsets, pa.array(cat(tails, np.int64))), pa.ListArray.from_arrays(offsets, pa.array(cat(tail_n, np.int64)))],
-            ["n_tokens", "known", "base", "score", "tail", "tail_n"],
+            [pa.array(cat(n_tokens, np.int64)), pa.array(cat(known, np.int64)), pa.array(cat(base, float)), pa.array(cat(score, float)), *lists],
+            ["n_tokens", "known", "base", "score", "windows", "windows_n", "words", "words_n"],
         )
 
 
 def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    got = df.select("key", "n").toArrow()
-    return got["key"].to_numpy(), got["n"].to_numpy()
+    got = df.toArrow()
+    return got[0].to_numpy(), got[1].to_numpy()
+
+
+# A node's code holds its level (context length) above its level + 1 bytes; a context's name its length above its bytes.
+def _level(code: Column) -> Column:
+    return F.shiftright(code, 56)
+
+
+def _bytes(code: Column) -> Column:
+    return code.bitwiseAND(F.lit((1 << 56) - 1))
+
+
+def _nodes(code: str) -> Column:
+    """The nodes of a window on all levels, as an array."""
+    return F.array(*[F.col(code).bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).bitwiseOR(F.lit(k << 56)) for k in range(ORDER + 1)])
+
+
+def _with_level(code: Column, level: Column) -> Column:
+    return code + level.cast("bigint") * F.lit(1 << 56)
+
+
+def _context(node: Column) -> Column:
+    """The name of a node's context."""
+    return _with_level(F.shiftright(_bytes(node), 8), _level(node))
+
+
+def _shorter(code: Column, n: Column) -> Column:
+    """A node or context one level down, of ``n`` bytes."""
+    masks = F.array(*[F.lit((1 << 8 * k) - 1).cast("bigint") for k in range(ORDER + 2)])
+    return _with_level(code.bitwiseAND(F.element_at(masks, (n + 1).cast("int"))), _level(code) - 1)
+
+
+def _contexts(nodes: DataFrame) -> DataFrame:
+    """(name, n, escape, lower, lower_escape) of every context: see :class:`Trie`; as nothing is cut, the symbols seen hold all of n."""
+    node = F.col("node")
+    same = nodes.select(F.col("node").alias("suffix"), F.col("n").alias("same"))
+    named = nodes.withColumn("suffix", F.when(_level(node) > 0, _shorter(node, _level(node)))).join(same, "suffix", "left")
+    stats = store(named.groupBy(_context(node).alias("name")).agg(F.sum("n").alias("n"), F.count("*").alias("q"), F.sum("same").alias("gone")), "ppm-contexts")
+    name = F.col("name")
+    parent = stats.select(name.alias("parent"), F.col("n").alias("parent_n"), F.col("q").alias("parent_q"))
+    joined = stats.withColumn("parent", F.when(_level(name) > 0, _shorter(name, _level(name) - 1))).join(parent, "parent", "left")
+    log = lambda x: F.log10(F.greatest(x, F.lit(1e-300)))
+    top = _level(name) == 0
+    left = F.greatest(F.lit(0), F.col("parent_q") - F.col("q")) * 0.5
+    rest = F.greatest(F.lit(0), F.col("parent_n") - F.col("gone")).cast("double")
+    return joined.select(
+        "name", "n", (F.log10(F.col("q") * 0.5) - F.log10("n")).alias("escape"),
+        F.when(top, F.log10(F.greatest(F.lit(1), SYMBOLS - F.col("q")))).otherwise(log(rest)).alias("lower"),
+        F.when(top | (left <= 0), 0.0).otherwise(log(left) - log(rest)).alias("lower_escape"),
+    )
 
 
 class Model:
-    """A trained model: the broadcast part, and the stored counts of all words."""
+    """A trained model: the broadcast part, and the stored words, trie nodes, contexts and window probabilities."""
 
-    def __init__(self, trie: Trie, counts: DataFrame, tokens: int, distinct: int):
-        self.trie, self.counts, self.tokens, self.distinct = trie, counts, tokens, distinct
+    def __init__(self, head: Head, counts: DataFrame, nodes: DataFrame, contexts: DataFrame, seen: DataFrame, tokens: int, distinct: int):
+        self.head, self.counts, self.nodes, self.contexts, self.seen, self.tokens, self.distinct = head, counts, nodes, contexts, seen, tokens, distinct
 
 
-def train(docs: DataFrame, train_rows: Column, text_col: str = "text", keep: float = 5e-7, keep_words: float = 2.5e-7) -> Model:
-    """Count the training texts and build the model; ``keep`` and ``keep_words`` bound its size."""
+def train(docs: DataFrame, train_rows: Column, text_col: str = "text", keep: float = 1e-7, keep_words: float = 2.5e-7) -> Model:
+    """Count the training texts and build the model; ``keep`` and ``keep_words`` bound what is broadcast of it."""
     texts = docs.where(train_rows).select(text_of(text_col).alias("text"))
     counts = store(
         texts.mapInArrow(_count, "kind tinyint, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")), "ppm-counts"
@@ -246,16 +314,50 @@ def train(docs: DataFrame, train_rows: Column, text_col: str = "text", keep: flo
     totals = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).collect()}
     tokens, distinct = (totals[1]["n"], totals[1]["distinct"]) if 1 in totals else (0, 0)
     symbols = totals[0]["n"] if 0 in totals else 0
-    ends = words_of.where(F.col("key") == END_WORD).first()
-    levels, level = [], counts.where("kind = 0").select("key", "n")
-    least = max(1.0, keep * symbols)
-    for k in range(ORDER, -1, -1):
-        if k < ORDER:
-            level = store(level.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")), "ppm-level")
-        levels.append(_arrays(level.where(F.col("n") >= least)))
-    vocabulary = _arrays(words_of.where(F.col("n") >= max(1.0, keep_words * tokens)))
-    trie = Trie(levels[::-1], symbols, ends["n"] if ends else 0, vocabulary, tokens, distinct)
-    return Model(trie, words_of, tokens, distinct)
+    nodes = store(counts.where("kind = 0").select(F.explode(_nodes("key")).alias("node"), "n").groupBy("node").agg(F.sum("n").alias("n")), "ppm-nodes")
+    contexts = store(_contexts(nodes), "ppm-contexts")
+    whole = nodes.where(_level(F.col("node")) == ORDER).withColumn("name", _context(F.col("node")))
+    seen = store(
+        whole.join(contexts.select("name", F.col("n").alias("of")), "name")
+        .select(_bytes(F.col("node")).alias("key"), (F.log10(F.col("n") - 0.5) - F.log10("of")).alias("log"), "n"),
+        "ppm-seen",
+    )
+    frequent = _arrays(seen.where(F.col("n") >= max(1.0, keep * symbols)).select("key", "log"))
+    vocabulary = _arrays(words_of.where(F.col("n") >= max(1.0, keep_words * tokens)).select("key", "n"))
+    return Model(Head(frequent, vocabulary, tokens, distinct), words_of, nodes, contexts, seen.select("key", "log"), tokens, distinct)
+
+
+def unseen(keys: DataFrame, model: Model) -> DataFrame:
+    """(key, log): log probability of each different window of ``keys`` (column ``key``) that training has not seen.
+
+    Every suffix of the windows meets its node and its context once; the levels are then put together
+    from the shortest up, each join on a suffix that at most 256 longer codes share.
+    """
+    node, level = F.col("node"), _level(F.col("node"))
+    asked = keys.select(F.explode(_nodes("key")).alias("node")).distinct().withColumn("name", _context(node))
+    info = store(
+        asked.join(model.nodes.select("node", F.log10(F.col("n") - 0.5).alias("log_n")), "node", "left")
+        .join(model.contexts, "name", "left")
+        .select("node", "log_n", F.log10("n").alias("log_of"), "escape", "lower", "lower_escape"),
+        "ppm-unseen",
+    )
+    # after: what follows an escape from this known context; start: all, when no longer context was known
+    below = None
+    for k in range(ORDER + 1):
+        here = info.where(level == k)
+        if below is None:
+            after, fallback = -F.col("lower"), F.lit(-float(np.log10(SYMBOLS)))
+        else:
+            here = here.withColumn("suffix", _shorter(node, F.lit(k))).join(below, "suffix")
+            after = F.when(F.col("b_log_n").isNotNull(), F.col("b_log_n") - F.col("lower")).otherwise(F.col("lower_escape") + F.col("b_after"))
+            fallback = F.col("b_start")
+        start = (
+            F.when(F.col("log_n").isNotNull(), F.col("log_n") - F.col("log_of"))
+            .when(F.col("escape").isNotNull(), F.col("escape") + after).otherwise(fallback)
+        )
+        here = here.select("node", "log_n", after.alias("after"), start.alias("start"))
+        below = here.select(node.alias("suffix"), F.col("log_n").alias("b_log_n"), F.col("after").alias("b_after"), F.col("start").alias("b_start"))
+    return here.select(_bytes(node).alias("key"), F.col("start").alias("log"))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -263,24 +365,34 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     clash = {"lm_tokens", "lm_known", "lm_base", "lm_score", "lm_row"} & set(docs.columns)
     if clash:
         raise ValueError(f"the input has columns named {sorted(clash)}; rename them")
-    sent = share(docs.sparkSession, model.trie)
+    sent = share(docs.sparkSession, model.head)
+    lists = ", ".join(f"{kind}: array<bigint>, {kind}_n: array<int>" for kind in ("windows", "words"))
 
-    @F.arrow_udf("struct<n_tokens: bigint, known: bigint, base: double, score: double, tail: array<bigint>, tail_n: array<bigint>>")
+    @F.arrow_udf(f"struct<n_tokens: bigint, known: bigint, base: double, score: double, {lists}>")
     def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        trie = shared(sent)
+        head = shared(sent)
         for arr in batches:
-            yield trie.score(arr)
+            yield head.score(arr)
 
     rest = [c for c in docs.columns if c != text_col]
     scored = store(docs.select(*rest, F.monotonically_increasing_id().alias("lm_row"), measure(text_of(text_col)).alias("m")), "ppm-scores")
-    tails = scored.select("lm_row", F.explode(F.arrays_zip("m.tail", "m.tail_n")).alias("t")).select("lm_row", F.col("t.tail").alias("key"), F.col("t.tail_n").alias("times"))
-    divisor = F.lit(model.trie.divisor)
-    c = F.coalesce(F.col("n"), F.lit(0))
-    sums = tails.join(model.counts, "key", "left").groupBy("lm_row").agg(
-        F.sum(F.col("times") * F.log10((c + 1) / divisor)).alias("base"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known")
+
+    def tail(kind: int, name: str) -> DataFrame:
+        pairs = scored.select("lm_row", F.explode(F.arrays_zip(F.col(f"m.{name}").alias("key"), F.col(f"m.{name}_n").alias("times"))).alias("t"))
+        return pairs.select("lm_row", F.lit(kind).alias("kind"), "t.key", "t.times")
+
+    new = store(scored.select(F.explode("m.windows").alias("key")).distinct().join(model.seen, "key", "left_anti"), "ppm-new")
+    divisor = F.lit(model.head.divisor)
+    values = model.seen.unionByName(unseen(new, model)).withColumn("kind", F.lit(0)).unionByName(
+        model.counts.select("key", F.log10((F.col("n") + 1) / divisor).alias("log"), F.lit(1).alias("kind"))
+    )
+    is_word, value = F.col("kind") == 1, F.coalesce("log", F.log10(F.lit(1) / divisor))
+    sums = tail(0, "windows").unionByName(tail(1, "words")).join(values, ["key", "kind"], "left").groupBy("lm_row").agg(
+        F.sum(F.when(is_word, F.col("times") * value)).alias("base"), F.sum(F.when(is_word & F.col("log").isNotNull(), F.col("times"))).alias("known"),
+        F.sum(F.when(~is_word, F.col("times") * F.col("log"))).alias("score"),
     )
-    zero = F.lit(0)
+    none = F.lit(0.0)
     return scored.join(sums, "lm_row", "left").select(
-        *rest, F.col("m.n_tokens").alias("lm_tokens"), (F.col("m.known") + F.coalesce("known", zero)).alias("lm_known"),
-        (F.col("m.base") + F.coalesce("base", F.lit(0.0))).alias("lm_base"), F.col("m.score").alias("lm_score"),
+        *rest, F.col("m.n_tokens").alias("lm_tokens"), (F.col("m.known") + F.coalesce("known", F.lit(0))).alias("lm_known"),
+        (F.col("m.base") + F.coalesce("base", none)).alias("lm_base"), (F.col("m.score") + F.coalesce("score", none)).alias("lm_score"),
     )

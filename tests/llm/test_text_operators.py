@@ -195,6 +195,26 @@ def test_ppm_edge_cases(spark, edge):
     assert abs(got["lm_score"] + np.log10(ppm.SYMBOLS)) < 1e-9 and got["lm_known"] == 0
 
 
+def test_ppm_keeps_every_node_and_equals_the_trie_in_memory(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(["the ", "then ", "other ", "ab", "é", "x", "\n"]) for _ in range(rng.randrange(12))) for _ in range(60)]
+    texts += ["singular zebra quartz"]  # its windows occur once among 2,000 times as many
+    texts += ["common words again and again " * 40] * 60
+    probe = ["singular zebra quartz", "the other", "zq then", "", "éé the x", "ab\nabxq", "ß unseen 漢"]
+    trained = spark.createDataFrame([(t,) for t in texts], "text string")
+    asked = spark.createDataFrame(list(enumerate(probe)), "id int, text string")
+    trie, levels, symbols = _trie(texts, least=1)
+    data, offsets = common.string_buffers(pa.array(probe))
+    codes, rows = ppm.windows(common.LOWER[data], offsets)
+    want = np.bincount(rows, trie.log_probability(codes), len(probe))
+    for keep in (1e-7, 1e-3, 1.0):  # what travels with the model changes no score
+        model = ppm.train(trained, F.lit(True), keep=keep)
+        got = {r["id"]: r["lm_score"] for r in ppm.score(asked, model).collect()}
+        assert np.allclose([got[i] for i in range(len(probe))], want, atol=1e-3), keep
+        assert model.nodes.count() == sum(len(k) for k, _ in levels)
+    assert len(model.head.window_logs) == 0 and symbols > 60_000
+
+
 # -- 3: SimHash --------------------------------------------------------------------------------
 def _slow_simhash(text, words=3):
     ws = (text or "").encode().lower().split()
