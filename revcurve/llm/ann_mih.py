@@ -11,7 +11,8 @@ in double precision.
 The radius is not guessed: for a bounded set of calibration queries the exact nearest vectors
 among all rows are found, and r is the Hamming distance that covers the share ``target_recall`` of
 them. When the radius is so wide that the probes would touch most of a table, the block's
-codes are compared directly, which gives the same codes.
+codes are compared directly, which gives the same codes. Queries that find fewer than k rows within
+the radius (all rows when there are fewer) are asked again with a wider one, at last with all bits, so every query gets its k rows.
 
 Inner products are searched as angles: vectors are scaled by the largest norm and extended
 by the component that brings them to the unit sphere (queries get zero there).
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -162,38 +164,53 @@ def search(
     probes = wanted.orderBy(*by_hash).limit(calibration).collect()
     radius = _radius(rows, codes, np.array([p["v"] for p in probes]), np.array([p["row"] for p in probes]), k, target_recall, dim)
 
-    n_blocks, q_blocks = -(-total // block_rows), -(-asked // query_rows)
+    n_blocks = -(-total // block_rows)
     spread = lambda n: F.pmod(F.xxhash64("id", "row", F.lit(3)), F.lit(n)).cast("int")
-    candidates = rows.select("id", "row", "v", spread(n_blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("part"), F.lit(False).alias("asks"))
-    asking = wanted.select("id", "row", "v", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), spread(q_blocks).alias("part"), F.lit(True).alias("asks"))
-    sent = share(spark, (codes, radius))
-
-    def cell(table: pa.Table) -> pa.Table:
-        codes, radius = shared(sent)
-        asks = table["asks"].combine_chunks().to_numpy(zero_copy_only=False)
-        ids, row = table["id"].to_numpy(), table["row"].to_numpy()
-        x = _matrix(table["v"].combine_chunks(), dim)
-        c, q = np.flatnonzero(~asks), np.flatnonzero(asks)
-        out_q, out_i, out_s = [], [], []
-        if len(c) and len(q):
-            block = Block(codes.encode(x[c]), radius)
-            for at, code in zip(q, codes.encode(x[q], True), strict=True):
-                near = c[block.within(code)]
-                near = near[row[near] != row[at]]
-                score = np.einsum("ij,ij->i", x[near], np.broadcast_to(x[at], (len(near), dim)))
-                best = _best(np.zeros(len(near), int), ids[near], score, k)
-                out_q.append(np.full(len(best), row[at]))
-                out_i.append(ids[near[best]])
-                out_s.append(score[best])
-        cat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-        return pa.table({"query_row": cat(out_q, np.int64), "vec_id": cat(out_i, np.int64), "score": cat(out_s, float)})
-
-    cells = candidates.unionByName(asking).groupBy("block", "part").applyInArrow(cell, "query_row bigint, vec_id bigint, score double")
-    # at most k rows per query and cell
-    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
-    top = cells.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    def within(radius: int, left: DataFrame, n_left: int) -> DataFrame:
+        """(query_row, rank, vec_id, score): the k best within the radius for the queries in ``left``."""
+        q_blocks = -(-n_left // query_rows)
+        candidates = rows.select("id", "row", "v", spread(n_blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("part"), F.lit(False).alias("asks"))
+        asking = left.select("id", "row", "v", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), spread(q_blocks).alias("part"), F.lit(True).alias("asks"))
+        sent = share(spark, (codes, radius))
+
+        def cell(table: pa.Table) -> pa.Table:
+            codes, radius = shared(sent)
+            asks = table["asks"].combine_chunks().to_numpy(zero_copy_only=False)
+            ids, row = table["id"].to_numpy(), table["row"].to_numpy()
+            x = _matrix(table["v"].combine_chunks(), dim)
+            c, q = np.flatnonzero(~asks), np.flatnonzero(asks)
+            out_q, out_i, out_s = [], [], []
+            if len(c) and len(q):
+                block = Block(codes.encode(x[c]), radius)
+                for at, code in zip(q, codes.encode(x[q], True), strict=True):
+                    near = c[block.within(code)]
+                    near = near[row[near] != row[at]]
+                    score = np.einsum("ij,ij->i", x[near], np.broadcast_to(x[at], (len(near), dim)))
+                    best = _best(np.zeros(len(near), int), ids[near], score, k)
+                    out_q.append(np.full(len(best), row[at]))
+                    out_i.append(ids[near[best]])
+                    out_s.append(score[best])
+            cat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+            return pa.table({"query_row": cat(out_q, np.int64), "vec_id": cat(out_i, np.int64), "score": cat(out_s, float)})
+
+        cells = candidates.unionByName(asking).groupBy("block", "part").applyInArrow(cell, "query_row bigint, vec_id bigint, score double")
+        # at most k rows per query and cell
+        rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
+        return store(cells.withColumn("rank", rank).where(F.col("rank") <= k), "ann-found")
+
+    wanted_rows = min(k, total - 1)
+    left, n_left, step, parts = wanted, asked, max(1, codes.bits // 32), []
+    while n_left and wanted_rows:
+        top = within(radius, left, n_left)
+        full = top.where(F.col("rank") == wanted_rows).select("query_row")
+        parts.append(top.join(full, "query_row", "left_semi"))
+        left = store(left.join(full, left["row"] == full["query_row"], "left_anti"), "ann-left")
+        n_left, radius, step = left.count(), min(codes.bits, radius + step), 2 * step  # all bits reach every row
+    if not parts:
+        return empty
     names = wanted.select(F.col("row").alias("query_row"), F.col("id").alias("query_id"))
-    return top.join(names, "query_row").select("query_id", "rank", "vec_id", "score")
+    return reduce(DataFrame.unionByName, parts).join(names, "query_row").select("query_id", "rank", "vec_id", "score")
 
 
 def _radius(rows: DataFrame, codes: Codes, probes: np.ndarray, own: np.ndarray, k: int, target: float, dim: int) -> int:

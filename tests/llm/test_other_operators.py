@@ -154,6 +154,21 @@ def test_recall_against_brute_force(spark, norms):
         assert np.allclose(g.score, x[g.vec_id.values // 3] @ x[q // 3], atol=1e-12)
 
 
+def test_isolated_queries_get_all_their_neighbours(spark):
+    rng = np.random.default_rng(12)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    centres = unit(rng.normal(size=(30, 24)))
+    x = unit(np.concatenate([np.repeat(centres, 100, 0) + 0.02 * rng.normal(size=(3000, 24)), rng.normal(size=(30, 24))]))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = ann_mih.search(df, F.col("id") % 5 == 0, k=20, block_rows=1100, query_rows=400).toPandas()
+    assert got.groupby("query_id").size().to_dict() == {i: 20 for i in range(0, 3030, 5)}
+    for q, g in got.groupby("query_id"):
+        g = g.sort_values("rank")
+        assert g["rank"].tolist() == list(range(1, 21)) and (np.diff(g.score) <= 0).all() and q not in set(g.vec_id)
+    few = ann_mih.search(df.where("vec_id >= 3020"), F.col("id") % 5 == 0, k=20).toPandas()
+    assert few.groupby("query_id").size().to_dict() == {3020: 9, 3025: 9}
+
+
 def test_probing_equals_comparing_all_codes():
     rng = np.random.default_rng(8)
     codes = rng.integers(0, 1 << 63, (20000, 1), dtype=np.uint64)
