@@ -4,12 +4,16 @@ Every page is parsed into a small element tree. Each element subtree has a hash
 and text; Spark counts, per host, in how many different pages a hash occurs, and subtrees that
 recur across many pages of the host are deleted before the text is read (menus, notices and
 other templates, whatever their markup). Elements that HTML or their class or id name as
-boilerplate (navigation, header, footer, aside, form, advert, notice, comments, ...) go as well. The
-text comes from the page's ``article`` / ``main`` element when it has one, else from its body.
+boilerplate (navigation, header, footer, aside, form, advert, notice, comments, ...) go as well, but a
+class or id word drops neither an ``article`` / ``main`` element nor one that holds it, except within
+an ``article`` (replies to it). The text comes from the page's ``article`` / ``main`` element when it
+has one with text, else from its body; where class and id words would leave a page without text, they
+do not count.
 
 A page counts once per host and *content*: copies of one page do not make its text a template.
 Inside the main element a subtree is a template only when it recurs in a share ``inner_share``
-of the host's different pages, elsewhere in ``outer_share``; both need ``min_pages`` pages.
+of the host's different pages, elsewhere in ``outer_share``; both need ``min_pages`` pages. Outside,
+``few_pages`` are enough when they are the share ``inner_share``, so small hosts lose their menus too.
 
 Work per run: one pass that emits (host, content, subtree hashes) rows, without text; two
 aggregates with map-side partial sums; and one pass over the pages joined with the host's
@@ -64,33 +68,32 @@ _SPACE = re.compile(r"[ \t\n\r\f\v   -     　]+")
 
 
 class Node:
-    """An element: its tag, whether its own markup says boilerplate, and children (nodes, text)."""
+    """An element: its tag, whether its markup says boilerplate (``named``: by a class or id word), and children (nodes, text)."""
 
-    __slots__ = ("tag", "boiler", "children", "main")
+    __slots__ = ("tag", "boiler", "named", "children", "main")
 
-    def __init__(self, tag: str, boiler: bool = False, main: bool = False):
-        self.tag, self.boiler, self.main, self.children = tag, boiler, main, []
+    def __init__(self, tag: str, boiler: bool = False, named: bool = False, main: bool = False):
+        self.tag, self.boiler, self.named, self.main, self.children = tag, boiler, named, main, []
 
 
-def _attributes(tag: str, attrs: str) -> tuple[bool, bool]:
-    """(boilerplate by its own markup, a main element) for a start tag."""
+def _attributes(tag: str, attrs: str) -> tuple[bool, bool, bool]:
+    """(boilerplate by its own markup, by a class or id word, a main element) for a start tag."""
     main = tag in ("article", "main")
     if tag in DROPPED:
-        return True, False
+        return True, False, False
     if not attrs or not _NAMED.search(attrs):
-        return False, main
+        return False, False, main
     got = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
     role = got.get("role", "").strip().lower()
     boiler = role in ROLES or "hidden" in got or got.get("aria-hidden") == "true" or bool(_HIDDEN_STYLE.search(got.get("style", "")))
-    if tag not in ("body", "html", "main"):
-        boiler = boiler or bool(_BOILER.search(got.get("class", ""))) or bool(_BOILER.search(got.get("id", "")))
-    return boiler, (main or role == "main") and not boiler
+    named = tag not in ("body", "html", "main") and (bool(_BOILER.search(got.get("class", ""))) or bool(_BOILER.search(got.get("id", ""))))
+    return boiler, named, (main or role == "main") and not boiler
 
 
 def parse(text: str) -> Node:
     """Element tree of a page; unclosed and misnested tags are closed the way browsers do."""
     root = Node("#root")
-    stack, at, n = [root], 0, len(text)
+    stack, at, n, some_named = [root], 0, len(text), False
     while at < n:
         m = _TOKEN.search(text, at)
         if m is None:
@@ -117,14 +120,45 @@ def parse(text: str) -> Node:
             _close(stack, "p", SCOPES - {"p"})
         if tag in SIBLINGS:
             _close_siblings(stack, SIBLINGS[tag])
-        boiler, main = _attributes(tag, attrs)
-        node = Node(tag, boiler, main)
+        boiler, named, main = _attributes(tag, attrs)
+        some_named = some_named or named
+        node = Node(tag, boiler, named, main)
         stack[-1].children.append(node)
         if tag not in VOID and not attrs.rstrip().endswith("/") or tag in BLOCK and tag not in VOID:
             stack.append(node)
+    if some_named:
+        _drop_named(root)
     return root
 
 
+def _drop_named(root: Node) -> None:
+    """Mark what class and id words drop: no main element and none that holds one, except within an article; nothing when no text would be left."""
+    order, todo = [], [(root, False)]
+    while todo:
+        node, replies = todo.pop()
+        order.append((node, replies))
+        if not node.boiler:
+            todo.extend((c, replies or node.tag == "article") for c in node.children if isinstance(c, Node))
+    holds: set[int] = set()
+    dropped = []
+    for node, replies in reversed(order):
+        if not node.boiler and (node.main or any(id(c) in holds for c in node.children if isinstance(c, Node))):
+            holds.add(id(node))
+        if node.named and not node.boiler and (replies or id(node) not in holds):
+            dropped.append(node)
+    for node in dropped:
+        node.boiler = True
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if not node.boiler:
+            if any(not isinstance(c, Node) and c.strip() for c in node.children):
+                return
+            todo.extend(c for c in node.children if isinstance(c, Node))
+    for node in dropped:
+        node.boiler = False
+
+
 def _close(stack: list[Node], tag: str, scope: frozenset | set = frozenset()) -> None:
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag == tag:
@@ -215,7 +249,7 @@ def blocks(root: Node, hashes: dict[int, int], templates: frozenset[int]) -> lis
                 found.append(text)
             line.clear()
 
-    for top in mains or [root]:
+    def read(top: Node) -> None:
         work: list = [top]
         while work:
             x = work.pop()
@@ -232,6 +266,11 @@ def blocks(root: Node, hashes: dict[int, int], templates: frozenset[int]) -> lis
                     work.append(None)
                 work.extend(reversed(x.children))
         flush()
+
+    for top in mains:
+        read(top)
+    if not found:
+        read(root)
     return found
 
 
@@ -254,7 +293,7 @@ def _subtrees(pages: pa.Array) -> pa.Array:
     )
 
 
-def site_templates(pages: DataFrame, min_pages: int = 8, outer_share: float = 0.1, inner_share: float = 0.5, html_col: str = "html", url_col: str = "url") -> DataFrame:
+def site_templates(pages: DataFrame, min_pages: int = 8, outer_share: float = 0.1, inner_share: float = 0.5, few_pages: int = 3, html_col: str = "html", url_col: str = "url") -> DataFrame:
     """(host, templates): the subtree hashes that recur across many different pages of a host."""
     seen = pages.select(
         host_of(url_col).alias("host"),
@@ -270,9 +309,9 @@ def site_templates(pages: DataFrame, min_pages: int = 8, outer_share: float = 0.
         )).alias("x"),
     ).select("host", "content", "x.*").distinct()
     counts = rows.groupBy("host", "h").agg(F.count("*").alias("pages"), F.max("inside").alias("inside"))
-    recurring = store(counts.where((F.col("pages") >= min_pages) | F.col("h").isNull()), "html-subtrees")
+    recurring = store(counts.where((F.col("pages") >= F.when(F.col("inside"), min_pages).otherwise(min(min_pages, few_pages))) | F.col("h").isNull()), "html-subtrees")
     totals = recurring.where(F.col("h").isNull()).select("host", F.col("pages").alias("total"))
-    share = F.when(F.col("inside"), inner_share).otherwise(outer_share)
+    share = F.when(F.col("inside") | (F.col("pages") < min_pages), inner_share).otherwise(outer_share)
     # the share bounds a host's list: each page holds few subtrees, a template many pages
     return (
         recurring.where(F.col("h").isNotNull()).join(totals, "host").where(F.col("pages") >= F.col("total") * share)

@@ -117,6 +117,31 @@ def test_templates_are_removed_by_recurrence(spark):
         html_extract.extract(pages.withColumn("text", F.lit("")))
 
 
+def test_articles_and_their_wrappers_stay_whatever_their_class():
+    text = html_extract.main_text
+    assert text("<nav>menu</nav><article class='hentry category-social'><p>whole text</p></article>") == "whole text"
+    assert text("<div id=page class=has-sidebar><div class=sidebar>side</div><main><p>whole text</p></main></div>") == "whole text"
+    assert text("<body><div class='review-body'><p>only text</p></div><footer>foot</footer></body>") == "only text"
+    assert text("<article><div class=share>s</div></article><p>beside</p>") == "beside"
+    assert text("<article><p>text</p><div id=comments><article class=comment>reply</article></div></article>") == "text"
+    assert text("<div class=sidebar><aside><article>aside</article></aside>side</div><p>text</p>") == "text"
+    assert text("<article hidden>gone</article><nav>menu</nav>") == ""
+
+
+def test_small_hosts_lose_their_menus_but_not_shared_passages(spark):
+    page = "<body><div><p>Home News Contact</p></div><div><p>text {0}</p></div></body>"
+    rows = [(i, f"http://small/{i}", page.format(i)) for i in range(4)]
+    page = "<body><article><p>shared passage</p><p>text {0}</p></article></body>"
+    rows += [(30 + i, f"http://article/{i}", page.format(i)) for i in range(4)]
+    rows += [(10 + i, f"http://pair/{i}", f"<p>same passage</p><p>text {i}</p>") for i in range(2)]
+    rows += [(20 + i, f"http://mid/{i}", f"<p>{'same passage' if i < 3 else i * 100}</p><p>text {i}</p>") for i in range(7)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert [got[i] for i in range(4)] == [f"text {i}" for i in range(4)]
+    assert [got[30 + i] for i in range(4)] == [f"shared passage\ntext {i}" for i in range(4)]
+    assert all(got[10 + i] == f"same passage\ntext {i}" for i in range(2))
+    assert all(got[20 + i] == f"same passage\ntext {i}" for i in range(3))
+
+
 def test_html_query(spark):
     got = R.op9_html_templates(spark, SF001).collect()
     assert len(got) == spark.read.parquet(f"{SF001}/pages.parquet").count()
