@@ -1,38 +1,118 @@
-"""Skew-safe ``lag`` / ``lead`` / running count within ordered groups.
-
-A plain ``Window.partitionBy(group).orderBy(order)`` sends every row of a group to one task:
-a customer that owns a third of all rows would become a single task holding a third of the
-data. This operator computes the same values in two levels, with one plan at every size:
-
-1. A *block* is the group plus the first ``block`` columns of the order (day, status and
-   product or license in this package). Rows are hashed by block, and a window inside each block
-   gives the values of all rows but the block's edges. A hot group is spread over as many tasks
-   as it has blocks.
-2. One row per block (a hash aggregate with partial sums, so a pile of rows is reduced before
-   it moves) carries the block's first and last values and its weight. A window over the blocks
-   of a group, whose number is bounded by the calendar times the catalogue and not by the rows, hands
-   them to the next and previous block, and a plain join on the block key takes them back to the
-   rows; it reuses the rows' partitioning.
-
-Nothing is sampled, written or run while the DataFrame is built, and no side is broadcast by a
-hint.
-
-Rows of one block meet in one task: that bounds a task by what one group does in one day under
-one status and product (or license). Callers collapse exact copies into a multiplicity first
-(``weight``), so a block holds only rows that differ in code, amount, discount or quantity.
-
-Ties in ``order`` are broken arbitrarily, as in a window; callers pass an ``order`` that is
-unique per row or accept that equal rows are interchangeable.
+"""Skew-safe ``lag`` / ``lead`` / running total within ordered groups: a range-partitioned prefix scan.
+
+A plain ``Window.partitionBy(group).orderBy(order)`` sends every row of a group to one task: a customer
+that owns a third of all rows would become a single task holding a third of the data. Here the rows are
+put in one global order instead, with one plan at every size:
+
+1. One range exchange on (group, order), each partition sorted, and the result stored with its partition
+   number and the row's place in the partition. A hot group simply spans several partitions.
+2. One *edge* row per partition (its first and last row, and what its last group sums to). A window over
+   the edges, one row per partition, carries them forward and backward.
+3. A window over each stored partition gives every row its neighbours; the edges, joined by partition
+   number, complete the partition's first and last row and the running totals of its first group.
+
+The stored table is bucketed by a number that stands for the partition, so step 3 reads it partition by
+partition without another exchange: one exchange of rows and one of edge rows in all. Each partition is
+one task; there are ``slices`` of them (``spark.sql.shuffle.partitions``, or more when the input files
+hold more than :data:`SLICE_BYTES` for each).
+
+The table is written while the DataFrame is built, under the session's shared checkpoint folder, and
+stays there for as long as the result may be read; the folder's owner clears it.
 """
 
 from __future__ import annotations
 
+import functools
+import math
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BLOCK_COLUMNS = 3
+from revcurve.plans.session import ensure_checkpoint_dir
+from revcurve.sources.files import save_model_table, scanned_bytes
+
+SLICE_BYTES = 128 * 1024 * 1024
+# Columns of a stored range-partitioned table: partition number, its bucket number, place in the partition.
+SLICE, BUCKET, PLACE = "_nb_slice", "_nb_bucket", "_nb_place"
+_PLACE_BITS = 33  # monotonically_increasing_id: the row number stands in the lower 33 bits
+
+# how two partial totals combine and how the part before the group began is taken off again
+TOTALS = {
+    "sum": (F.sum, lambda a, b: a + b, lambda a, b: a - b),
+    "xor": (F.bit_xor, lambda a, b: a.bitwiseXOR(b), lambda a, b: a.bitwiseXOR(b)),
+}
+
+
+@functools.lru_cache(maxsize=16)
+def _bucket_numbers(spark: SparkSession, n: int) -> list[int]:
+    """For each partition number, an integer that ``bucketBy(n)`` puts into the bucket of that number."""
+    tries = int(n * (math.log(n) + 12)) + 16
+    number = F.col("id").cast("int")
+    found = spark.range(tries).groupBy(F.pmod(F.hash(number), F.lit(n)).alias("bucket")).agg(F.min(number).alias("number"))
+    return [r["number"] for r in sorted(found.collect(), key=lambda r: r["bucket"])]
+
+
+def _ascending(names: Sequence[str]):
+    return [F.col(c).asc_nulls_first() for c in names]
+
+
+def slice_count(df: DataFrame) -> int:
+    """Partitions of a range-partitioned copy of ``df``: the session's, or one per 128 MB of input files."""
+    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(configured, (scanned_bytes(df) or 0) // SLICE_BYTES)
+
+
+def store_in_order(df: DataFrame, keys: Sequence[str], slices: int | None = None) -> DataFrame:
+    """``df`` in the ascending order of ``keys`` (NULLs first), stored, with SLICE, BUCKET and PLACE.
+
+    Rows equal in all ``keys`` share a slice. Windows and aggregates by (BUCKET, ...) need no exchange.
+    """
+    spark = df.sparkSession
+    n = slices or slice_count(df)
+    numbers = F.array(*[F.lit(b) for b in _bucket_numbers(spark, n)])
+    row = F.monotonically_increasing_id()
+    placed = df.repartitionByRange(n, *_ascending(keys)).sortWithinPartitions(*_ascending(keys)).select(
+        "*",
+        F.spark_partition_id().alias(SLICE),
+        F.element_at(numbers, F.spark_partition_id() + 1).alias(BUCKET),
+        row.bitwiseAND((1 << _PLACE_BITS) - 1).alias(PLACE),
+    )
+    name = f"revcurve_order_{uuid.uuid4().hex}"
+    save_model_table(placed, name, bucket_by=BUCKET, buckets=n, path=f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}")
+    stored = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalog entry only: the files are external to it
+    return stored
+
+
+def _edges(stored: DataFrame, group: list[str], firsts: list[str], lasts: list[str], totals: dict) -> DataFrame:
+    """One row per slice: its neighbours' edge rows and the totals carried into its first group."""
+    key = F.struct(*group)
+    edges = stored.groupBy(BUCKET, SLICE).agg(
+        F.min_by(F.struct(key.alias("key"), *firsts), PLACE).alias("first"),
+        F.max_by(F.struct(key.alias("key"), *lasts), PLACE).alias("last"),
+    )
+    if totals:
+        last = edges.select(BUCKET, F.col("last.key").alias("_nb_key"))
+        rows = stored.withColumn("_nb_group", key).join(last, BUCKET).where(F.col("_nb_group").eqNullSafe(F.col("_nb_key")))
+        sums = rows.groupBy(BUCKET).agg(*[TOTALS[kind][0](value).alias(f"_nb_{out}") for out, (kind, value) in totals.items()])
+        edges = edges.join(sums, BUCKET)
+    along = Window.orderBy(SLICE)  # one row per slice
+    carried = [
+        TOTALS[kind][0](f"_nb_{out}").over(Window.partitionBy("last.key").orderBy(SLICE)).alias(f"_nb_{out}")
+        for out, (kind, _) in totals.items()
+    ]
+    edges = edges.select(SLICE, BUCKET, "first", "last", *carried)
+    continued = F.lag("last.key").over(along).eqNullSafe(F.col("first.key")) & (F.lag(SLICE).over(along).isNotNull())
+    return edges.select(
+        F.col(BUCKET),
+        F.lag("last").over(along).alias("_nb_before"),
+        F.lead("first").over(along).alias("_nb_after"),
+        F.col("first.key").alias("_nb_first_key"),
+        *[F.when(continued, F.lag(f"_nb_{out}").over(along)).otherwise(F.lit(0)).cast("bigint").alias(f"_nb_carry_{out}")
+          for out in totals],
+    )
 
 
 def ordered_neighbours(
@@ -43,7 +123,8 @@ def ordered_neighbours(
     lead: Mapping[str, str] | None = None,
     count_before: str | None = None,
     weight: str | None = None,
-    block: int = BLOCK_COLUMNS,
+    running: Mapping[str, tuple[str, str]] | None = None,
+    slices: int | None = None,
 ) -> DataFrame:
     """Add neighbour columns to ``df``.
 
@@ -52,61 +133,54 @@ def ordered_neighbours(
     ``lead`` same, for the next row.
     ``count_before`` names an output column holding the number of earlier rows of the group
              (or the sum of ``weight`` over them when ``weight`` names a multiplicity column).
-    ``block`` is the number of leading ``order`` columns that cut a group into blocks.
+    ``running`` maps output column -> (``"sum"`` or ``"xor"``, bigint source column without NULLs):
+             the total over the group up to and including the row.
 
     Sort order is ascending with NULLs first for every ``order`` column; NULLs of ``group`` are
-    one group.
+    one group. Ties in ``order`` are broken by the source columns, then arbitrarily.
     """
-    lag, lead = dict(lag or {}), dict(lead or {})
+    lag, lead, running = dict(lag or {}), dict(lead or {}), dict(running or {})
     group, order = list(group), list(order)
-    prefix, rest = order[:block], order[block:]
-    keys = group + prefix
-    ascending = lambda names: [F.col(c).asc_nulls_first() for c in names]
-    w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-
-    rows = df.withColumn("_nb_key", F.struct(*keys))  # equal structs are equal in their NULLs too
-    aggs, firsts, lasts = [F.sum(w).alias("_nb_w")], {}, {}
-    inner = F.struct(*rest) if rest else F.lit(0)
-    for src in sorted(set(lag.values())):
-        if src in keys:
-            lasts[src] = F.col(f"_nb_key.{src}")
-        else:
-            aggs.append(F.max_by(F.struct(src), inner).alias(f"_nb_last_{src}"))
-            lasts[src] = F.col(f"_nb_last_{src}.{src}")
-    for src in sorted(set(lead.values())):
-        if src in keys:
-            firsts[src] = F.col(f"_nb_key.{src}")
-        else:
-            aggs.append(F.min_by(F.struct(src), inner).alias(f"_nb_first_{src}"))
-            firsts[src] = F.col(f"_nb_first_{src}.{src}")
-    between = Window.partitionBy(*[F.col(f"_nb_key.{c}") for c in group]).orderBy(
-        *[F.col(f"_nb_key.{c}").asc_nulls_first() for c in prefix]
-    )
-    edges = [F.lag(lasts[src]).over(between).alias(f"_nb_prev_{out}") for out, src in lag.items()]
-    edges += [F.lead(firsts[src]).over(between).alias(f"_nb_next_{out}") for out, src in lead.items()]
+    sources = [c for c in dict.fromkeys([*lag.values(), *lead.values()]) if c not in group + order]
+    stored = store_in_order(df, [*group, *order, *sources], slices)
+
+    one = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+    totals = {out: (kind, F.col(src)) for out, (kind, src) in running.items()}
     if count_before:
-        earlier = F.sum("_nb_w").over(between.rowsBetween(Window.unboundedPreceding, -1))
-        edges.append(F.coalesce(earlier, F.lit(0).cast("bigint")).alias("_nb_earlier"))
-    blocks = rows.groupBy("_nb_key").agg(*aggs).select("_nb_key", *edges)
-
-    inside = Window.partitionBy("_nb_key").orderBy(*(ascending(rest) or [F.lit(0)]))
-    spans = [F.row_number().over(inside).alias("_nb_pos")]
-    spans += [F.lag(src).over(inside).alias(f"_nb_lag_{out}") for out, src in lag.items()]
-    spans += [F.lead(src).over(inside).alias(f"_nb_lead_{out}") for out, src in lead.items()]
+        totals["_nb_count"] = ("sum", one)
+    before, after = sorted(set(lag.values())), sorted(set(lead.values()))
+    edges = _edges(stored, group, [F.col(c).alias(f"v_{c}") for c in after], [F.col(c).alias(f"v_{c}") for c in before], totals)
+
+    key = F.struct(*group)
+    row = Window.partitionBy(BUCKET).orderBy(PLACE)
+    so_far = row.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = [F.lag(F.struct(key.alias("key"), *[F.col(c).alias(f"v_{c}") for c in before])).over(row).alias("_nb_lag")]
     if lead:
-        spans.append(F.count(F.lit(1)).over(Window.partitionBy("_nb_key")).alias("_nb_n"))
-    if count_before:
-        before = F.sum(w).over(inside.rowsBetween(Window.unboundedPreceding, -1))
-        spans.append(F.coalesce(before, F.lit(0).cast("bigint")).alias("_nb_before"))
-    joined = rows.join(blocks, "_nb_key").select("*", *spans)
+        spans.append(F.lead(F.struct(key.alias("key"), *[F.col(c).alias(f"v_{c}") for c in after])).over(row).alias("_nb_lead"))
+    spans += [TOTALS[kind][0](value).over(so_far).alias(f"_nb_total_{out}") for out, (kind, value) in totals.items()]
+    rows = stored.select("*", *spans)
+    if totals:
+        # the total at the end of the row before the group began, in this slice
+        begins = ~F.coalesce(F.col("_nb_lag.key").eqNullSafe(key), F.lit(False)) | (F.col(PLACE) == 0)
+        rows = rows.select("*", *[
+            F.last(F.when(begins, TOTALS[kind][2](F.col(f"_nb_total_{out}"), value)), ignorenulls=True).over(so_far).alias(f"_nb_base_{out}")
+            for out, (kind, value) in totals.items()
+        ])
+    joined = rows.join(edges, BUCKET, "left")  # left: the rows are never the side to broadcast
+
+    def neighbour(near: str, far: str, src: str):
+        beside = F.coalesce(F.col(near), F.col(far))  # NULL beside the slice's first / last row
+        return F.when(beside["key"].eqNullSafe(key), beside[f"v_{src}"])
+
+    def total(out: str):
+        _, join, less = TOTALS[totals[out][0]]
+        own = less(F.col(f"_nb_total_{out}"), F.col(f"_nb_base_{out}"))
+        return F.when(F.col("_nb_first_key").eqNullSafe(key), join(own, F.col(f"_nb_carry_{out}"))).otherwise(own)
 
     out_cols = [F.col(c) for c in df.columns]
-    out_cols += [
-        F.when(F.col("_nb_pos") == 1, F.col(f"_nb_prev_{out}")).otherwise(F.col(f"_nb_lag_{out}")).alias(out) for out in lag
-    ]
-    out_cols += [
-        F.when(F.col("_nb_pos") == F.col("_nb_n"), F.col(f"_nb_next_{out}")).otherwise(F.col(f"_nb_lead_{out}")).alias(out) for out in lead
-    ]
+    out_cols += [neighbour("_nb_lag", "_nb_before", src).alias(out) for out, src in lag.items()]
+    out_cols += [neighbour("_nb_lead", "_nb_after", src).alias(out) for out, src in lead.items()]
+    out_cols += [total(out).alias(out) for out in running]
     if count_before:
-        out_cols.append((F.col("_nb_earlier") + F.col("_nb_before")).alias(count_before))
+        out_cols.append((total("_nb_count") - one).alias(count_before))
     return joined.select(*out_cols)

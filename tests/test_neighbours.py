@@ -1,4 +1,4 @@
-"""The skew-safe neighbour operator equals plain windows, also when groups span blocks."""
+"""The skew-safe neighbour operator equals plain windows, also when groups span slices."""
 
 import random
 
@@ -34,11 +34,11 @@ def _ordered(*cols):
 
 def test_matches_window(spark):
     order = ["d", "s", "o"]
-    for seed, block in [(1, 1), (2, 2), (3, 3)]:
-        df = spark.createDataFrame(_rows(seed), SCHEMA)
+    for seed, slices in [(1, None), (2, 3), (3, 40)]:
+        df = spark.createDataFrame(_rows(seed), SCHEMA).withColumn("r", F.xxhash64("o") % 1000)
         got = ordered_neighbours(
             df, ["g", "h"], order, lag={"pv": "v", "pd": "d"}, lead={"nv": "v", "ns": "s"},
-            count_before="before", weight="m", block=block,
+            count_before="before", weight="m", running={"x": ("xor", "r"), "t": ("sum", "r")}, slices=slices,
         )
         w = Window.partitionBy("g", "h").orderBy(*_ordered(*order))
         _same(got, df.select(
@@ -47,6 +47,8 @@ def test_matches_window(spark):
             F.lag("d").over(w).alias("pd"),
             F.lead("v").over(w).alias("nv"),
             F.lead("s").over(w).alias("ns"),
+            F.bit_xor("r").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("x"),
+            F.sum("r").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("t"),
             F.coalesce(F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, -1)),
                        F.lit(0).cast("bigint")).alias("before"),
         ))
@@ -54,18 +56,18 @@ def test_matches_window(spark):
 
 def test_row_count_without_weight(spark):
     df = spark.createDataFrame(_rows(9, 500), SCHEMA)
-    got = ordered_neighbours(df, ["g"], ["d", "o"], count_before="rn", block=1)
+    got = ordered_neighbours(df, ["g"], ["d", "o"], count_before="rn")
     w = Window.partitionBy("g").orderBy(*_ordered("d", "o"))
     _same(got, df.select("*", (F.row_number().over(w) - 1).cast("bigint").alias("rn")))
 
 
 def test_empty_input(spark):
     df = spark.createDataFrame([], SCHEMA)
-    assert ordered_neighbours(df, ["g"], ["d", "o"], lag={"pv": "v"}, block=1).count() == 0
+    assert ordered_neighbours(df, ["g"], ["d", "o"], lag={"pv": "v"}).count() == 0
 
 
 def test_hot_group_is_spread_over_tasks(spark):
-    """One customer with a third of all rows, highly compressible: no task holds more than its blocks."""
+    """One customer with a third of all rows, highly compressible: no task holds more than its slice."""
     n_rows, days = 300_000, 1000
     df = spark.range(0, n_rows, numPartitions=8).select(
         F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 5000).alias("g"),
@@ -83,17 +85,36 @@ def test_hot_group_is_spread_over_tasks(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
-    assert sum(sizes) == n_rows and hot >= 12
+    assert sum(sizes) == n_rows and hot >= 5  # a third of the rows: about a third of the 16 slices
     assert max(sizes) <= 2 * n_rows / 16
 
 
-def test_building_runs_no_job_and_hints_no_broadcast(spark):
-    df = spark.createDataFrame(_rows(4, 50), SCHEMA)
-    tracker = spark.sparkContext.statusTracker()
-    spark.sparkContext.setJobGroup("neighbours-build", "build only")
+def test_one_exchange_of_rows(spark):
+    """The stored order is read without an exchange; only edge rows (one per slice) are shuffled or broadcast."""
+    df = spark.createDataFrame(_rows(4, 4000), SCHEMA)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     try:
-        plan = ordered_neighbours(df, ["g"], ["d", "o"], lag={"pv": "v"}, block=1)._jdf.queryExecution().optimizedPlan().toString()
-        assert not list(tracker.getJobIdsForGroup("neighbours-build"))
+        for threshold in ("-1", "10m"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            got = ordered_neighbours(df, ["g"], ["d", "o"], lag={"pv": "v"}, lead={"nv": "v"})
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("hashpartitioning(_nb_bucket") + plan.count("BroadcastExchange") <= 1
+            assert plan.count("Exchange ") == 1 + plan.count("hashpartitioning(_nb_bucket")  # the edges to one window, then back
+            assert "rangepartitioning" not in plan  # done when the table was stored
     finally:
-        spark.sparkContext.setJobGroup("", "")
-    assert "broadcast" not in plan.lower()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_hot_block_is_spread_over_tasks(spark):
+    """All rows of one customer share a day, a status and a product: no task holds over twice the mean."""
+    n_rows = 160_000
+    df = spark.range(0, n_rows, numPartitions=8).select(
+        F.lit(7).alias("g"), F.lit(1).alias("d"), F.lit("x").alias("s"), F.lit("y").alias("p"), F.col("id").alias("o")
+    )
+    got = ordered_neighbours(df, ["g"], ["d", "s", "p", "o"], lag={"po": "o"}, count_before="n", slices=16)
+    rows = got.withColumn("task", F.spark_partition_id()).groupBy("task").agg(
+        F.count("*").alias("n"), F.sum((F.col("o") != F.col("n")).cast("int")).alias("wrong"),
+        F.sum((F.coalesce("po", F.lit(-1)) + 1 != F.col("o")).cast("int")).alias("wrong_lag"),
+    ).collect()
+    assert sum(r["n"] for r in rows) == n_rows and max(r["n"] for r in rows) <= 2 * n_rows / 16
+    assert all(r["wrong"] == 0 and r["wrong_lag"] == 0 for r in rows)
