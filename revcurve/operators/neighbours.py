@@ -64,26 +64,32 @@ def slice_count(df: DataFrame) -> int:
     return max(configured, (scanned_bytes(df) or 0) // SLICE_BYTES)
 
 
+def store_slices(df: DataFrame, buckets: int) -> DataFrame:
+    """``df``, which holds SLICE, stored with BUCKET: work by (BUCKET, ...) then needs no exchange.
+
+    Every task of ``df`` writes the rows of its own slices; nothing is shuffled here.
+    """
+    spark = df.sparkSession
+    numbers = F.array(*[F.lit(b) for b in _bucket_numbers(spark, buckets)])
+    placed = df.withColumn(BUCKET, F.element_at(numbers, F.pmod(F.col(SLICE), F.lit(buckets)) + 1))
+    name = f"revcurve_slices_{uuid.uuid4().hex}"
+    save_model_table(placed, name, bucket_by=BUCKET, buckets=buckets, path=f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}")
+    stored = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalog entry only: the files are external to it
+    return stored
+
+
 def store_in_order(df: DataFrame, keys: Sequence[str], slices: int | None = None) -> DataFrame:
     """``df`` in the ascending order of ``keys`` (NULLs first), stored, with SLICE, BUCKET and PLACE.
 
     Rows equal in all ``keys`` share a slice. Windows and aggregates by (BUCKET, ...) need no exchange.
     """
-    spark = df.sparkSession
     n = slices or slice_count(df)
-    numbers = F.array(*[F.lit(b) for b in _bucket_numbers(spark, n)])
     row = F.monotonically_increasing_id()
     placed = df.repartitionByRange(n, *_ascending(keys)).sortWithinPartitions(*_ascending(keys)).select(
-        "*",
-        F.spark_partition_id().alias(SLICE),
-        F.element_at(numbers, F.spark_partition_id() + 1).alias(BUCKET),
-        row.bitwiseAND((1 << _PLACE_BITS) - 1).alias(PLACE),
+        "*", F.spark_partition_id().alias(SLICE), row.bitwiseAND((1 << _PLACE_BITS) - 1).alias(PLACE)
     )
-    name = f"revcurve_order_{uuid.uuid4().hex}"
-    save_model_table(placed, name, bucket_by=BUCKET, buckets=n, path=f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}")
-    stored = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")  # the catalog entry only: the files are external to it
-    return stored
+    return store_slices(placed, n)
 
 
 def _edges(stored: DataFrame, group: list[str], firsts: list[str], lasts: list[str], totals: dict) -> DataFrame:
