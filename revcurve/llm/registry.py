@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revcurve.llm import ann_mih, decontaminate, html_extract, line_templates, mixing, ppm, quality_cnn, simhash_variants, toxicity, warc_zip
+from revcurve.llm import ann_mih, decontaminate, html_extract, line_templates, mixing, packing, ppm, quality_cnn, simhash_variants, toxicity, warc_zip
 from revcurve.llm.common import new_folder, remainder
 from revcurve.operators.ranges import explode_range
 
@@ -103,9 +103,19 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
 
 
+def op11_spf_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    found = packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), 2048, 1)
+    return found.select(
+        F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The operators' queries by name."""
-    return {"op1_line_templates": op1_line_templates, "op2_ppm": op2_ppm, "op3_simhash_variants": op3_simhash_variants, "op4_warc_zip": op4_warc_zip, "op5_toxicity": op5_toxicity, "op6_ann_mih": op6_ann_mih, "op7_decontaminate": op7_decontaminate, "op8_soft_mixing": op8_soft_mixing, "op9_html_templates": op9_html_templates, "op10_quality_cnn": op10_quality_cnn}
+    return {"op1_line_templates": op1_line_templates, "op2_ppm": op2_ppm, "op3_simhash_variants": op3_simhash_variants, "op4_warc_zip": op4_warc_zip, "op5_toxicity": op5_toxicity, "op6_ann_mih": op6_ann_mih, "op7_decontaminate": op7_decontaminate, "op8_soft_mixing": op8_soft_mixing, "op9_html_templates": op9_html_templates, "op10_quality_cnn": op10_quality_cnn, "op11_spf_packing": op11_spf_packing}
 
 
 OP4_SQL = """
