@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revcurve.llm import ann_mih, decontaminate, html_extract, line_templates, mixing, packing, ppm, quality_cnn, simhash_variants, toxicity, warc_zip
+from revcurve.llm import ann_mih, decontaminate, html_extract, line_templates, mixing, packing, ppm, prefix_trie, quality_cnn, simhash_variants, toxicity, turn_repair, warc_zip
 from revcurve.llm.common import new_folder, remainder
 from revcurve.operators.ranges import explode_range
 
@@ -113,9 +113,60 @@ def op11_spf_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows damaged by crc32(``conv_id:turn``) mod 20: 0 drops a row, 1 empties its text, 2 takes its
+    sentence ends, 3 repeats it, 4 makes its role user. A null column counts as one space."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    hit = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn"))) % 20
+    text = F.when(hit == 1, "").when(hit == 2, F.translate(space("text"), ".!?", "")).otherwise(space("text"))
+    kept = rows.where(hit != 0).select(
+        "conv_id", "turn", F.when(hit == 4, "user").otherwise(space("role")).alias("role"), text.alias("text"),
+        F.explode(F.when(hit == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    )
+    return kept.drop("copy")
+
+
+def op12_glr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, the cheapest repair and the digest of the repaired rows."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    fixed = turn_repair.repair(damaged(rows))
+    key = F.struct("conv_id").alias("conv")
+    whole = rows.select(key).distinct()
+    found = fixed.conversations.select(key, *[c for c in fixed.conversations.columns if c != "conv_id"])
+    hashed = turn_repair.digests(fixed.rows).select(F.struct(F.col("conv").alias("conv_id")).alias("conv"), "sha256")
+    out = whole.join(found, "conv", "left").join(hashed, "conv", "left")
+    return out.select(
+        "conv.conv_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def rebuilt(turns: DataFrame) -> DataFrame:
+    """Conversations whose first crc32(id) mod 4 turns are those of conversation id - id mod 20 (at most 3 each)."""
+    share, base = F.crc32(F.col("conv").cast("string")) % 4, F.col("conv") - F.col("conv") % 20
+    heads = turns.where((F.col("conv") % 20 == 0) & (F.col("place") < 3)).withColumnRenamed("conv", "base")
+    held = heads.groupBy("base").agg(F.count(F.lit(1)).alias("held"))
+    convs = turns.where("place = 0").select("conv", base.alias("base"), share.alias("share"))
+    borrowed = convs.join(heads, "base").where(F.col("place") < F.col("share")).select(*turns.columns)
+    own = turns.select("*", base.alias("base"), share.alias("share")).where(F.col("place") >= F.col("share")).join(held, "base", "left")
+    place = F.least("share", F.coalesce("held", F.lit(0).cast("bigint"))) + F.col("place") - F.col("share")
+    return borrowed.unionByName(own.withColumn("place", place).select(*turns.columns))
+
+
+def op13_zfast_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = prefix_trie.symbols(rows)
+    found = prefix_trie.nodes(rebuilt(turns), turns.where("place = 0").select("conv"))
+    return found.select(
+        F.col("conv").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves",
+        F.col("saved").alias("saved_tokens"), F.col("ends").alias("ends_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The operators' queries by name."""
-    return {"op1_line_templates": op1_line_templates, "op2_ppm": op2_ppm, "op3_simhash_variants": op3_simhash_variants, "op4_warc_zip": op4_warc_zip, "op5_toxicity": op5_toxicity, "op6_ann_mih": op6_ann_mih, "op7_decontaminate": op7_decontaminate, "op8_soft_mixing": op8_soft_mixing, "op9_html_templates": op9_html_templates, "op10_quality_cnn": op10_quality_cnn, "op11_spf_packing": op11_spf_packing}
+    return {"op1_line_templates": op1_line_templates, "op2_ppm": op2_ppm, "op3_simhash_variants": op3_simhash_variants, "op4_warc_zip": op4_warc_zip, "op5_toxicity": op5_toxicity, "op6_ann_mih": op6_ann_mih, "op7_decontaminate": op7_decontaminate, "op8_soft_mixing": op8_soft_mixing, "op9_html_templates": op9_html_templates, "op10_quality_cnn": op10_quality_cnn, "op11_spf_packing": op11_spf_packing, "op12_glr_repair": op12_glr_repair, "op13_zfast_trie": op13_zfast_trie}
 
 
 OP4_SQL = """
