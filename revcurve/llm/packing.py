@@ -21,8 +21,12 @@ the histogram, not with the documents.
 
 from __future__ import annotations
 
+import gc
 import heapq
+import os
+import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,39 +41,98 @@ CAPACITY = 2048
 END = 1
 CACHED_WORDS = 300_000  # words whose ids a Python worker remembers; only speed depends on it
 PART_CHARS = 1 << 20  # a longer text is tokenised in parts that end before white space
+SPACE = " \t\n\r\x0b\x0c"
+SIGNS = b".,;:!?%$)"  # closing signs of words; none of them begins a contraction
+LATIN = "".join(c for c in map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0x180)]) if c.isalpha() and len(c.lower()) == 1)
+PLAIN = re.compile(f"[{LATIN}]+")
+ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 OUT_BYTES = 8 << 20
 _RANK_BITS = 44
 
 
 class Words:
-    """Ids of texts, word by word: no token spans ASCII white space, so words are encoded once each."""
+    """Ids of texts, word by word: no token spans ASCII white space, so words are encoded once each.
+
+    Nor does one span the border between an ASCII letter or digit and ASCII signs behind it, so a word
+    and its closing signs are encoded apart. Words of plain Latin letters go to the tokenizer's model directly,
+    with the normalised form of each letter looked up; all others through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.type = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        size = self.tokenizer.get_vocab_size()
+        self.type = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.raw = [np.array([i], self.type).tobytes() for i in range(size)]
         self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        for word, found in zip(words, self.model.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)):
-            self.known[word] = np.array(found.ids, self.type).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a text, in ``type``."""
-        out, at = [], 0
-        while at < len(text):
-            end = at + PART_CHARS
-            while end < len(text) and text[end] not in " \t\n\r\x0b\x0c":
-                end += 1
-            words = text[at:end].encode().split()
-            if len(self.known) > CACHED_WORDS:
-                self.known.clear()
-            if new := set(words).difference(self.known):
-                self._learn(sorted(new))
-            out.append(b"".join(map(self.known.__getitem__, words)))
-            at = end
-        return b"".join(out)
+        self.letters = {ord(c): self._form(c) for c in LATIN}
+        probe = [LATIN, LATIN[::-1], LATIN[::3], "Naïve", "straße", "Œuvre"]
+        if None in self.letters.values() or [self._plain(w) for w in probe] != self._whole(probe):
+            self.letters = {}  # not a tokenizer that treats letters one by one
+
+    def _form(self, letter: str) -> str | None:
+        """What the model sees of a letter; None if it is more than one piece."""
+        text = self.tokenizer.normalizer.normalize_str(letter) if self.tokenizer.normalizer else letter
+        pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(text) if self.tokenizer.pre_tokenizer else [(text, None)]
+        return pieces[0][0] if len(pieces) == 1 else None
+
+    def _plain(self, word: str) -> bytes:
+        raw = self.raw
+        return b"".join([raw[t.id] for t in self.model.tokenize(word.translate(self.letters))])
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        raw = self.raw
+        return [b"".join([raw[i] for i in e.ids]) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+        known, others, later = self.known, [], []
+        plain = PLAIN.fullmatch if self.letters else lambda w: None
+        gc.disable()  # many small objects, none of them in a cycle
+        for word in words:
+            stem = word.rstrip(SIGNS)
+            if 0 < len(stem) < len(word) and stem[-1] in ALNUM and b"<" not in word:
+                later.append((word, stem, word[len(stem) :]))
+        for word in {part for _, *split in later for part in split}.difference(known) | words.difference([w for w, _, _ in later]):
+            text = word.decode()
+            if plain(text):
+                known[word] = self._plain(text)
+            else:
+                others.append(word)
+        known.update(zip(others, self._whole([w.decode() for w in others])))
+        for word, stem, signs in later:
+            known[word] = known[stem] + known[signs]
+        gc.enable()
+
+    def _flush(self, parts: list[tuple[int, list[bytes]]], out: list[list[bytes]]) -> None:
+        needed = set().union(*[words for _, words in parts])
+        new = needed.difference(self.known)
+        self._learn(needed if len(self.known) > CACHED_WORDS else new)
+        for i, words in parts:
+            out[i].append(b"".join(map(self.known.__getitem__, words)))
+        parts.clear()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, in ``type``."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        parts, size = [], 0
+        for i, text in enumerate(texts):
+            at = 0
+            while at < len(text):
+                end = min(at + PART_CHARS, len(text))
+                while end < len(text) and text[end] not in SPACE:
+                    end += 1
+                parts.append((i, text[at:end].encode().split()))
+                size, at = size + end - at, end
+                if size >= PART_CHARS:
+                    self._flush(parts, out)
+                    size = 0
+        self._flush(parts, out)
+        return [b"".join(ids) for ids in out]
 
 
 _WORDS: dict[str, Words] = {}
@@ -85,7 +148,7 @@ def _tokenise(path: str, capacity: int, end_id: int):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 rows = batch.slice(lo, 256)
-                ids = [words.encode(t) + end for t in rows.column(1).to_pylist()]
+                ids = [found + end for found in words.encode(rows.column(1).to_pylist())]
                 n = np.array([len(i) for i in ids], np.int64) // words.type.itemsize
                 left, ranks, before = n % capacity, np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
                 for i, (length, count) in enumerate(zip(left.tolist(), (n // capacity).tolist())):
@@ -273,15 +336,20 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     layout = Layout(histogram, capacity)
 
     earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
     wholes = per_task.groupBy(SLICE).agg(F.sum("whole").alias("whole"))
-    whole = wholes.agg(F.coalesce(F.sum("whole"), F.lit(0))).first()[0]
-    wholes = wholes.select(SLICE, F.sum("whole").over(earlier(Window.orderBy(SLICE))).alias("_whole"))  # one row per task
-    bases = per_task.select(
-        BUCKET, SLICE, "left", F.sum("n").over(earlier(Window.partitionBy("left").orderBy(SLICE))).alias("_rank")
-    ).join(wholes, SLICE)
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))
-    ranked = stored.join(bases.hint("shuffle_hash"), [BUCKET, SLICE, "left"], "left").select(
-        "id", "ids", "n_tokens", "left", (F.col("rank") + zero("_rank")).alias("rank"), (F.col("whole_before") + zero("_whole")).alias("first")
+    whole = wholes.agg(zero(F.sum("whole"))).first()[0]
+    wholes = wholes.select(SLICE, zero(F.sum("whole").over(earlier(Window.orderBy(SLICE)))).alias("whole"))  # one row per task
+    ranks = per_task.select(
+        BUCKET, SLICE, F.struct("left", zero(F.sum("n").over(earlier(Window.partitionBy("left").orderBy(SLICE))))).alias("rank")
+    ).groupBy(BUCKET, SLICE).agg(F.map_from_entries(F.collect_list("rank")).alias("ranks"))  # at most one for each length
+    by_length = F.transform(F.sequence(F.lit(0), F.lit(capacity - 1)), lambda n: zero(F.try_element_at("ranks", n)))
+    bases = ranks.join(wholes, SLICE).groupBy(BUCKET).agg(
+        F.map_from_entries(F.collect_list(F.struct(SLICE, F.struct(by_length.alias("ranks"), F.col("whole").alias("whole"))))).alias("_bases")
+    )  # one row for each bucket, which is the partitioning of the stored rows
+    base = F.col("_bases")[F.col(SLICE)]
+    ranked = stored.join(bases.hint("shuffle_hash"), BUCKET, "left").select(
+        "id", "ids", "n_tokens", "left", (F.col("rank") + base["ranks"][F.col("left")]).alias("rank"), (F.col("whole_before") + base["whole"]).alias("first")
     )
     type_ = Words(tokenizer).type.str
     return ranked.mapInArrow(

@@ -121,9 +121,10 @@ def test_words_survive_a_cleared_cache(monkeypatch):
     monkeypatch.setattr(K, "PART_CHARS", 7)
     from tokenizers import Tokenizer
 
-    text = "aa bb cc dd ee ff\n gg  hh aa " * 5 + "été"
-    got = np.frombuffer(K.Words(WORDS).encode(text), "<u2").tolist()
-    assert got == Tokenizer.from_file(WORDS).encode(text, add_special_tokens=False).ids
+    model = Tokenizer.from_file(WORDS)
+    texts = ["aa bb, cc. dd!? ee) ff\n gg  hh aa's, " * 5 + "été", "", "x,.", ",", "a-.", "5%%% <|endoftext|>.", "c'd, don't! é."]
+    for got, text in zip(K.Words(WORDS).encode(texts), texts):
+        assert np.frombuffer(got, "<u2").tolist() == model.encode(text, add_special_tokens=False).ids
 
 
 def test_query_digest(spark):
