@@ -27,7 +27,7 @@ import math
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from revcurve.plans.session import ensure_checkpoint_dir
@@ -121,6 +121,42 @@ def _edges(stored: DataFrame, group: list[str], firsts: list[str], lasts: list[s
     )
 
 
+def place_number() -> Column:
+    """A row's number in the whole stored order: ascending, with gaps between slices."""
+    return F.col(SLICE).cast("bigint") * (1 << _PLACE_BITS) + F.col(PLACE)
+
+
+def with_group_values(stored: DataFrame, group: Sequence[str], values: Mapping[str, tuple]) -> DataFrame:
+    """``stored`` (see :func:`store_in_order`) with values over whole groups of a prefix of its order.
+
+    ``values`` maps output column -> (``F.min`` or ``F.max``, expression over the rows). Within a slice this is
+    a window by (BUCKET, group), which needs no exchange; a group that is cut by a slice's end is
+    summed up once more over the edge groups, at most two for each slice.
+    """
+    group = list(group)
+    key = F.struct(*group)
+    inside = Window.partitionBy(BUCKET, *group)
+    ends = stored.groupBy(BUCKET).agg(F.min_by(key, PLACE).alias("_gv_first"), F.max_by(key, PLACE).alias("_gv_last"))
+    beside = stored.join(ends, BUCKET, "left").withColumn("_gv_key", key)
+    beside = beside.where(F.col("_gv_key").eqNullSafe(F.col("_gv_first")) | F.col("_gv_key").eqNullSafe(F.col("_gv_last")))
+    cells = beside.groupBy(BUCKET, "_gv_key").agg(*[how(value).alias(out) for out, (how, value) in values.items()])
+    whole = cells.groupBy("_gv_key").agg(F.struct(*[how(out).alias(out) for out, (how, _) in values.items()]).alias("_gv"))
+    edges = ends
+    for end in ("first", "last"):
+        of = whole.select(F.col("_gv_key").alias(f"_gv_{end}"), F.col("_gv").alias(f"_gv_of_{end}"))
+        edges = edges.join(of, f"_gv_{end}", "left")
+    edges = edges.select(BUCKET, "_gv_first", "_gv_last", "_gv_of_first", "_gv_of_last")
+    rows = stored.select("*", *[how(value).over(inside).alias(f"_gv_{out}") for out, (how, value) in values.items()])
+    rows = rows.join(edges, BUCKET, "left")
+    final = [
+        F.when(key.eqNullSafe(F.col("_gv_first")), F.col("_gv_of_first")[out])
+        .when(key.eqNullSafe(F.col("_gv_last")), F.col("_gv_of_last")[out])
+        .otherwise(F.col(f"_gv_{out}")).alias(out)
+        for out in values
+    ]
+    return rows.select(*stored.columns, *final)
+
+
 def ordered_neighbours(
     df: DataFrame,
     group: Sequence[str],

@@ -21,15 +21,16 @@ where the model rounds, m12 works on those rounded cents.
 
 Distributed plan
 ----------------
-* m02 runs through the skew-safe neighbour operator (a hot customer is split by range).
-* Revenue is linear, so purchases are pre-aggregated per (customer, start month, interval)
-  *before* the 12-month expansion (map-side partial aggregation), then the small
-  pre-aggregate is shuffled once by ``customer``. The per-customer month sums, the first
-  month and the previous month all reuse that partitioning: no further shuffle until the
-  per-month totals. A customer has at most one row per month there (tens of rows), so the
-  per-customer windows are bounded whatever the data volume.
-* m11 is a ``groupBy(month)`` with partial aggregation; m12 is a window over one row per
-  month.
+* m02 runs through the range-partitioned scan (a hot customer is split by range).
+* m05-m07 lay purchases out over their months, because those rows are the result. The marts (m11-m13) do not:
+  they run on change events. A yearly purchase of monthly value v is +v at its month and -v twelve months
+  later; per customer and month the changes are added up, and running sums over a customer's
+  events give its revenue, its previous revenue and whether it is active. Month totals are running sums of the
+  changes over the calendar. Revenue is linear, so purchases are pre-aggregated per (customer, start month,
+  interval) before they move, and at most two rows per pre-aggregate are shuffled, once, by customer.
+* m08-m10 lay the levels between events out over the months, once per customer and month.
+* A customer has at most one event per month, so the per-customer windows are bounded whatever the data
+  volume; the windows over months hold one row per month.
 """
 
 from __future__ import annotations
@@ -182,58 +183,129 @@ def combined_rows(cls: DataFrame) -> DataFrame:
     )
 
 
-def customer_months(cls: DataFrame) -> DataFrame:
-    """m08-m10 on integers: (mrr_month, customer, is_new, total, previous) in twelfths.
+def change_events(cls: DataFrame) -> DataFrame:
+    """(customer, month, dv, dc): by how much a customer's monthly revenue, in twelfths, and the number of running terms
+    change in a month.
 
-    Pre-aggregates revenue per (customer, start month, interval) before expanding it, then
-    shuffles the small pre-aggregate once by customer; the month sums and both windows run
-    on that partitioning.
+    A purchase of monthly value v begins at its month (+v, +1) and ends twelve months (yearly) or one month (monthly)
+    later (-v, -1). Purchases are added up per (customer, start month, interval) first, so at most two rows per
+    such pre-aggregate exist at any point; nothing is laid out month by month. Purchases without a day have no
+    month: their whole value is one row of month NULL.
     """
     yearly = F.col("final_billing_interval") == D.YEARLY
     paid = to_cents("paid_amount_in_usd")
     pre = (
         cls.filter(F.col("final_billing_interval").isin(D.YEARLY, D.MONTHLY))
-        .groupBy(
-            "customer",
-            F.trunc("processed_date", "month").alias("_start"),
-            yearly.alias("_yearly"),
-        )
-        .agg(F.sum(F.when(yearly, paid).otherwise(paid * 12)).alias("_twelfths"))
+        .groupBy("customer", F.trunc("processed_date", "month").alias("_start"), yearly.alias("_yearly"))
+        .agg(F.sum(F.when(yearly, paid).otherwise(paid * 12)).alias("_v"))
     )
     n = F.when(F.col("_yearly"), F.lit(D.MONTHS_PER_YEARLY_TERM)).otherwise(F.lit(1))
-    expanded = pre.repartition("customer").select(
-        "customer", "_start", "_twelfths", _months(n)
-    ).select(
-        "customer",
-        F.add_months("_start", F.col("month_counter") - 1).alias("mrr_month"),
-        "_twelfths",
+    event = lambda month, dv, dc: F.struct(
+        month.cast("date").alias("month"), dv.cast("bigint").alias("dv"), F.lit(dc).cast("bigint").alias("dc")
+    )
+    v = F.col("_v")
+    events = pre.repartition("customer").select("customer", F.explode(
+        F.when(F.col("_start").isNull(), F.array(event(F.col("_start"), v * n, 1)))
+        .otherwise(F.array(event(F.col("_start"), v, 1), event(F.add_months("_start", n), -v, -1)))
+    ).alias("e"))
+    return events.groupBy("customer", F.col("e.month").alias("month")).agg(F.sum("e.dv").alias("dv"), F.sum("e.dc").alias("dc"))
+
+
+def customer_levels(events: DataFrame) -> DataFrame:
+    """Per event row: the revenue from that month on (``total``), whether any term runs (``present``), the revenue of the
+    customer's previous present month (``previous``), the next event's month (``until``) and ``is_new``.
+
+    The windows run by customer over event rows: at most one for each month of the calendar.
+    """
+    by_month = Window.partitionBy("customer").orderBy(F.col("month").asc_nulls_first())
+    so_far = by_month.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    dated = F.col("month").isNotNull()
+    levels = events.select(
+        "*",
+        F.when(dated, F.sum(F.when(dated, F.col("dv"))).over(so_far)).otherwise(F.col("dv")).alias("total"),
+        F.when(dated, F.sum(F.when(dated, F.col("dc"))).over(so_far) > 0).otherwise(F.lit(True)).alias("present"),
+        F.lead("month").over(by_month).alias("until"),
+        (F.min("month").over(Window.partitionBy("customer")) == F.col("month")).alias("is_new"),
     )
-    cm = expanded.groupBy("customer", "mrr_month").agg(F.sum("_twelfths").alias("total_mrr"))
-    by_customer = Window.partitionBy("customer")
-    by_month = Window.partitionBy("customer").orderBy(F.col("mrr_month").asc_nulls_first())
-    return cm.select(
+    earlier = by_month.rowsBetween(Window.unboundedPreceding, -1)
+    return levels.select("*", F.last(F.when(F.col("present"), F.col("total")), ignorenulls=True).over(earlier).alias("previous"))
+
+
+def customer_months(cls: DataFrame) -> DataFrame:
+    """m08-m10 on integers: (mrr_month, customer, is_new, total, previous) in twelfths.
+
+    The present months of every customer, laid out from the levels between events.
+    """
+    levels = customer_levels(change_events(cls)).filter("present")
+    last = F.when(F.col("month").isNull(), F.lit(None).cast("date")).otherwise(F.add_months("until", -1))
+    months = F.when(F.col("month").isNull(), F.array(F.col("month"))).otherwise(
+        F.sequence(F.col("month"), last, F.expr("INTERVAL 1 MONTH"))
+    )
+    laid = levels.select("*", F.posexplode(months).alias("_at", "mrr_month"))
+    first = F.col("_at") == 0
+    return laid.select(
         "mrr_month",
         "customer",
-        (F.min("mrr_month").over(by_customer) == F.col("mrr_month")).alias("is_new_customer_this_month"),
-        "total_mrr",
-        F.lag("total_mrr").over(by_month).alias("previous_customer_mrr"),
+        (F.col("is_new") & first).alias("is_new_customer_this_month"),
+        F.col("total").alias("total_mrr"),
+        F.when(first, F.col("previous")).otherwise(F.col("total")).alias("previous_customer_mrr"),
     )
 
 
-def monthly_aggregation(cm: DataFrame, with_direct_churn: bool = False) -> DataFrame:
-    """m11 (and m11b): per-month totals, rounded to cents (integers)."""
-    total, prev, new = F.col("total_mrr"), F.col("previous_customer_mrr"), F.col("is_new_customer_this_month")
-    aggs = [
-        F.sum("total_mrr").alias("_v"),
-        F.count("customer").alias("active_customers"),
-        F.sum(F.when(new, total).otherwise(0)).alias("_new"),
-        F.sum(F.when(~new & (total > prev), total - prev).otherwise(0)).alias("_exp"),
-        F.sum(F.when(total < prev, prev - total).otherwise(0)).alias("_con"),
-        F.count(F.when(~new, F.col("customer"))).alias("existing_customers"),
-    ]
-    if with_direct_churn:
-        aggs.append(F.sum(F.when((total == 0) & (prev > 0), prev).otherwise(0)).alias("_churn"))
-    g = cm.groupBy("mrr_month").agg(*aggs)
+def month_changes(events: DataFrame) -> DataFrame:
+    """Per month with an event: the changes of revenue, of present and active customers, and the month's movements.
+
+    The rows that enter this aggregate are the customers' events. An active customer has an id; a present one may be
+    the customer NULL.
+    """
+    levels = customer_levels(events)
+    by_month = Window.partitionBy("customer").orderBy(F.col("month").asc_nulls_first())
+    before = F.coalesce(F.lag(F.when(F.col("month").isNotNull(), F.col("present").cast("int"))).over(by_month), F.lit(0))
+    levels = levels.withColumn("_turned", F.col("present").cast("int") - before)
+    total, prev, new = F.col("total"), F.col("previous"), F.col("is_new")
+    has_id = F.col("customer").isNotNull()
+    here = F.col("present")
+    return levels.groupBy("month").agg(
+        F.sum("dv").alias("dv"),
+        F.sum("_turned").alias("d_present"),
+        F.sum(F.when(has_id, F.col("_turned")).otherwise(0)).alias("d_active"),
+        F.count(F.when(here & new, F.col("customer"))).alias("new_customers"),
+        F.sum(F.when(here & new, total).otherwise(0)).alias("_new"),
+        F.sum(F.when(here & ~new & (total > prev), total - prev).otherwise(0)).alias("_exp"),
+        F.sum(F.when(here & (total < prev), prev - total).otherwise(0)).alias("_con"),
+        F.sum(F.when(here & (total == 0) & (prev > 0), prev).otherwise(0)).alias("_churn"),
+    )
+
+
+def monthly_totals(cls: DataFrame) -> DataFrame:
+    """Per month with a present customer: running sums of :func:`month_changes`, months without an event filled in.
+
+    One row per month of the calendar enters the window.
+    """
+    changes = month_changes(change_events(cls))
+    w = Window.orderBy(F.col("month").asc_nulls_first())
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    dated = F.col("month").isNotNull()
+    running = lambda c: F.when(dated, F.sum(F.when(dated, F.col(c))).over(so_far)).otherwise(F.col(c))
+    levels = changes.select(
+        "month", F.lead("month").over(w).alias("until"), running("dv").alias("_v"), running("d_present").alias("_present"),
+        running("d_active").alias("active_customers"), "new_customers", "_new", "_exp", "_con", "_churn",
+    ).filter(F.col("_present") > 0)
+    months = F.when(~dated, F.array(F.col("month"))).otherwise(
+        F.sequence(F.col("month"), F.when(dated, F.add_months("until", -1)), F.expr("INTERVAL 1 MONTH"))
+    )
+    laid = levels.select("*", F.posexplode(months).alias("_at", "mrr_month"))
+    once = lambda c: F.when(F.col("_at") == 0, F.col(c)).otherwise(0).cast("bigint").alias(c)
+    # a customer of month NULL has no first month and counts neither as new nor as existing
+    existing = F.when(dated, F.col("active_customers") - F.when(F.col("_at") == 0, F.col("new_customers")).otherwise(0)).otherwise(0)
+    return laid.select(
+        "mrr_month", "_v", F.col("active_customers").cast("bigint").alias("active_customers"), *[once(c) for c in ("_new", "_exp", "_con", "_churn")],
+        existing.cast("bigint").alias("existing_customers"),
+    )
+
+
+def monthly_aggregation(cls: DataFrame, with_direct_churn: bool = False) -> DataFrame:
+    """m11 (and m11b) of the classified purchases: per-month totals, rounded to cents (integers)."""
     cols = [
         "mrr_month",
         div_round("_v", "12").alias("mrr_c"),
@@ -246,7 +318,7 @@ def monthly_aggregation(cm: DataFrame, with_direct_churn: bool = False) -> DataF
     ]
     if with_direct_churn:
         cols.append(div_round("_churn", "12").alias("churned_direct_c"))
-    return g.select(*cols)
+    return monthly_totals(cls).select(*cols)
 
 
 def month_over_month(monthly: DataFrame) -> DataFrame:
@@ -283,7 +355,7 @@ def publish(mom: DataFrame) -> DataFrame:
 
 def subscription_mart(stg: DataFrame) -> DataFrame:
     """m13: the subscription mart (11 columns, one row per month)."""
-    return publish(month_over_month(monthly_aggregation(customer_months(classified(stg)))))
+    return publish(month_over_month(monthly_aggregation(classified(stg))))
 
 
 # --- standalone views of the intermediate steps ----------------------------------------------
@@ -302,7 +374,7 @@ def customer_month_view(stg: DataFrame, step: str) -> DataFrame:
 
 def monthly_view(stg: DataFrame, direct_churn: bool = False) -> DataFrame:
     """m11 (or m11b) published in dollars."""
-    m = monthly_aggregation(customer_months(classified(stg)), with_direct_churn=direct_churn)
+    m = monthly_aggregation(classified(stg), with_direct_churn=direct_churn)
     cols = [
         "mrr_month", usd("mrr_c").alias("mrr"), "active_customers", usd("arpu_c").alias("arpu"),
         usd("new_mrr_c").alias("new_mrr"), usd("expansion_mrr_c").alias("expansion_mrr"),
@@ -315,7 +387,7 @@ def monthly_view(stg: DataFrame, direct_churn: bool = False) -> DataFrame:
 
 def month_over_month_view(stg: DataFrame) -> DataFrame:
     """m12: m11 plus previous mrr, previous active customers, churned mrr and customers."""
-    mom = month_over_month(monthly_aggregation(customer_months(classified(stg))))
+    mom = month_over_month(monthly_aggregation(classified(stg)))
     return mom.select(
         "mrr_month", usd("mrr_c").alias("mrr"), "active_customers", usd("arpu_c").alias("arpu"),
         usd("new_mrr_c").alias("new_mrr"), usd("expansion_mrr_c").alias("expansion_mrr"),

@@ -142,8 +142,7 @@ def _mart(fn):
 
 
 def _mom(fn):
-    return _stg(lambda s: fn(M.month_over_month(M.monthly_aggregation(
-        M.customer_months(M.classified(s))))))
+    return _stg(lambda s: fn(M.month_over_month(M.monthly_aggregation(M.classified(s)))))
 
 
 def _matrix(sales: DataFrame) -> DataFrame:

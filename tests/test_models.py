@@ -63,7 +63,7 @@ def test_results_do_not_depend_on_partitioning(sales):
 
 
 def test_waterfall_steps_add_up(sales):
-    mom = M.month_over_month(M.monthly_aggregation(M.customer_months(M.classified(T.staging_model(sales)))))
+    mom = M.month_over_month(M.monthly_aggregation(M.classified(T.staging_model(sales))))
     bad = mom.filter(F.col("previous_mrr_c").isNotNull()).filter(
         F.col("previous_mrr_c") + F.col("new_mrr_c") + F.col("expansion_mrr_c")
         - F.col("contraction_mrr_c") - F.col("churned_mrr_c") != F.col("mrr_c"))
