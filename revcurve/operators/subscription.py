@@ -252,11 +252,12 @@ def customer_months(cls: DataFrame) -> DataFrame:
     )
 
 
-def month_changes(events: DataFrame) -> DataFrame:
+def month_changes(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Per month with an event: the changes of revenue, of present and active customers, and the month's movements.
 
     The rows that enter this aggregate are the customers' events. An active customer has an id; a present one may be
-    the customer NULL.
+    the customer NULL. Every column is a sum over customers, so tables of parts of the customers (``by``: columns that
+    part them) are added up by :func:`merged_changes`.
     """
     levels = customer_levels(events)
     by_month = Window.partitionBy("customer").orderBy(F.col("month").asc_nulls_first())
@@ -265,7 +266,7 @@ def month_changes(events: DataFrame) -> DataFrame:
     total, prev, new = F.col("total"), F.col("previous"), F.col("is_new")
     has_id = F.col("customer").isNotNull()
     here = F.col("present")
-    return levels.groupBy("month").agg(
+    return levels.groupBy(*by, "month").agg(
         F.sum("dv").alias("dv"),
         F.sum("_turned").alias("d_present"),
         F.sum(F.when(has_id, F.col("_turned")).otherwise(0)).alias("d_active"),
@@ -277,12 +278,19 @@ def month_changes(events: DataFrame) -> DataFrame:
     )
 
 
-def monthly_totals(cls: DataFrame) -> DataFrame:
-    """Per month with a present customer: running sums of :func:`month_changes`, months without an event filled in.
+CHANGES = ("dv", "d_present", "d_active", "new_customers", "_new", "_exp", "_con", "_churn")
+
+
+def merged_changes(changes: DataFrame) -> DataFrame:
+    """Month changes of several parts of the customers, added up."""
+    return changes.groupBy("month").agg(*[F.sum(c).alias(c) for c in CHANGES])
+
+
+def monthly_totals(changes: DataFrame) -> DataFrame:
+    """Per month with a present customer: running sums of month changes, months without an event filled in.
 
     One row per month of the calendar enters the window.
     """
-    changes = month_changes(change_events(cls))
     w = Window.orderBy(F.col("month").asc_nulls_first())
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     dated = F.col("month").isNotNull()
@@ -306,6 +314,11 @@ def monthly_totals(cls: DataFrame) -> DataFrame:
 
 def monthly_aggregation(cls: DataFrame, with_direct_churn: bool = False) -> DataFrame:
     """m11 (and m11b) of the classified purchases: per-month totals, rounded to cents (integers)."""
+    return aggregation_of_changes(month_changes(change_events(cls)), with_direct_churn)
+
+
+def aggregation_of_changes(changes: DataFrame, with_direct_churn: bool = False) -> DataFrame:
+    """m11 (and m11b) from month changes."""
     cols = [
         "mrr_month",
         div_round("_v", "12").alias("mrr_c"),
@@ -318,7 +331,7 @@ def monthly_aggregation(cls: DataFrame, with_direct_churn: bool = False) -> Data
     ]
     if with_direct_churn:
         cols.append(div_round("_churn", "12").alias("churned_direct_c"))
-    return monthly_totals(cls).select(*cols)
+    return monthly_totals(changes).select(*cols)
 
 
 def month_over_month(monthly: DataFrame) -> DataFrame:

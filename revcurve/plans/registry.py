@@ -12,13 +12,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revcurve.functions import domain as D
+from revcurve.operators import customer_sets as C
 from revcurve.operators import dashboard as B
 from revcurve.operators import explore as E
+from revcurve.operators import observed as O
 from revcurve.operators import profile as P
 from revcurve.operators import staging as T
 from revcurve.operators import subscription as M
 from revcurve.operators import transitions as J
+from revcurve.plans import incremental as I
 from revcurve.plans.session import ensure_checkpoint_dir
+from revcurve.sources import rejects as R
 from revcurve.sources.files import read_model, read_sales, write_model
 from revcurve.sources.testdata import PRODUCT_CODES, load_sales
 
@@ -184,10 +189,57 @@ def _sales_through_csv(sales: DataFrame) -> DataFrame:
     return read_sales(sales.sparkSession, path, fmt="csv")
 
 
+def _in_batches(sales: DataFrame) -> str:
+    """The sales added to incremental tables in two batches, the later years first; rows without a day come last."""
+    root, late = _folder(sales.sparkSession, "incremental"), F.coalesce(F.col("processed_date") >= "2020-01-01", F.lit(False))
+    for name, rows in (("late", late), ("others", ~late)):
+        I.add_batch(sales.sparkSession, root, sales.filter(rows), name)
+    return root
+
+
+INCREMENTAL: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "t16i_incremental_staging": lambda s: I.staging(s.sparkSession, _in_batches(s)),
+    "m13i_incremental_mart": lambda s: I.subscription_mart(s.sparkSession, _in_batches(s)),
+}
+
+
+def _two_halves(sales: DataFrame) -> DataFrame:
+    """Every profile question from the merged customer sets of two halves of the sales, split by day."""
+    old = F.coalesce(F.col("processed_date") < "2019-07-01", F.lit(False))
+    return C.answers(C.merged(C.customer_sets(sales.filter(old)), C.customer_sets(sales.filter(~old))))
+
+
+def _observed_staging(sales: DataFrame) -> DataFrame:
+    """The figures of the sales, taken while the staging model is written."""
+    return O.write_observed(sales, T.staging_model, _folder(sales.sparkSession, "stg_observed"))
+
+
+def _sales_with_rejects(sales: DataFrame) -> DataFrame:
+    """Lines per reason of a CSV export in which customers 0, 1 and 2 (mod 97) have bad dates, short and long lines."""
+    spark, text = sales.sparkSession, F.col("customer") % 97
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in D.SALES_COLUMNS]
+    day = D.SALES_COLUMNS.index("processed_date")
+    bad = [*cells[:day], F.lit("31/12/2019"), *cells[day + 1 :]]
+    line = F.when(text == 0, F.concat_ws(",", *bad)).when(text == 1, F.concat_ws(",", *cells[:-1])).when(
+        text == 2, F.concat_ws(",", *cells, F.lit("x"))).otherwise(F.concat_ws(",", *cells))
+    path = _folder(spark, "export_with_rejects")
+    header = F.lit(",".join(D.SALES_COLUMNS))
+    # every file of the export begins with the header
+    lines = sales.select(F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at"), line.alias("value"))
+    lines = lines.select(F.explode(F.when(F.col("at") == 0, F.array(header, F.col("value"))).otherwise(F.array(F.col("value")))).alias("value"))
+    lines.write.text(path)
+    load = R.load_csv(spark, path, _folder(spark, "sales_loaded"), max_rejected_share=0.1)
+    good = load.good.agg(F.count(F.lit(1)).alias("lines")).select(F.lit("good").alias("reason"), "lines")
+    return good.unionByName(load.rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("lines")))
+
+
 SOURCES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "src_sales": lambda sales: sales,
     "src_sales_csv": _sales_through_csv,
     "sink_model": _stored_staging,
+    "src_sales_rejects": _sales_with_rejects,
+    "s_observed_staging": _observed_staging,
+    "s_customer_sets": _two_halves,
     "src_stg": lambda sales: M.projection(_stored_staging(sales)),
 }
 
@@ -195,7 +247,7 @@ SOURCES: dict[str, Callable[[DataFrame], DataFrame]] = {
 def operators() -> dict[str, Callable[[DataFrame], DataFrame]]:
     """Every query as a function of the raw sales DataFrame."""
     out: dict[str, Callable[[DataFrame], DataFrame]] = {}
-    for table in (SOURCES, PROFILE, EXPLORE, STAGING, TRANSITIONS, SUBSCRIPTION, DASHBOARDS):
+    for table in (SOURCES, PROFILE, EXPLORE, STAGING, TRANSITIONS, SUBSCRIPTION, DASHBOARDS, INCREMENTAL):
         out.update(table)
     return out
 

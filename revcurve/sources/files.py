@@ -94,6 +94,23 @@ def read_model(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hp
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists on its Hadoop file system."""
+    fs, hp = _hadoop(spark, path)
+    return fs.exists(hp)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder on its Hadoop file system, if it exists."""
+    fs, hp = _hadoop(spark, path)
+    fs.delete(hp, True)
+
+
 # Leaves whose size statistics are the data actually read.
 _SIZED_LEAVES = ("LogicalRelation", "HiveTableRelation", "LocalRelation", "DataSourceV2Relation",
                  "DataSourceV2ScanRelation", "Range")
