@@ -21,7 +21,6 @@ the histogram, not with the documents.
 
 from __future__ import annotations
 
-import gc
 import heapq
 import os
 import re
@@ -50,12 +49,13 @@ OUT_BYTES = 8 << 20
 _RANK_BITS = 44
 
 
-class Words:
-    """Ids of texts, word by word: no token spans ASCII white space, so words are encoded once each.
+class Words(dict):
+    """Ids of words; a word that is asked for first is encoded then.
 
-    Nor does one span the border between an ASCII letter or digit and ASCII signs behind it, so a word
-    and its closing signs are encoded apart. Words of plain Latin letters go to the tokenizer's model directly,
-    with the normalised form of each letter looked up; all others through the whole tokenizer.
+    No token spans ASCII white space, so a text's ids are those of its words. Nor does one span the border
+    between an ASCII letter or digit and ASCII signs behind it, so a word and its closing signs are encoded
+    apart. Words of plain Latin letters go to the tokenizer's model directly, with the normalised form of
+    each letter looked up; all others through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -63,14 +63,13 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.model_ids = self.tokenizer.model.tokenize
         size = self.tokenizer.get_vocab_size()
         self.type = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.raw = [np.array([i], self.type).tobytes() for i in range(size)]
-        self.known: dict[bytes, bytes] = {}
         self.letters = {ord(c): self._form(c) for c in LATIN}
         probe = [LATIN, LATIN[::-1], LATIN[::3], "Naïve", "straße", "Œuvre"]
-        if None in self.letters.values() or [self._plain(w) for w in probe] != self._whole(probe):
+        if None in self.letters.values() or any(self._plain(w) != self._whole(w) for w in probe):
             self.letters = {}  # not a tokenizer that treats letters one by one
 
     def _form(self, letter: str) -> str | None:
@@ -81,58 +80,34 @@ class Words:
 
     def _plain(self, word: str) -> bytes:
         raw = self.raw
-        return b"".join([raw[t.id] for t in self.model.tokenize(word.translate(self.letters))])
+        return b"".join([raw[t.id] for t in self.model_ids(word.translate(self.letters))])
 
-    def _whole(self, words: list[str]) -> list[bytes]:
+    def _whole(self, word: str) -> bytes:
         raw = self.raw
-        return [b"".join([raw[i] for i in e.ids]) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        known, others, later = self.known, [], []
-        plain = PLAIN.fullmatch if self.letters else lambda w: None
-        gc.disable()  # many small objects, none of them in a cycle
-        for word in words:
-            stem = word.rstrip(SIGNS)
-            if 0 < len(stem) < len(word) and stem[-1] in ALNUM and b"<" not in word:
-                later.append((word, stem, word[len(stem) :]))
-        for word in {part for _, *split in later for part in split}.difference(known) | words.difference([w for w, _, _ in later]):
+        return b"".join([raw[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
+
+    def __missing__(self, word: bytes) -> bytes:
+        stem = word.rstrip(SIGNS)
+        if 0 < len(stem) < len(word) and stem[-1] in ALNUM and b"<" not in word:
+            ids = self[stem] + self[word[len(stem) :]]
+        else:
             text = word.decode()
-            if plain(text):
-                known[word] = self._plain(text)
-            else:
-                others.append(word)
-        known.update(zip(others, self._whole([w.decode() for w in others])))
-        for word, stem, signs in later:
-            known[word] = known[stem] + known[signs]
-        gc.enable()
-
-    def _flush(self, parts: list[tuple[int, list[bytes]]], out: list[list[bytes]]) -> None:
-        needed = set().union(*[words for _, words in parts])
-        new = needed.difference(self.known)
-        self._learn(needed if len(self.known) > CACHED_WORDS else new)
-        for i, words in parts:
-            out[i].append(b"".join(map(self.known.__getitem__, words)))
-        parts.clear()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, in ``type``."""
-        out: list[list[bytes]] = [[] for _ in texts]
-        parts, size = [], 0
-        for i, text in enumerate(texts):
-            at = 0
-            while at < len(text):
-                end = min(at + PART_CHARS, len(text))
-                while end < len(text) and text[end] not in SPACE:
-                    end += 1
-                parts.append((i, text[at:end].encode().split()))
-                size, at = size + end - at, end
-                if size >= PART_CHARS:
-                    self._flush(parts, out)
-                    size = 0
-        self._flush(parts, out)
-        return [b"".join(ids) for ids in out]
+            ids = self._plain(text) if self.letters and PLAIN.fullmatch(text) else self._whole(text)
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, in ``type``."""
+        out, at = [], 0
+        while at < len(text):
+            end = min(at + PART_CHARS, len(text))
+            while end < len(text) and text[end] not in SPACE:
+                end += 1
+            out.append(b"".join(map(self.__getitem__, text[at:end].encode().split())))
+            at = end
+        return out[0] if len(out) == 1 else b"".join(out)
 
 
 _WORDS: dict[str, Words] = {}
@@ -148,7 +123,7 @@ def _tokenise(path: str, capacity: int, end_id: int):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 rows = batch.slice(lo, 256)
-                ids = [found + end for found in words.encode(rows.column(1).to_pylist())]
+                ids = [words.encode(t) + end for t in rows.column(1).to_pylist()]
                 n = np.array([len(i) for i in ids], np.int64) // words.type.itemsize
                 left, ranks, before = n % capacity, np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
                 for i, (length, count) in enumerate(zip(left.tolist(), (n // capacity).tolist())):
