@@ -233,12 +233,12 @@ def nodes(turns: DataFrame, convs: DataFrame, stretch: int = STRETCH) -> DataFra
     keyed = turns.select(
         "conv", depth.alias("depth"), "words", F.xxhash64(depth, "h1", "h2").alias("k1"), F.xxhash64(F.lit(13), depth, "h2", "h1").alias("k2")
     )
-    named = ordered_neighbours(
+    named = store(ordered_neighbours(
         keyed, ["conv"], ["depth"], lead={"next": "depth"}, running={"p1": ("xor", "k1"), "p2": ("xor", "k2")}
     ).select(
         "conv", F.floor((F.col("depth") - 1) / stretch).alias("stretch"), "depth", "p1", "p2", F.col("p1").bitwiseXOR(F.col("k1")).alias("q1"),
         F.col("p2").bitwiseXOR(F.col("k2")).alias("q2"), "words", F.col("next").isNull().alias("last"),
-    )
+    ), "trie-turns")
     zero = F.lit(0).cast("bigint")
     found = store(_members(named.withColumn("saved", zero).withColumn("leaves", zero)).drop("saved", "leaves"), "trie-nodes")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revcurve.llm import ann_mih, decontaminate, html_extract, line_templates, mixing, packing, ppm, prefix_trie, quality_cnn, simhash_variants, toxicity, turn_repair, warc_zip
-from revcurve.llm.common import new_folder, remainder
+from revcurve.llm.common import new_folder, remainder, store
 from revcurve.operators.ranges import explode_range
 
 
@@ -156,7 +156,7 @@ def rebuilt(turns: DataFrame) -> DataFrame:
 def op13_zfast_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the prefix trie of the rebuilt conversations."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    turns = prefix_trie.symbols(rows)
+    turns = store(prefix_trie.symbols(rows), "conversation-turns")
     found = prefix_trie.nodes(rebuilt(turns), turns.where("place = 0").select("conv"))
     return found.select(
         F.col("conv").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves",
