@@ -3,10 +3,11 @@
 Every page is parsed into a small element tree. Each element subtree has a hash of its tags
 and text; Spark counts, per host, in how many different pages a hash occurs, and subtrees that
 recur across many pages of the host are deleted before the text is read (menus, notices and
-other templates, whatever their markup). Elements that HTML or their class or id name as
-boilerplate (navigation, header, footer, aside, form, advert, notice, comments, ...) go as well, but a
-class or id word drops neither an ``article`` / ``main`` element nor one that holds it, except within
-an ``article`` (replies to it). The text comes from the page's ``article`` / ``main`` element when it
+other templates). All block subtrees with words are counted, whatever their markup. What no count can see, since a
+page has it to itself, goes by its markup: elements that HTML or their class or id name as
+boilerplate (navigation, header, footer, aside, form, advert, notice, comments, ...). A class or id word drops
+neither an ``article`` / ``main`` element nor one that holds it, and within it only replies, adverts and share buttons; an
+article's own ``header`` stays. The text comes from the page's ``article`` / ``main`` element when it
 has one with text, else from its body; where class and id words would leave a page without text, they
 do not count.
 
@@ -39,7 +40,7 @@ from revcurve.llm.common import store, text_of
 
 # Element names of the HTML standard by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas".split())
+RAW = frozenset("script style textarea title noscript template iframe svg object canvas".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table "
@@ -60,6 +61,10 @@ _BOILER = re.compile(
     r"pagination|pager|copyright|disclaimer|skip|hidden|toolbar|tags|paywall|alert)(?:$|[\s_-])",
     re.I,
 )
+# what class and id words may drop within an article: replies to it, adverts and buttons to share it
+_REPLIES = re.compile(
+    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|comments?|commentlist|respond|replies|reply|disqus|share|sharing)(?:$|[\s_-])", re.I
+)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAMED = re.compile(r"\b(?:class|id|role|hidden|aria-hidden|style)\b", re.I)
@@ -68,26 +73,28 @@ _SPACE = re.compile(r"[ \t\n\r\f\v   -     　]+")
 
 
 class Node:
-    """An element: its tag, whether its markup says boilerplate (``named``: by a class or id word), and children (nodes, text)."""
+    """An element: its tag, whether its markup says boilerplate (``named``: by a class or id word, ``reply``: by one that
+    counts within an article too), and children (nodes, text)."""
 
-    __slots__ = ("tag", "boiler", "named", "children", "main")
+    __slots__ = ("tag", "boiler", "named", "children", "main", "reply")
 
-    def __init__(self, tag: str, boiler: bool = False, named: bool = False, main: bool = False):
-        self.tag, self.boiler, self.named, self.main, self.children = tag, boiler, named, main, []
+    def __init__(self, tag: str, boiler: bool = False, named: bool = False, main: bool = False, reply: bool = False):
+        self.tag, self.boiler, self.named, self.main, self.reply, self.children = tag, boiler, named, main, reply, []
 
 
-def _attributes(tag: str, attrs: str) -> tuple[bool, bool, bool]:
-    """(boilerplate by its own markup, by a class or id word, a main element) for a start tag."""
+def _attributes(tag: str, attrs: str) -> tuple[bool, bool, bool, bool]:
+    """(boilerplate by its own markup, by a class or id word, a main element, by a word for replies) for a start tag."""
     main = tag in ("article", "main")
     if tag in DROPPED:
-        return True, False, False
+        return True, False, False, False
     if not attrs or not _NAMED.search(attrs):
-        return False, False, main
+        return False, False, main, False
     got = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
     role = got.get("role", "").strip().lower()
     boiler = role in ROLES or "hidden" in got or got.get("aria-hidden") == "true" or bool(_HIDDEN_STYLE.search(got.get("style", "")))
-    named = tag not in ("body", "html", "main") and (bool(_BOILER.search(got.get("class", ""))) or bool(_BOILER.search(got.get("id", ""))))
-    return boiler, named, (main or role == "main") and not boiler
+    names = (got.get("class", ""), got.get("id", ""))
+    named = tag not in ("body", "html", "main") and any(map(_BOILER.search, names))
+    return boiler, named, (main or role == "main") and not boiler, named and any(map(_REPLIES.search, names))
 
 
 def parse(text: str) -> Node:
@@ -120,9 +127,11 @@ def parse(text: str) -> Node:
             _close(stack, "p", SCOPES - {"p"})
         if tag in SIBLINGS:
             _close_siblings(stack, SIBLINGS[tag])
-        boiler, named, main = _attributes(tag, attrs)
+        boiler, named, main, reply = _attributes(tag, attrs)
+        if tag == "header" and any(n.main for n in stack):
+            boiler = False  # the heading of the article itself
         some_named = some_named or named
-        node = Node(tag, boiler, named, main)
+        node = Node(tag, boiler, named, main, reply)
         stack[-1].children.append(node)
         if tag not in VOID and not attrs.rstrip().endswith("/") or tag in BLOCK and tag not in VOID:
             stack.append(node)
@@ -132,19 +141,20 @@ def parse(text: str) -> Node:
 
 
 def _drop_named(root: Node) -> None:
-    """Mark what class and id words drop: no main element and none that holds one, except within an article; nothing when no text would be left."""
+    """Mark what class and id words drop: no main element and none that holds one, within a main element only replies,
+    adverts and share buttons, and nothing when no text would be left."""
     order, todo = [], [(root, False)]
     while todo:
-        node, replies = todo.pop()
-        order.append((node, replies))
+        node, inside = todo.pop()
+        order.append((node, inside))
         if not node.boiler:
-            todo.extend((c, replies or node.tag == "article") for c in node.children if isinstance(c, Node))
+            todo.extend((c, inside or node.main) for c in node.children if isinstance(c, Node))
     holds: set[int] = set()
     dropped = []
-    for node, replies in reversed(order):
+    for node, inside in reversed(order):
         if not node.boiler and (node.main or any(id(c) in holds for c in node.children if isinstance(c, Node))):
             holds.add(id(node))
-        if node.named and not node.boiler and (replies or id(node) not in holds):
+        if not node.boiler and (node.reply if inside else node.named and id(node) not in holds):
             dropped.append(node)
     for node in dropped:
         node.boiler = True
@@ -205,24 +215,23 @@ def subtree_hashes(root: Node) -> dict[int, int]:
     return out
 
 
-def _has_words(node: Node) -> bool:
-    return any(not isinstance(c, Node) and c.strip() for n, _ in _walk(node) for c in n.children)
-
-
 def page_subtrees(page: str) -> tuple[int, list[int], list[int]]:
     """(hash of the page's text blocks, subtree hashes outside and inside its main element).
 
-    Only block elements that hold words count; subtrees that their own markup already drops do not.
+    All block elements that hold words count, whatever their markup says about them.
     """
     root = parse(page)
     hashes = subtree_hashes(root)
     outer, inner, todo = set(), set(), [(root, False)]
+    words: dict[int, bool] = {}
+    for node in reversed([n for n, _ in _walk(root)]):
+        words[id(node)] = any(words[id(c)] if isinstance(c, Node) else c.strip() for c in node.children)
     while todo:
         node, inside = todo.pop()
         for c in node.children:
-            if isinstance(c, Node) and not c.boiler:
+            if isinstance(c, Node) and words[id(c)]:
                 todo.append((c, inside or c.main))
-                if c.tag in BLOCK and c.tag not in ("html", "body") and not c.main and _has_words(c):
+                if c.tag in BLOCK and c.tag not in ("html", "body") and not c.main:
                     (inner if inside else outer).add(hashes[id(c)])
     return _digest([b.encode("utf-8", "replace") for b in blocks(root, {}, frozenset())]), sorted(outer - inner), sorted(inner)
 
@@ -293,7 +302,7 @@ def _subtrees(pages: pa.Array) -> pa.Array:
     )
 
 
-def site_templates(pages: DataFrame, min_pages: int = 8, outer_share: float = 0.1, inner_share: float = 0.5, few_pages: int = 3, html_col: str = "html", url_col: str = "url") -> DataFrame:
+def site_templates(pages: DataFrame, min_pages: int = 8, outer_share: float = 0.02, inner_share: float = 0.5, few_pages: int = 3, html_col: str = "html", url_col: str = "url") -> DataFrame:
     """(host, templates): the subtree hashes that recur across many different pages of a host."""
     seen = pages.select(
         host_of(url_col).alias("host"),
@@ -336,6 +345,9 @@ def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", **th
     # the few template rows go to every part of a host, so that a hot host's pages are spread
     spread = templates.select(F.col("host").alias("_host"), "templates", F.explode(F.sequence(F.lit(0), F.lit(HOST_PARTS - 1))).alias("_part"))
     part = F.pmod(F.xxhash64(html_col, url_col), F.lit(HOST_PARTS)).cast("int")
+    clash = {"_host", "_part"} & set(pages.columns)
+    if clash:
+        raise ValueError(f"the input has columns named {sorted(clash)}; rename them")
     joined = pages.withColumns({"_host": host_of(url_col), "_part": part}).join(spread, ["_host", "_part"], "left")
     udf = F.arrow_udf(_extract, "string")
     return joined.withColumn("text", udf(text_of(html_col), F.col("templates"))).drop("_host", "_part", "templates")
