@@ -92,69 +92,57 @@ def store_in_order(df: DataFrame, keys: Sequence[str], slices: int | None = None
     return store_slices(placed, n)
 
 
-def _edges(stored: DataFrame, group: list[str], firsts: list[str], lasts: list[str], totals: dict) -> DataFrame:
+def _same_group(side: str, group: list[str]) -> Column:
+    """Whether a neighbouring row (a struct, NULL for none) is of the row's own group."""
+    same = F.col(side).isNotNull()
+    for c in group:
+        same = same & F.col(side)[c].eqNullSafe(F.col(c))
+    return same
+
+
+def _edges(stored: DataFrame, group: list[str], sources: list[str], totals: dict) -> DataFrame:
     """One row per slice: its neighbours' edge rows and the totals carried into its first group."""
-    key = F.struct(*group)
-    edges = stored.groupBy(BUCKET, SLICE).agg(
-        F.min_by(F.struct(key.alias("key"), *firsts), PLACE).alias("first"),
-        F.max_by(F.struct(key.alias("key"), *lasts), PLACE).alias("last"),
-    )
+    edges = slice_ends(stored, list(dict.fromkeys([*group, *sources])))
+    of = lambda side: F.struct(*[F.col(side)[c].alias(c) for c in group])
     if totals:
-        last = edges.select(BUCKET, F.col("last.key").alias("_nb_key"))
-        rows = stored.withColumn("_nb_group", key).join(last, BUCKET).where(F.col("_nb_group").eqNullSafe(F.col("_nb_key")))
+        last = edges.select(BUCKET, of("last").alias("_nb_key"))
+        rows = stored.join(last, BUCKET, "left").where(F.struct(*group).eqNullSafe(F.col("_nb_key")))
         sums = rows.groupBy(BUCKET).agg(*[TOTALS[kind][0](value).alias(f"_nb_{out}") for out, (kind, value) in totals.items()])
-        edges = edges.join(sums, BUCKET)
+        edges = stored_table(edges.join(sums, BUCKET).coalesce(1), "slice-totals")
     along = Window.orderBy(SLICE)  # one row per slice
+    edges = edges.withColumn("_nb_first_key", of("first")).withColumn("_nb_last_key", of("last"))
     carried = [
-        TOTALS[kind][0](f"_nb_{out}").over(Window.partitionBy("last.key").orderBy(SLICE)).alias(f"_nb_{out}")
+        TOTALS[kind][0](f"_nb_{out}").over(Window.partitionBy("_nb_last_key").orderBy(SLICE)).alias(f"_nb_{out}")
         for out, (kind, _) in totals.items()
     ]
-    edges = edges.select(SLICE, BUCKET, "first", "last", *carried)
-    continued = F.lag("last.key").over(along).eqNullSafe(F.col("first.key")) & (F.lag(SLICE).over(along).isNotNull())
+    edges = edges.select(SLICE, BUCKET, "first", "last", "_nb_first_key", "_nb_last_key", *carried)
+    continued = F.lag("_nb_last_key").over(along).eqNullSafe(F.col("_nb_first_key")) & F.lag(SLICE).over(along).isNotNull()
     return edges.select(
         F.col(BUCKET),
         F.lag("last").over(along).alias("_nb_before"),
         F.lead("first").over(along).alias("_nb_after"),
-        F.col("first.key").alias("_nb_first_key"),
+        "_nb_first_key",
         *[F.when(continued, F.lag(f"_nb_{out}").over(along)).otherwise(F.lit(0)).cast("bigint").alias(f"_nb_carry_{out}")
           for out in totals],
     )
 
 
-def place_number() -> Column:
-    """A row's number in the whole stored order: ascending, with gaps between slices."""
-    return F.col(SLICE).cast("bigint") * (1 << _PLACE_BITS) + F.col(PLACE)
-
+def stored_table(df: DataFrame, label: str) -> DataFrame:
+    """``df`` computed once, written under the shared checkpoint folder and read back."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/revcurve-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def with_group_values(stored: DataFrame, group: Sequence[str], values: Mapping[str, tuple]) -> DataFrame:
-    """``stored`` (see :func:`store_in_order`) with values over whole groups of a prefix of its order.
 
-    ``values`` maps output column -> (``F.min`` or ``F.max``, expression over the rows). Within a slice this is
-    a window by (BUCKET, group), which needs no exchange; a group that is cut by a slice's end is
-    summed up once more over the edge groups, at most two for each slice.
-    """
-    group = list(group)
-    key = F.struct(*group)
-    inside = Window.partitionBy(BUCKET, *group)
-    ends = stored.groupBy(BUCKET).agg(F.min_by(key, PLACE).alias("_gv_first"), F.max_by(key, PLACE).alias("_gv_last"))
-    beside = stored.join(ends, BUCKET, "left").withColumn("_gv_key", key)
-    beside = beside.where(F.col("_gv_key").eqNullSafe(F.col("_gv_first")) | F.col("_gv_key").eqNullSafe(F.col("_gv_last")))
-    cells = beside.groupBy(BUCKET, "_gv_key").agg(*[how(value).alias(out) for out, (how, value) in values.items()])
-    whole = cells.groupBy("_gv_key").agg(F.struct(*[how(out).alias(out) for out, (how, _) in values.items()]).alias("_gv"))
-    edges = ends
-    for end in ("first", "last"):
-        of = whole.select(F.col("_gv_key").alias(f"_gv_{end}"), F.col("_gv").alias(f"_gv_of_{end}"))
-        edges = edges.join(of, f"_gv_{end}", "left")
-    edges = edges.select(BUCKET, "_gv_first", "_gv_last", "_gv_of_first", "_gv_of_last")
-    rows = stored.select("*", *[how(value).over(inside).alias(f"_gv_{out}") for out, (how, value) in values.items()])
-    rows = rows.join(edges, BUCKET, "left")
-    final = [
-        F.when(key.eqNullSafe(F.col("_gv_first")), F.col("_gv_of_first")[out])
-        .when(key.eqNullSafe(F.col("_gv_last")), F.col("_gv_of_last")[out])
-        .otherwise(F.col(f"_gv_{out}")).alias(out)
-        for out in values
-    ]
-    return rows.select(*stored.columns, *final)
+def slice_ends(stored: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(SLICE, BUCKET, first, last): the given columns of each slice's first and last row, stored; one row per slice."""
+    sizes = stored.groupBy(BUCKET, SLICE).agg(F.max(PLACE).alias("_last_place"))
+    ends = stored.select(*columns, BUCKET, SLICE, PLACE).join(sizes, [BUCKET, SLICE], "left")
+    ends = ends.where((F.col(PLACE) == 0) | (F.col(PLACE) == F.col("_last_place")))
+    values = F.struct(*columns)
+    return stored_table(ends.groupBy(SLICE, BUCKET).agg(
+        F.min_by(values, PLACE).alias("first"), F.max_by(values, PLACE).alias("last")
+    ).coalesce(1), "slice-ends")
 
 
 def ordered_neighbours(
@@ -190,29 +178,34 @@ def ordered_neighbours(
     totals = {out: (kind, F.col(src)) for out, (kind, src) in running.items()}
     if count_before:
         totals["_nb_count"] = ("sum", one)
-    before, after = sorted(set(lag.values())), sorted(set(lead.values()))
-    edges = _edges(stored, group, [F.col(c).alias(f"v_{c}") for c in after], [F.col(c).alias(f"v_{c}") for c in before], totals)
+    carried = list(dict.fromkeys([*group, *lag.values(), *lead.values()]))
+    edges = _edges(stored, group, carried, totals)
 
     key = F.struct(*group)
+    beside = F.struct(*carried)
     row = Window.partitionBy(BUCKET).orderBy(PLACE)
     so_far = row.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spans = [F.lag(F.struct(key.alias("key"), *[F.col(c).alias(f"v_{c}") for c in before])).over(row).alias("_nb_lag")]
+    spans = [F.lag(beside).over(row).alias("_nb_lag")]
     if lead:
-        spans.append(F.lead(F.struct(key.alias("key"), *[F.col(c).alias(f"v_{c}") for c in after])).over(row).alias("_nb_lead"))
+        spans.append(F.lead(beside).over(row).alias("_nb_lead"))
     spans += [TOTALS[kind][0](value).over(so_far).alias(f"_nb_total_{out}") for out, (kind, value) in totals.items()]
     rows = stored.select("*", *spans)
     if totals:
         # the total at the end of the row before the group began, in this slice
-        begins = ~F.coalesce(F.col("_nb_lag.key").eqNullSafe(key), F.lit(False)) | (F.col(PLACE) == 0)
+        begins = (F.col(PLACE) == 0) | ~_same_group("_nb_lag", group)
         rows = rows.select("*", *[
             F.last(F.when(begins, TOTALS[kind][2](F.col(f"_nb_total_{out}"), value)), ignorenulls=True).over(so_far).alias(f"_nb_base_{out}")
             for out, (kind, value) in totals.items()
         ])
     joined = rows.join(edges, BUCKET, "left")  # left: the rows are never the side to broadcast
 
-    def neighbour(near: str, far: str, src: str):
-        beside = F.coalesce(F.col(near), F.col(far))  # NULL beside the slice's first / last row
-        return F.when(beside["key"].eqNullSafe(key), beside[f"v_{src}"])
+    # NULL beside the slice's first / last row: the neighbour is in another slice
+    joined = joined.withColumn("_nb_lag", F.coalesce("_nb_lag", "_nb_before"))
+    if lead:
+        joined = joined.withColumn("_nb_lead", F.coalesce("_nb_lead", "_nb_after"))
+
+    def neighbour(near: str, src: str):
+        return F.when(_same_group(near, group), F.col(near)[src])
 
     def total(out: str):
         _, join, less = TOTALS[totals[out][0]]
@@ -220,8 +213,8 @@ def ordered_neighbours(
         return F.when(F.col("_nb_first_key").eqNullSafe(key), join(own, F.col(f"_nb_carry_{out}"))).otherwise(own)
 
     out_cols = [F.col(c) for c in df.columns]
-    out_cols += [neighbour("_nb_lag", "_nb_before", src).alias(out) for out, src in lag.items()]
-    out_cols += [neighbour("_nb_lead", "_nb_after", src).alias(out) for out, src in lead.items()]
+    out_cols += [neighbour("_nb_lag", src).alias(out) for out, src in lag.items()]
+    out_cols += [neighbour("_nb_lead", src).alias(out) for out, src in lead.items()]
     out_cols += [total(out).alias(out) for out in running]
     if count_before:
         out_cols.append((total("_nb_count") - one).alias(count_before))

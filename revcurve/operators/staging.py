@@ -14,14 +14,21 @@ t07  drop free renewals
 t11-t15  license fix, discount clamp, surcharge, total, discount percentage
 t16  the whole model
 
-Distributed plan. The three removals are NOT EXISTS tests on ``(customer, day[, product])``. Instead of three
-anti-joins (each shuffling all rows once more on keys of its own) or windows over ``customer`` (which put a hot
-customer into one task), the distinct rows are stored once in the order (customer, product, day, ...), cut
-into even slices (``revcurve.operators.neighbours``). Every fact a removal asks for is then a minimum or maximum
-over neighbouring rows: of the (customer, product), of the (customer, product, day), of the customer. They
-are windows within a slice, which need no exchange, and the groups that a slice's end cuts are put together
-from one row per slice. So sales are scanned once, rows move twice (deduplication, order), no row is
-joined to a table that grows with the data, and a hot customer spans as many slices as its rows fill.
+Distributed plan. The three removals are anti-joins on ``(customer, day[, product])``. Instead
+of three joins (each shuffling both sides on its own keys) or windows over ``customer``
+(which put a hot customer into one task), every flag is computed once per *block*
+``(customer, day, product)``:
+
+* one ``groupBy`` over the rows gives per-block facts (map-side partial aggregation, so a huge
+  block is reduced before it is shuffled; the facts are max / min, so copies need no
+  deduplication first and the dedup shuffle is paid only on the row side);
+* each customer's first new-customer day and each (customer, product)'s first day are small
+  aggregates over the block table, which is stored, so the sales are scanned twice in all (blocks, rows); no
+  window holds a customer's blocks, so a customer with a long history and a large catalogue is not one task;
+* one join attaches the flags to the rows (null-safe on the block key, so a row with a NULL
+  product still gets its customer-day flag). Only blocks with a flag are kept for it, as a stored table whose
+  size the optimiser knows: while it is below the broadcast threshold no row moves for it, beyond that
+  AQE's skew-join handling splits a hot block.
 
 Removal semantics follow NOT EXISTS exactly: a NULL in a compared key never matches, so the
 row is kept; every flag is therefore ``coalesce(..., false)``.
@@ -35,11 +42,13 @@ from pyspark.sql import functions as F
 from revcurve.functions import domain as D
 from revcurve.functions.money import div_round, to_cents, usd
 from revcurve.operators.explore import deduplicate, free_renewal_condition, license_fix_condition
-from revcurve.operators.neighbours import ordered_neighbours, place_number, store_in_order, with_group_values
+from revcurve.operators.neighbours import ordered_neighbours, stored_table
 
 BLOCK = ("customer", "processed_date", "product_code")
 # Order of purchases within (customer, product): day, then the remaining columns.
 PURCHASE_ORDER = ("processed_date", "customer_status", *D.RAW_TIE_ORDER)
+# Columns in which two candidate rows of one block can differ (the rest is shared).
+_CAND_COLS = ("amount_in_usd", "discount_in_usd", "quantity")
 
 
 def first_new_customer_day(dd: DataFrame) -> DataFrame:
@@ -103,34 +112,93 @@ def repeat_new_product_use(dd: DataFrame) -> DataFrame:
              "purchase_rank")
 
 
-# Order in which the distinct sales rows are stored: the purchase order of each (customer, product).
-STAGING_ORDER = ("customer", "product_code", *PURCHASE_ORDER)
+def _facts(rows: DataFrame):
+    """(name, aggregate) pairs of the per-block facts."""
+    status, lic = F.col("customer_status"), F.col("license_type")
+    cand = (status == D.NEW_PRODUCT_USE) & (lic == D.LICENSE_NEW) & F.col("discount_id").isNull()
+    # A row that sorts before any candidate in the purchase order (status, license, code NULLS
+    # FIRST, ...): candidates all share (NPU, New, NULL code), so only status / license decide.
+    before_cand = (
+        status.isNull() | (status < D.NEW_PRODUCT_USE)
+        | ((status == D.NEW_PRODUCT_USE) & (lic.isNull() | (lic < D.LICENSE_NEW)))
+    )
+    facts = [
+        ("_nc", F.max(status == D.NEW_CUSTOMER)),
+        ("_nc_new", F.max((status == D.NEW_CUSTOMER) & (lic == D.LICENSE_NEW))),
+        ("_npu_new", F.max((status == D.NEW_PRODUCT_USE) & (lic == D.LICENSE_NEW))),
+        ("_has_cand", F.max(cand)),
+        ("_before_cand", F.max(F.coalesce(before_cand, F.lit(False)))),
+    ]
+    # distinct candidates differ in amount, discount or quantity (all else is shared)
+    for c in _CAND_COLS:
+        facts += [
+            (f"_min_{c}", F.min(F.when(cand, F.col(c)))),
+            (f"_max_{c}", F.max(F.when(cand, F.col(c)))),
+            (f"_maxnull_{c}", F.max(F.when(cand, F.col(c).isNull()))),
+            (f"_minnull_{c}", F.min(F.when(cand, F.col(c).isNull()))),
+        ]
+    return facts
+
+
+def _flags():
+    """The three removal flags from the facts and the first days (never NULL)."""
+    day = F.col("processed_date")
+    has_cand = F.coalesce(F.col("_has_cand"), F.lit(False))
+    several = F.lit(False)
+    for c in _CAND_COLS:
+        several = (several | ~F.col(f"_min_{c}").eqNullSafe(F.col(f"_max_{c}"))
+                   | ~F.col(f"_minnull_{c}").eqNullSafe(F.col(f"_maxnull_{c}")))
+    not_first = F.col("_before_cand")
+    later = F.col("_null_day") | (day > F.col("_first_day"))
+    first = day == F.col("_first_day")
+    repeat = has_cand & (later | (first & (several | not_first)))
+    return [
+        F.coalesce(F.col("_nc_new") & F.col("_npu_new"), F.lit(False)).alias("drop_npu_anomaly"),
+        F.coalesce(repeat, F.lit(False)).alias("drop_npu_repeat"),
+        F.coalesce(day == F.col("_first_nc_day"), F.lit(False)).alias("drop_renewal"),
+    ]
+
+
+def block_flags(rows: DataFrame) -> DataFrame:
+    """The (customer, day, product) blocks with a removal flag, stored.
+
+    ``drop_npu_anomaly``  block holds New rows of both new-customer and new-product-use (t04)
+    ``drop_npu_repeat``   block holds an uncoded New new-product-use row of rank > 1 (t06)
+    ``drop_renewal``      the day is the customer's first new-customer day (t03)
+
+    Every block fact is a max / min, so exact copies do not change it: the flags can be taken
+    from the raw rows directly, and the deduplication shuffle is paid once, on the row side
+    only. All facts are scalar max / min, so the aggregate stays a hash aggregate. The block table is stored:
+    the first days of customers and of (customer, product) are minima over it, not over the rows.
+    """
+    blocks = stored_table(rows.groupBy(*BLOCK).agg(*[e.alias(n) for n, e in _facts(rows)]), "blocks")
+    # Per customer and per (customer, product): small aggregates joined to the block table
+    # (no window over a customer's blocks, so no task holds a whole customer). A NULL key
+    # never matches here, like in NOT EXISTS; the row-level guards skip such rows anyway.
+    first_nc = blocks.filter("_nc").groupBy("customer").agg(F.min("processed_date").alias("_first_nc_day"))
+    first_day = blocks.groupBy("customer", "product_code").agg(
+        F.min("processed_date").alias("_first_day"),
+        # rank order puts NULL days first: a NULL-day purchase precedes every dated one
+        F.max(F.col("processed_date").isNull()).alias("_null_day"),
+    )
+    flags = blocks.join(first_nc, "customer", "left").join(first_day, ["customer", "product_code"], "left").select(*BLOCK, *_flags())
+    return stored_table(flags.filter("drop_npu_anomaly OR drop_npu_repeat OR drop_renewal"), "flags")
 
 
 def flagged_rows(sales: DataFrame) -> DataFrame:
-    """Deduplicated rows with the three removal flags (never NULL).
+    """Deduplicated rows with their block's removal flags attached (NULL without a flag).
 
-    ``drop_npu_anomaly``  the (customer, day, product) holds New rows of both new-customer and new-product-use (t04)
-    ``drop_npu_repeat``   it holds an uncoded New new-product-use row of rank > 1 (t06)
-    ``drop_renewal``      the day is the customer's first new-customer day (t03)
+    Hash aggregates and AQE-splittable joins, no window, so no task holds a whole customer.
     """
-    rows = store_in_order(deduplicate(sales), list(STAGING_ORDER)).withColumn("_place", place_number())
-    status, new = F.col("customer_status"), F.col("license_type") == D.LICENSE_NEW
-    rows = with_group_values(rows, ["customer", "product_code"], {"_first_place": (F.min, F.col("_place"))})
-    # a rank above 1: the row is not the first of its (customer, product) in the purchase order
-    repeat = (status == D.NEW_PRODUCT_USE) & new & F.col("discount_id").isNull() & (F.col("_place") > F.col("_first_place"))
-    rows = with_group_values(rows, ["customer", "product_code", "processed_date"], {
-        "_nc_new": (F.max, (status == D.NEW_CUSTOMER) & new),
-        "_npu_new": (F.max, (status == D.NEW_PRODUCT_USE) & new),
-        "_repeat": (F.max, repeat),
-    })
-    rows = with_group_values(rows, ["customer"], {"_first_nc_day": (F.min, F.when(status == D.NEW_CUSTOMER, F.col("processed_date")))})
-    no = F.lit(False)
-    return rows.select(
-        *D.SALES_COLUMNS,
-        F.coalesce(F.col("_nc_new") & F.col("_npu_new"), no).alias("drop_npu_anomaly"),
-        F.coalesce(F.col("_repeat"), no).alias("drop_npu_repeat"),
-        F.coalesce(F.col("processed_date") == F.col("_first_nc_day"), no).alias("drop_renewal"),
+    dd = deduplicate(sales)
+    flags = block_flags(sales)
+    flags = flags.select(
+        *[F.col(c).alias(f"_k_{c}") for c in BLOCK],
+        "drop_npu_anomaly", "drop_npu_repeat", "drop_renewal",
+    )
+    cond = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in BLOCK]
+    return dd.join(flags, cond, "left").select(
+        *D.SALES_COLUMNS, "drop_npu_anomaly", "drop_npu_repeat", "drop_renewal"
     )
 
 
