@@ -184,11 +184,11 @@ def combined_rows(cls: DataFrame) -> DataFrame:
 
 
 def change_events(cls: DataFrame) -> DataFrame:
-    """(customer, month, dv, dc): by how much a customer's monthly revenue, in twelfths, and the number of running terms
-    change in a month.
+    """(customer, month, dv, dc, dn): by how much a customer's monthly revenue, in twelfths, the number of running terms
+    and that of terms with a known amount change in a month.
 
-    A purchase of monthly value v begins at its month (+v, +1) and ends twelve months (yearly) or one month (monthly)
-    later (-v, -1). Purchases are added up per (customer, start month, interval) first, so at most two rows per
+    A purchase of monthly value v begins at its month (+v, +1, +1) and ends twelve months (yearly) or one month
+    (monthly) later (-v, -1, -1); without an amount it is (0, +1, 0). Purchases are added up per (customer, start month, interval) first, so at most two rows per
     such pre-aggregate exist at any point; nothing is laid out month by month. Purchases without a day have no
     month: their whole value is one row of month NULL.
     """
@@ -200,19 +200,20 @@ def change_events(cls: DataFrame) -> DataFrame:
         .agg(F.sum(F.when(yearly, paid).otherwise(paid * 12)).alias("_v"))
     )
     n = F.when(F.col("_yearly"), F.lit(D.MONTHS_PER_YEARLY_TERM)).otherwise(F.lit(1))
+    known = F.col("_v").isNotNull().cast("bigint")
     event = lambda month, dv, dc: F.struct(
-        month.cast("date").alias("month"), dv.cast("bigint").alias("dv"), F.lit(dc).cast("bigint").alias("dc")
+        month.cast("date").alias("month"), dv.cast("bigint").alias("dv"), F.lit(dc).cast("bigint").alias("dc"), (known * dc).alias("dn")
     )
-    v = F.col("_v")
+    v = F.coalesce("_v", F.lit(0))
     events = pre.repartition("customer").select("customer", F.explode(
         F.when(F.col("_start").isNull(), F.array(event(F.col("_start"), v * n, 1)))
         .otherwise(F.array(event(F.col("_start"), v, 1), event(F.add_months("_start", n), -v, -1)))
     ).alias("e"))
-    return events.groupBy("customer", F.col("e.month").alias("month")).agg(F.sum("e.dv").alias("dv"), F.sum("e.dc").alias("dc"))
+    return events.groupBy("customer", F.col("e.month").alias("month")).agg(*[F.sum(f"e.{c}").alias(c) for c in ("dv", "dc", "dn")])
 
 
 def customer_levels(events: DataFrame) -> DataFrame:
-    """Per event row: the revenue from that month on (``total``), whether any term runs (``present``), the revenue of the
+    """Per event row: the revenue from that month on (``total``, NULL if no running term has an amount), whether any term runs (``present``), the revenue of the
     customer's previous present month (``previous``), the next event's month (``until``) and ``is_new``.
 
     The windows run by customer over event rows: at most one for each month of the calendar.
@@ -222,13 +223,15 @@ def customer_levels(events: DataFrame) -> DataFrame:
     dated = F.col("month").isNotNull()
     levels = events.select(
         "*",
-        F.when(dated, F.sum(F.when(dated, F.col("dv"))).over(so_far)).otherwise(F.col("dv")).alias("total"),
+        F.when(dated, F.when(F.sum(F.when(dated, F.col("dn"))).over(so_far) > 0, F.sum(F.when(dated, F.col("dv"))).over(so_far)))
+        .otherwise(F.when(F.col("dn") > 0, F.col("dv"))).alias("total"),
         F.when(dated, F.sum(F.when(dated, F.col("dc"))).over(so_far) > 0).otherwise(F.lit(True)).alias("present"),
         F.lead("month").over(by_month).alias("until"),
         (F.min("month").over(Window.partitionBy("customer")) == F.col("month")).alias("is_new"),
     )
     earlier = by_month.rowsBetween(Window.unboundedPreceding, -1)
-    return levels.select("*", F.last(F.when(F.col("present"), F.col("total")), ignorenulls=True).over(earlier).alias("previous"))
+    last_present = F.last(F.when(F.col("present"), F.struct("total")), ignorenulls=True).over(earlier)
+    return levels.select("*", last_present["total"].alias("previous"))
 
 
 def customer_months(cls: DataFrame) -> DataFrame:
@@ -261,8 +264,13 @@ def month_changes(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """
     levels = customer_levels(events)
     by_month = Window.partitionBy("customer").orderBy(F.col("month").asc_nulls_first())
-    before = F.coalesce(F.lag(F.when(F.col("month").isNotNull(), F.col("present").cast("int"))).over(by_month), F.lit(0))
-    levels = levels.withColumn("_turned", F.col("present").cast("int") - before)
+
+    def turned(state):
+        before = F.lag(F.when(F.col("month").isNotNull(), state.cast("int"))).over(by_month)
+        return state.cast("int") - F.coalesce(before, F.lit(0))
+
+    valued = F.col("present") & F.col("total").isNotNull()
+    levels = levels.select("*", turned(F.col("present")).alias("_turned"), turned(valued).alias("_valued"))
     total, prev, new = F.col("total"), F.col("previous"), F.col("is_new")
     has_id = F.col("customer").isNotNull()
     here = F.col("present")
@@ -270,7 +278,10 @@ def month_changes(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         F.sum("dv").alias("dv"),
         F.sum("_turned").alias("d_present"),
         F.sum(F.when(has_id, F.col("_turned")).otherwise(0)).alias("d_active"),
+        F.sum("_valued").alias("d_valued"),
         F.count(F.when(here & new, F.col("customer"))).alias("new_customers"),
+        F.count_if(here & new).alias("new_present"),
+        F.count(F.when(here & new, total)).alias("new_valued"),
         F.sum(F.when(here & new, total).otherwise(0)).alias("_new"),
         F.sum(F.when(here & ~new & (total > prev), total - prev).otherwise(0)).alias("_exp"),
         F.sum(F.when(here & (total < prev), prev - total).otherwise(0)).alias("_con"),
@@ -278,7 +289,7 @@ def month_changes(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-CHANGES = ("dv", "d_present", "d_active", "new_customers", "_new", "_exp", "_con", "_churn")
+CHANGES = ("dv", "d_present", "d_active", "d_valued", "new_customers", "new_present", "new_valued", "_new", "_exp", "_con", "_churn")
 
 
 def merged_changes(changes: DataFrame) -> DataFrame:
@@ -297,8 +308,11 @@ def monthly_totals(changes: DataFrame) -> DataFrame:
     running = lambda c: F.when(dated, F.sum(F.when(dated, F.col(c))).over(so_far)).otherwise(F.col(c))
     levels = changes.select(
         "month", F.lead("month").over(w).alias("until"), running("dv").alias("_v"), running("d_present").alias("_present"),
-        running("d_active").alias("active_customers"), "new_customers", "_new", "_exp", "_con", "_churn",
-    ).filter(F.col("_present") > 0)
+        running("d_active").alias("active_customers"), running("d_valued").alias("_valued"), "new_customers",
+        # a sum of nothing but unknown amounts is unknown
+        F.when((F.col("new_present") < running("d_present")) | (F.col("new_valued") > 0), F.col("_new")).alias("_new"),
+        "_exp", "_con", "_churn",
+    ).filter(F.col("_present") > 0).withColumn("_v", F.when(F.col("_valued") > 0, F.col("_v")))
     months = F.when(~dated, F.array(F.col("month"))).otherwise(
         F.sequence(F.col("month"), F.when(dated, F.add_months("until", -1)), F.expr("INTERVAL 1 MONTH"))
     )
