@@ -14,7 +14,7 @@ put in one global order instead, with one plan at every size:
 The stored table is bucketed by a number that stands for the partition, so step 3 reads it partition by
 partition without another exchange: one exchange of rows and one of edge rows in all. Each partition is
 one task; there are ``slices`` of them (``spark.sql.shuffle.partitions``, or more when the input files
-hold more than :data:`SLICE_BYTES` for each).
+hold more than :data:`ORDERED_BYTES` for each: compressed rows take several times as much in an exchange and a sort).
 
 The table is written while the DataFrame is built, under the session's shared checkpoint folder, and
 stays there for as long as the result may be read; the folder's owner clears it.
@@ -34,6 +34,7 @@ from revcurve.plans.session import ensure_checkpoint_dir
 from revcurve.sources.files import save_model_table, scanned_bytes
 
 SLICE_BYTES = 128 * 1024 * 1024
+ORDERED_BYTES = 16 * 1024 * 1024
 # Columns of a stored range-partitioned table: partition number, its bucket number, place in the partition.
 SLICE, BUCKET, PLACE = "_nb_slice", "_nb_bucket", "_nb_place"
 _PLACE_BITS = 33  # monotonically_increasing_id: the row number stands in the lower 33 bits
@@ -58,10 +59,10 @@ def _ascending(names: Sequence[str]):
     return [F.col(c).asc_nulls_first() for c in names]
 
 
-def slice_count(df: DataFrame) -> int:
-    """Partitions of a range-partitioned copy of ``df``: the session's, or one per 128 MB of input files."""
+def slice_count(df: DataFrame, slice_bytes: int = SLICE_BYTES) -> int:
+    """Partitions of a copy of ``df``: the session's, or one per ``slice_bytes`` of input files."""
     configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(configured, (scanned_bytes(df) or 0) // SLICE_BYTES)
+    return max(configured, (scanned_bytes(df) or 0) // slice_bytes)
 
 
 def store_slices(df: DataFrame, buckets: int) -> DataFrame:
@@ -84,7 +85,7 @@ def store_in_order(df: DataFrame, keys: Sequence[str], slices: int | None = None
 
     Rows equal in all ``keys`` share a slice. Windows and aggregates by (BUCKET, ...) need no exchange.
     """
-    n = slices or slice_count(df)
+    n = slices or slice_count(df, ORDERED_BYTES)
     row = F.monotonically_increasing_id()
     placed = df.repartitionByRange(n, *_ascending(keys)).sortWithinPartitions(*_ascending(keys)).select(
         "*", F.spark_partition_id().alias(SLICE), row.bitwiseAND((1 << _PLACE_BITS) - 1).alias(PLACE)
@@ -108,7 +109,7 @@ def _edges(stored: DataFrame, group: list[str], sources: list[str], totals: dict
         last = edges.select(BUCKET, of("last").alias("_nb_key"))
         rows = stored.join(last, BUCKET, "left").where(F.struct(*group).eqNullSafe(F.col("_nb_key")))
         sums = rows.groupBy(BUCKET).agg(*[TOTALS[kind][0](value).alias(f"_nb_{out}") for out, (kind, value) in totals.items()])
-        edges = stored_table(edges.join(sums, BUCKET).coalesce(1), "slice-totals")
+        edges = stored_table(edges.join(sums, BUCKET).repartition(1), "slice-totals")
     along = Window.orderBy(SLICE)  # one row per slice
     edges = edges.withColumn("_nb_first_key", of("first")).withColumn("_nb_last_key", of("last"))
     carried = [
@@ -135,14 +136,17 @@ def stored_table(df: DataFrame, label: str) -> DataFrame:
 
 
 def slice_ends(stored: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(SLICE, BUCKET, first, last): the given columns of each slice's first and last row, stored; one row per slice."""
-    sizes = stored.groupBy(BUCKET, SLICE).agg(F.max(PLACE).alias("_last_place"))
-    ends = stored.select(*columns, BUCKET, SLICE, PLACE).join(sizes, [BUCKET, SLICE], "left")
+    """(SLICE, BUCKET, first, last): the given columns of each slice's first and last row, stored; one row per slice.
+
+    Every slice is read by a task of its own and no row is sorted; what meets in one task is the end rows.
+    """
+    sizes = stored.groupBy(BUCKET, SLICE).agg(F.max(PLACE).alias("_last_place"))  # one row per slice
+    ends = stored.select(*columns, BUCKET, SLICE, PLACE).join(F.broadcast(sizes), [BUCKET, SLICE], "left")
     ends = ends.where((F.col(PLACE) == 0) | (F.col(PLACE) == F.col("_last_place")))
     values = F.struct(*columns)
     return stored_table(ends.groupBy(SLICE, BUCKET).agg(
         F.min_by(values, PLACE).alias("first"), F.max_by(values, PLACE).alias("last")
-    ).coalesce(1), "slice-ends")
+    ).repartition(1), "slice-ends")
 
 
 def ordered_neighbours(

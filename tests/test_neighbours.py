@@ -119,3 +119,33 @@ def test_hot_block_is_spread_over_tasks(spark):
     ).collect()
     assert sum(r["n"] for r in rows) == n_rows and max(r["n"] for r in rows) <= 2 * n_rows / 16
     assert all(r["wrong"] == 0 and r["wrong_lag"] == 0 for r in rows)
+
+
+def test_edges_are_found_slice_by_slice(spark, monkeypatch):
+    """No task reads or sorts all stored rows for the edges: one task gets the edge rows only."""
+    from revcurve.operators import neighbours as N
+
+    plans, stored_table = [], N.stored_table
+
+    def spied(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored_table(df, label)
+
+    monkeypatch.setattr(N, "stored_table", spied)
+    df = spark.createDataFrame(_rows(5, 2000), SCHEMA)
+    assert ordered_neighbours(df, ["g"], ["d", "o"], lag={"pv": "v"}, count_before="n").count() == 2000
+    assert len(plans) == 2  # the ends, the totals
+    for plan in plans:
+        assert "Coalesce 1" not in plan and "SinglePartition" in plan, plan
+        assert "SortMergeJoin" not in plan, plan
+
+
+def test_slices_grow_with_the_input(spark, monkeypatch):
+    """Above the session's shuffle partitions, a slice stands for 16 MB of files."""
+    from revcurve.operators import neighbours as N
+
+    monkeypatch.setattr(N, "scanned_bytes", lambda df: 40 * N.ORDERED_BYTES)
+    df = spark.createDataFrame(_rows(6, 500), SCHEMA)
+    stored = N.store_in_order(df, ["g", "d", "o"])
+    assert stored.select(N.SLICE).distinct().count() > 20
+    assert N.slice_count(df) == int(spark.conf.get("spark.sql.shuffle.partitions"))
