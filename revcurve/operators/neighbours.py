@@ -149,6 +149,17 @@ def slice_ends(stored: DataFrame, columns: Sequence[str]) -> DataFrame:
     ).repartition(1), "slice-ends")
 
 
+def whole_group_neighbours(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], lag: Mapping[str, str] | None = None, lead: Mapping[str, str] | None = None
+) -> DataFrame:
+    """:func:`ordered_neighbours` of groups that one task can hold: plain windows, no exchange if ``df`` is parted by the group."""
+    lag, lead = dict(lag or {}), dict(lead or {})
+    row = Window.partitionBy(*group).orderBy(*_ascending(list(dict.fromkeys([*order, *lag.values(), *lead.values()]))))
+    return df.select(
+        "*", *[F.lag(src).over(row).alias(out) for out, src in lag.items()], *[F.lead(src).over(row).alias(out) for out, src in lead.items()]
+    )
+
+
 def ordered_neighbours(
     df: DataFrame,
     group: Sequence[str],

@@ -36,7 +36,7 @@ row is kept; every flag is therefore ``coalesce(..., false)``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revcurve.functions import domain as D
@@ -202,6 +202,22 @@ def flagged_rows(sales: DataFrame) -> DataFrame:
     )
 
 
+def flagged_rows_within(sales: DataFrame) -> DataFrame:
+    """:func:`flagged_rows` of customers whose rows one task can hold: windows, no exchange if ``sales`` is parted by customer.
+
+    The windows go from block to (customer, product) to customer, so one sort serves all three. NULL keys form groups
+    here; the conditions on the rows leave these out.
+    """
+    product, customer = Window.partitionBy("customer", "product_code"), Window.partitionBy("customer")
+    block = Window.partitionBy("customer", "product_code", "processed_date")
+    day = F.col("processed_date")
+    dd = deduplicate(sales)
+    rows = dd.select("*", *[e.over(block).alias(n) for n, e in _facts(dd)]).select(
+        "*", F.min(day).over(product).alias("_first_day"), F.max(day.isNull()).over(product).alias("_null_day")
+    ).select("*", F.min(F.when(F.col("customer_status") == D.NEW_CUSTOMER, day)).over(customer).alias("_first_nc_day"))
+    return rows.select(*D.SALES_COLUMNS, *_flags())
+
+
 def _keys_present(*cols: str):
     cond = F.lit(True)
     for c in cols:
@@ -222,10 +238,10 @@ def removal_conditions():
     }
 
 
-def clean_rows(sales: DataFrame, removals: tuple[str, ...] = ("t07", "t08", "t09", "t10")) -> DataFrame:
+def clean_rows(sales: DataFrame, removals: tuple[str, ...] = ("t07", "t08", "t09", "t10"), with_flags=flagged_rows) -> DataFrame:
     """Deduplicated rows that survive the chosen removals (raw nine columns)."""
     flagged = [r for r in ("t08", "t09", "t10") if r in removals]
-    rows = flagged_rows(sales) if flagged else deduplicate(sales)
+    rows = with_flags(sales) if flagged else deduplicate(sales)
     keep = F.lit(True)
     if "t07" in removals:
         keep = keep & ~free_renewal_condition()
@@ -289,9 +305,9 @@ def derive_columns(rows: DataFrame) -> DataFrame:
     )
 
 
-def staging_model(sales: DataFrame) -> DataFrame:
+def staging_model(sales: DataFrame, with_flags=flagged_rows) -> DataFrame:
     """t16: the whole staging model (twelve columns)."""
-    return derive_columns(clean_rows(sales))
+    return derive_columns(clean_rows(sales, with_flags=with_flags))
 
 
 def derived_column(sales: DataFrame, which: str) -> DataFrame:

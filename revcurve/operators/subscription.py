@@ -51,10 +51,10 @@ def projection(stg: DataFrame) -> DataFrame:
     return stg.select(*D.STAGING_COLUMNS)
 
 
-def transaction_history(stg: DataFrame) -> DataFrame:
+def transaction_history(stg: DataFrame, neighbours=ordered_neighbours) -> DataFrame:
     """m02 + m03: neighbours within (customer, product) and the two gap intervals."""
     base = projection(stg).withColumn("_total_c", to_cents("total_amount_in_usd"))
-    nb = ordered_neighbours(
+    nb = neighbours(
         base, ["customer", "product_code"], list(HISTORY_ORDER),
         lag={"previous_date": "processed_date", "_prev_total_c": "_total_c"},
         lead={"next_date": "processed_date", "_next_total_c": "_total_c"},
@@ -115,9 +115,9 @@ def billing_rule():
     return expr.otherwise(F.lit(len(rules)))
 
 
-def classified(stg: DataFrame) -> DataFrame:
+def classified(stg: DataFrame, neighbours=ordered_neighbours) -> DataFrame:
     """m04 rows: each purchase with its intervals and final billing interval."""
-    h = transaction_history(stg)
+    h = transaction_history(stg, neighbours)
     return h.select(
         "customer", "product_code", "customer_status", "updated_license_type", "processed_date",
         "paid_amount_in_usd", "updated_discount_in_usd", "total_amount_in_usd",

@@ -1,4 +1,4 @@
-"""The models kept up to date batch by batch: only the customers of a batch are computed again.
+"""The models kept up to date batch by batch: only the parts that hold customers of a batch are computed again.
 
 Every rule of the models looks at one customer's rows, so a batch of sales changes the staging rows, the
 transitions and the change events of the customers in it, and of nobody else. The tables lie under one folder,
@@ -8,10 +8,14 @@ parted by a hash of the customer:
 ``stg_sales_data``, ``mart_transactional_analysis``, ``change_events``   the customers' rows, ``part=<n>``
 ``month_changes``  per part and month the sums that the subscription mart is made of
 
-:func:`add_batch` stores the batch, finds its customers and their parts, computes these customers again from all
-their raw rows, joins them to the other customers of the same parts and replaces those parts (dynamic partition
-overwrite). A part that no customer of the batch falls into is neither read nor written. The subscription
-mart is then a sum over parts x months rows.
+:func:`add_batch` stores the batch, finds the parts of its customers, computes these parts again from all their raw
+rows and replaces them (dynamic partition overwrite). A part that no customer of the batch falls into is neither
+read nor written. The subscription mart is then a sum over parts x months rows.
+
+The raw rows are moved once, by customer: staging is stored in buckets of customers, and the staging rules, the
+transitions and the billing intervals are windows within a bucket. So no row of another customer is looked up or
+joined, and nothing is moved again to be written. A customer with more rows than a task should hold goes
+through the operators of the full models, which spread it.
 
 Whatever a run left behind when it was lost, running the same batch again gives the same tables: the raw
 rows of a batch replace those of an earlier try, and all else is a function of the raw rows. Batches may come
@@ -20,6 +24,7 @@ in any order, overlap, repeat rows or bring old days.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Sequence
 
@@ -31,13 +36,15 @@ from revcurve.operators import staging as T
 from revcurve.operators import subscription as M
 from revcurve.operators import transitions as J
 from revcurve.operators.explore import deduplicate
+from revcurve.operators.neighbours import ORDERED_BYTES, slice_count, stored_table, whole_group_neighbours
 from revcurve.plans.models import STAGING, TRANSACTIONAL
 from revcurve.plans.session import ensure_checkpoint_dir
-from revcurve.sources.files import delete_folder, folder_exists
+from revcurve.sources.files import delete_folder, folder_exists, save_model_table
 
 RAW, EVENTS, MONTHS = "raw", "change_events", "month_changes"
 PART = "part"
 PARTS = 64
+WHOLE_ROWS = 1 << 20
 
 
 def part_of(parts: int) -> Column:
@@ -59,17 +66,18 @@ def _held(path: str, like: DataFrame, hit: Sequence[int]) -> DataFrame:
     return like.sparkSession.read.schema(like.schema).parquet(path).where(F.col(PART).isin(list(hit)))
 
 
+def _files(path: str, like: DataFrame) -> set[str]:
+    return set(like.sparkSession.read.schema(like.schema).parquet(path).inputFiles())
+
+
 def _replace(path: str, rows: DataFrame, hit: Sequence[int]) -> None:
-    """Make ``rows`` the content of the parts ``hit``; parts left without rows are deleted."""
-    spark = rows.sparkSession
-    temporary = f"{ensure_checkpoint_dir(spark).rstrip('/')}/revcurve-parts-{uuid.uuid4().hex}"
-    rows.write.parquet(temporary)  # the rows may come from the parts they replace
-    new = spark.read.schema(rows.schema).parquet(temporary)
-    new.repartition(PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
-    filled = {r[PART] for r in new.select(PART).distinct().collect()}  # at most one row for each part
-    for part in set(hit) - filled:
+    """Make ``rows``, which must not read the table, the content of the parts ``hit``; parts left without rows are deleted."""
+    spark, before = rows.sparkSession, _files(path, rows)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
+    # a part that was written holds new files only
+    kept = {int(re.search(rf"/{PART}=(-?\d+)/", f)[1]) for f in before & _files(path, rows)}
+    for part in kept & set(hit):
         delete_folder(spark, f"{path}/{PART}={part}")
-    delete_folder(spark, temporary)
 
 
 def _begin(path: str, like: DataFrame) -> None:
@@ -78,31 +86,53 @@ def _begin(path: str, like: DataFrame) -> None:
         like.drop(PART).limit(0).coalesce(1).write.parquet(f"{path}/{PART}=-1")
 
 
-def add_batch(spark: SparkSession, root: str, batch: DataFrame, batch_id: str, parts: int = PARTS) -> list[int]:
+def _staged(raw: DataFrame, parts: int, path: str) -> DataFrame:
+    """The staging model of customers whose rows one task can hold, stored by customer: what runs by customer then needs no exchange.
+
+    The number of buckets is a multiple of ``parts``, so a bucket's customers are of one part.
+    """
+    spark, buckets = raw.sparkSession, parts * -(-slice_count(raw, ORDERED_BYTES) // parts)
+    name = f"revcurve_staged_{uuid.uuid4().hex}"
+    by_customer = raw.select(*D.SALES_COLUMNS).repartition(buckets, "customer")
+    save_model_table(T.staging_model(by_customer, T.flagged_rows_within), name, bucket_by="customer", buckets=buckets, path=path)
+    stored = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalog entry only: the files are external to it
+    return stored
+
+
+def add_batch(spark: SparkSession, root: str, batch: DataFrame, batch_id: str, parts: int = PARTS, whole_rows: int = WHOLE_ROWS) -> list[int]:
     """Add the sales rows of ``batch`` to the tables under ``root``; returns the parts it changed.
 
-    ``parts`` must stay the same for all batches of a folder. A batch without rows changes nothing.
+    ``parts`` must stay the same for all batches of a folder. A batch without rows changes nothing. Customers of more
+    than ``whole_rows`` rows are computed by the operators that spread a customer over tasks; no result depends on it.
     """
     root = root.rstrip("/")
     of_batch = f"{root}/{RAW}/batch={batch_id}"
     rows = deduplicate(batch).withColumn(PART, part_of(parts))
-    rows.repartition(PART).write.mode("overwrite").partitionBy(PART).parquet(of_batch)
+    rows.write.mode("overwrite").partitionBy(PART).parquet(of_batch)
     if not spark.read.schema(rows.schema).parquet(of_batch).head(1):
         return []
-    customers = spark.read.parquet(of_batch).select("customer", PART).distinct()
-    hit = sorted(r[PART] for r in customers.select(PART).distinct().collect())  # at most one row for each part
-    customers = customers.select("customer")
+    hit = sorted(r[PART] for r in spark.read.parquet(of_batch).select(PART).distinct().collect())  # at most one row for each part
 
-    raw = _of(spark.read.parquet(f"{root}/{RAW}").where(F.col(PART).isin(hit)), customers, "left_semi")
+    raw = spark.read.parquet(f"{root}/{RAW}").where(F.col(PART).isin(hit))
+    # at most one customer for every whole_rows rows
+    large = stored_table(raw.groupBy("customer").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > whole_rows).select("customer"), "large")
+    split = bool(large.head(1))
     staged = f"{ensure_checkpoint_dir(spark).rstrip('/')}/revcurve-staged-{uuid.uuid4().hex}"
-    T.staging_model(raw.select(*D.SALES_COLUMNS)).write.parquet(staged)
-    stg = spark.read.parquet(staged)
-    for name, new in (
-        (STAGING, stg), (TRANSACTIONAL, J.transactional_mart(stg)), (EVENTS, M.change_events(M.classified(stg))),
-    ):
+    stg = _staged(_of(raw, F.broadcast(large), "left_anti") if split else raw, parts, staged)
+    models = {
+        STAGING: stg, TRANSACTIONAL: J.transactional_mart(stg, whole_group_neighbours),
+        EVENTS: M.change_events(M.classified(stg, whole_group_neighbours)),
+    }
+    if split:
+        spread = stored_table(T.staging_model(_of(raw, F.broadcast(large), "left_semi").select(*D.SALES_COLUMNS)), "staged-large")
+        models[STAGING] = stg.unionByName(spread)
+        models[TRANSACTIONAL] = models[TRANSACTIONAL].unionByName(J.transactional_mart(spread))
+        models[EVENTS] = models[EVENTS].unionByName(M.change_events(M.classified(spread)))
+    for name, new in models.items():
         new = new.withColumn(PART, part_of(parts))
         _begin(f"{root}/{name}", new)
-        _replace(f"{root}/{name}", _of(_held(f"{root}/{name}", new, hit), customers, "left_anti").unionByName(new), hit)
+        _replace(f"{root}/{name}", new, hit)
     months = M.month_changes(_held(f"{root}/{EVENTS}", new, hit), (PART,))
     _begin(f"{root}/{MONTHS}", months)
     _replace(f"{root}/{MONTHS}", months, hit)

@@ -77,3 +77,24 @@ def test_parts_can_become_empty(spark, tmp_path):
     free = free.withColumn("discount_id", F.lit(None).cast("bigint"))
     I.add_batch(spark, str(tmp_path / "free"), free, "1", parts=2)
     assert I.staging(spark, str(tmp_path / "free")).count() == 0 and I.subscription_mart(spark, str(tmp_path / "free")).count() == 0
+
+
+def test_large_customers_give_the_same_tables(spark, sales, tmp_path):
+    """Customers over ``whole_rows`` go through the operators that spread them; results are those of one load."""
+    late = F.coalesce(F.col("processed_date") >= "2019-06-01", F.lit(False))
+    assert sales.groupBy("customer").count().where("count > 10").count() > 0
+    for name, rows in (("late", sales.filter(late)), ("others", sales.filter(~late))):
+        I.add_batch(spark, str(tmp_path), rows, name, parts=4, whole_rows=10)
+    _check(spark, str(tmp_path), sales)
+
+
+def test_rows_of_a_batch_move_once(spark, sales, monkeypatch):
+    """Staging has one exchange, by customer; the transitions and intervals have none."""
+    plans, plan = [], lambda df: df._jdf.queryExecution().executedPlan().toString()
+    staging, mart, classified = T.staging_model, J.transactional_mart, M.classified
+    for module, name, fn in ((T, "staging_model", staging), (J, "transactional_mart", mart), (M, "classified", classified)):
+        monkeypatch.setattr(module, name, lambda *a, fn=fn, **k: plans.append(plan(fn(*a, **k))) or fn(*a, **k))
+    I.add_batch(spark, f"{I.ensure_checkpoint_dir(spark)}/moves-once", sales, "all", parts=4)
+    # a plan names each exchange once; that of the rows is by customer alone
+    assert len(plans) == 3 and [p.count("Exchange hashpartitioning") for p in plans] == [1, 0, 0], plans
+    assert not any("Join" in p for p in plans)
