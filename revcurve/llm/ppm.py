@@ -11,7 +11,8 @@ larger than those of their suffixes, the excluded mass is one number per context
 worked out once.
 
 Counting covers every byte of every training text: tasks merge their (ORDER + 1)-byte windows
-before the shuffle, and shorter contexts are sums of longer ones. Nothing is cut: every node that
+before the shuffle, deal them by key and send each share as arrays, which the task that gets the share merges;
+shorter contexts are sums of longer ones. Nothing is cut: every node that
 occurs once stays, so the model grows with the text. All levels lie in stored tables (a node's code
 carries its level), joined only where a key has at most 256 rows: nodes with their suffix, contexts
 with their parent.
@@ -40,13 +41,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revcurve.llm.common import LOWER, LookupTable, chunks, share, shared, span_hashes, store, text_of, word_spans
+from revcurve.llm.common import LOWER, LookupTable, chunks, mix64, share, shared, span_hashes, store, text_of, word_spans
+from revcurve.operators.neighbours import slice_count
 
 ORDER = 6
 SYMBOLS = 255  # all bytes but START
 START, STOP = 0xFE, 0xFF  # neither byte occurs in UTF-8 text
 END_WORD = 0
 MERGE_ROWS = 1 << 20
+SHARE_BYTES = 16 << 20  # input files for each share of the counted keys
+COUNTS = "kind tinyint, key bigint, n bigint"
+SHARES = "share int, kind tinyint, keys binary, n binary, large binary"
 
 
 def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,11 +65,9 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     stream[first + n] = STOP
     is_symbol = np.ones(total, bool)
     is_symbol[(first[:, None] - np.arange(1, ORDER + 1)).reshape(-1)] = False
-    code = stream.astype(np.int64)
-    shifted = stream.astype(np.int64)
-    for back in range(1, ORDER + 1):
-        code[back:] |= shifted[:-back] << (8 * back)
-    return code[is_symbol], np.repeat(np.arange(len(n)), n + 1)
+    # every eight bytes that end in a symbol, the first of them cut off
+    eight = np.ndarray((total,), ">i8", np.concatenate([np.full(7, START, np.uint8), stream]), strides=(1,))
+    return eight[is_symbol].astype(np.int64) & ((1 << 8 * (ORDER + 1)) - 1), np.repeat(np.arange(len(n)), n + 1)
 
 
 def words(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,9 +84,11 @@ class _Counter:
         self.rows = 0
 
     def add(self, keys: np.ndarray) -> None:
-        got = np.unique(keys, return_counts=True)
-        self.parts.append(got)
-        self.rows += len(got[0])
+        self.add_counted(*np.unique(keys, return_counts=True))
+
+    def add_counted(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((keys, counts))
+        self.rows += len(keys)
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.parts:
@@ -97,15 +102,36 @@ class _Counter:
         return self.parts[0] if self.parts else (keys, counts)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, key, n): windows (kind 0) and words (kind 1) of a task's texts."""
+def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of ``values``, cut at ``ends`` (numbers of values)."""
+    offsets = np.concatenate([[0], ends * values.itemsize]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def _shares(kind: int, keys: np.ndarray, n: np.ndarray, shares: int) -> pa.RecordBatch:
+    """SHARES: the counts dealt by key; a count takes one byte, one of 255 or more stands in ``large`` as well."""
+    share_of = (mix64(keys.view(np.uint64)) % np.uint64(shares)).astype(np.int32 if shares > 1 << 15 else np.int16)
+    order = np.argsort(share_of, kind="stable")
+    keys, n = keys[order], n[order]
+    sizes, big = np.bincount(share_of, minlength=shares), n >= 255
+    larges = np.bincount(share_of[order][big], minlength=shares)
+    used = np.flatnonzero(sizes)
+    ends, large_ends = np.cumsum(sizes)[used], np.cumsum(larges)[used]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(used.astype(np.int32)), pa.array(np.full(len(used), kind, np.int8)), _binary(keys, ends),
+         _binary(np.minimum(n, 255).astype(np.uint8), ends), _binary(n[big], large_ends)],
+        ["share", "kind", "keys", "n", "large"],
+    )
+
+
+def _count(batches: Iterator[pa.RecordBatch], shares: int) -> Iterator[pa.RecordBatch]:
+    """SHARES: windows (kind 0) and words (kind 1) of a task's texts."""
     counters = (_Counter(), _Counter())
 
     def flush(kind: int) -> Iterator[pa.RecordBatch]:
         keys, n = counters[kind].merged()
-        for lo in range(0, len(keys), 1 << 18):
-            part = keys[lo : lo + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int8)), pa.array(part), pa.array(n[lo : lo + (1 << 18)])], ["kind", "key", "n"])
+        for lo in range(0, len(keys), 1 << 21):
+            yield _shares(kind, keys[lo : lo + (1 << 21)], n[lo : lo + (1 << 21)], shares)
         counters[kind].parts, counters[kind].rows = [], 0
 
     for batch in batches:
@@ -123,6 +149,25 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(kind)
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """COUNTS: each key of a task's shares once."""
+    counters, held = (_Counter(), _Counter()), [MERGE_ROWS, MERGE_ROWS]
+    for batch in batches:
+        kinds = batch.column(1).to_pylist()
+        for kind, keys, small, large in zip(kinds, *(batch.column(c) for c in (2, 3, 4)), strict=True):
+            n = np.frombuffer(small.as_buffer(), np.uint8).astype(np.int64)
+            n[n == 255] = np.frombuffer(large.as_buffer(), np.int64)
+            counters[kind].add_counted(np.frombuffer(keys.as_buffer(), np.int64), n)
+            if counters[kind].rows > 2 * held[kind]:
+                counters[kind].merged()
+                held[kind] = max(MERGE_ROWS, counters[kind].rows)
+    for kind, counter in enumerate(counters):
+        keys, n = counter.merged()
+        for lo in range(0, len(keys), 1 << 18):
+            part = keys[lo : lo + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int8)), pa.array(part), pa.array(n[lo : lo + (1 << 18)])], ["kind", "key", "n"])
+
+
 class Trie:
     """Trie levels in memory with their log probabilities (base 10): what the stored tables are tested against."""
 
@@ -205,6 +250,19 @@ def _tail(keys: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarray,
     return keys[new], np.diff(np.append(new, len(keys))), np.bincount(rows[new], minlength=n_rows)
 
 
+def _window_tail(codes: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`_tail` of windows in row order: their seven bytes leave one for the row, so 256 rows are one plain sort."""
+    codes = codes.view(np.uint64) | ((rows & 255).astype(np.uint64) << np.uint64(56))
+    cuts = np.searchsorted(rows, np.arange(0, n_rows + 256, 256))
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        codes[lo:hi].sort()
+    first = np.ones(len(codes), bool)
+    first[1:] = codes[1:] != codes[:-1]
+    first[cuts[cuts < len(codes)]] = True
+    new = np.flatnonzero(first)
+    return (codes[new] & np.uint64((1 << 56) - 1)).view(np.int64), np.diff(np.append(new, len(codes))), np.bincount(rows[new], minlength=n_rows)
+
+
 class Head:
     """The frequent windows with their log probabilities (base 10), and the frequent words."""
 
@@ -216,13 +274,14 @@ class Head:
     def score(self, arr: pa.Array) -> pa.StructArray:
         """n_tokens, known, base and score of what travels with the model, and the other words and windows with their counts."""
         n_tokens, known, base, score, tails = [], [], [], [], ([], [])
+        logs = np.append(self.window_logs, 0.0)  # the last one is for windows that are not here
         for _, _, data, offsets in chunks(arr):
             low, n_rows = LOWER[data], len(offsets) - 1
             codes, rows = windows(low, offsets)
             at = self.window_table.find(codes.view(np.uint64))
-            hit = at >= 0
-            score.append(np.bincount(rows[hit], self.window_logs[at[hit]], n_rows))
-            tails[0].append(_tail(codes[~hit], rows[~hit], n_rows))
+            score.append(np.add.reduceat(logs[at], offsets[:-1] + np.arange(n_rows)))
+            miss = at < 0
+            tails[0].append(_window_tail(codes[miss], rows[miss], n_rows))
             found, word_rows = words(low, offsets)
             found = np.concatenate([found, np.full(n_rows, END_WORD, np.int64)])
             word_rows = np.concatenate([word_rows, np.arange(n_rows)])
@@ -307,9 +366,9 @@ class Model:
 def train(docs: DataFrame, train_rows: Column, text_col: str = "text", keep: float = 1e-7, keep_words: float = 2.5e-7) -> Model:
     """Count the training texts and build the model; ``keep`` and ``keep_words`` bound what is broadcast of it."""
     texts = docs.where(train_rows).select(text_of(text_col).alias("text"))
-    counts = store(
-        texts.mapInArrow(_count, "kind tinyint, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")), "ppm-counts"
-    )
+    shares = slice_count(docs, SHARE_BYTES)
+    dealt = texts.mapInArrow(lambda batches: _count(batches, shares), SHARES).repartitionById(shares, "share")
+    counts = store(dealt.mapInArrow(_merge, COUNTS), "ppm-counts")
     words_of = counts.where("kind = 1").select("key", "n")
     totals = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).collect()}
     tokens, distinct = (totals[1]["n"], totals[1]["distinct"]) if 1 in totals else (0, 0)
@@ -360,9 +419,12 @@ def unseen(keys: DataFrame, model: Model) -> DataFrame:
     return here.select(_bytes(node).alias("key"), F.col("start").alias("log"))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` without its text, with lm_tokens, lm_known, lm_base and lm_score (log10 probabilities)."""
-    clash = {"lm_tokens", "lm_known", "lm_base", "lm_score", "lm_row"} & set(docs.columns)
+def score(docs: DataFrame, model: Model, text_col: str = "text", trained: Column | None = None) -> DataFrame:
+    """``docs`` without its text, with lm_tokens, lm_known, lm_base and lm_score (log10 probabilities).
+
+    ``trained`` is true only for rows whose texts the model was trained on: no window of theirs is new to it.
+    """
+    clash = {"lm_tokens", "lm_known", "lm_base", "lm_score", "lm_row", "lm_trained"} & set(docs.columns)
     if clash:
         raise ValueError(f"the input has columns named {sorted(clash)}; rename them")
     sent = share(docs.sparkSession, model.head)
@@ -375,13 +437,16 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield head.score(arr)
 
     rest = [c for c in docs.columns if c != text_col]
-    scored = store(docs.select(*rest, F.monotonically_increasing_id().alias("lm_row"), measure(text_of(text_col)).alias("m")), "ppm-scores")
+    known = F.lit(False) if trained is None else F.coalesce(trained, F.lit(False))
+    scored = store(
+        docs.select(*rest, known.alias("lm_trained"), F.monotonically_increasing_id().alias("lm_row"), measure(text_of(text_col)).alias("m")), "ppm-scores"
+    )
 
     def tail(kind: int, name: str) -> DataFrame:
         pairs = scored.select("lm_row", F.explode(F.arrays_zip(F.col(f"m.{name}").alias("key"), F.col(f"m.{name}_n").alias("times"))).alias("t"))
         return pairs.select("lm_row", F.lit(kind).alias("kind"), "t.key", "t.times")
 
-    new = store(scored.select(F.explode("m.windows").alias("key")).distinct().join(model.seen, "key", "left_anti"), "ppm-new")
+    new = store(scored.where(~F.col("lm_trained")).select(F.explode("m.windows").alias("key")).distinct().join(model.seen, "key", "left_anti"), "ppm-new")
     divisor = F.lit(model.head.divisor)
     values = model.seen.unionByName(unseen(new, model)).withColumn("kind", F.lit(0)).unionByName(
         model.counts.select("key", F.log10((F.col("n") + 1) / divisor).alias("log"), F.lit(1).alias("kind"))

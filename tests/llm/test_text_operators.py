@@ -215,6 +215,46 @@ def test_ppm_keeps_every_node_and_equals_the_trie_in_memory(spark):
     assert len(model.head.window_logs) == 0 and symbols > 60_000
 
 
+def test_ppm_counts_travel_as_arrays_dealt_by_key():
+    texts = ["ab ab ab", "", None, "x" * 700, "the end"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    sent = [b for _ in range(3) for b in ppm._count(iter([batch, batch]), 5)]  # three tasks
+    assert sum(b.num_rows for b in sent) <= 3 * 2 * 5  # a row for each task, kind and share, not for each key
+    got, table = {}, pa.Table.from_batches(sent)
+    for share in range(5):
+        own = [b.filter(pa.array([s == share for s in b.column(0).to_pylist()])) for b in table.to_batches()]
+        for b in ppm._merge(iter(own)):
+            for kind, key, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                assert (kind, key) not in got  # a key has one share
+                got[kind, key] = n
+    data, offsets = common.string_buffers(pa.array(texts))
+    want = {(0, int(k)): 6 * int(n) for k, n in zip(*np.unique(ppm.windows(data, offsets)[0], return_counts=True), strict=True)}
+    found = np.append(ppm.words(data, offsets)[0], [ppm.END_WORD] * len(texts))
+    want |= {(1, int(k)): 6 * int(n) for k, n in zip(*np.unique(found, return_counts=True), strict=True)}
+    assert got == want and max(want.values()) > 255
+
+
+def test_ppm_tail_of_windows_equals_the_plain_one():
+    rng = np.random.default_rng(3)
+    rows = np.sort(rng.integers(0, 900, 5000))
+    codes = rng.integers(0, 4, 5000) + (int(ppm.STOP) << 48)
+    for some in (slice(None), slice(0, 0)):
+        for a, b in zip(ppm._window_tail(codes[some], rows[some], 900), ppm._tail(codes[some], rows[some], 900), strict=True):
+            assert a.tolist() == b.tolist()
+    same_byte = ppm._window_tail(np.array([9, 9]), np.array([5, 261]), 300)  # rows that differ by 256
+    assert same_byte[0].tolist() == [9, 9] and same_byte[1].tolist() == [1, 1]
+
+
+def test_ppm_looks_for_new_windows_in_untrained_rows_only(spark):
+    rows = [(i, t) for i, t in enumerate(["the one", "one two", None, "zq unseen", "the two two"])]
+    docs = spark.createDataFrame(rows, "id int, text string")
+    trained = F.col("id") < 3
+    model = ppm.train(docs, trained, keep=1.0)
+    want = {r["id"]: r["lm_score"] for r in ppm.score(docs, model).collect()}
+    got = {r["id"]: r["lm_score"] for r in ppm.score(docs, model, trained=trained).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
 # -- 3: SimHash --------------------------------------------------------------------------------
 def _slow_simhash(text, words=3):
     ws = (text or "").encode().lower().split()
