@@ -86,6 +86,14 @@ def test_observed_figures_equal_the_queries(spark, sales, tmp_path):
     assert read_model(spark, str(tmp_path / "stg")).exceptAll(stg).count() == 0
 
 
+def test_observed_figures_come_without_a_model_that_reads_the_rows(spark, sales, tmp_path):
+    """The figures were waited for without end."""
+    want = O.write_observed(sales, T.staging_model, str(tmp_path / "stg")).first()
+    other = spark.range(3)
+    assert O.write_observed(sales, lambda rows: other, str(tmp_path / "other")).first() == want
+    assert read_model(spark, str(tmp_path / "other")).count() == 3
+
+
 def test_merged_sets_of_two_halves_equal_the_whole(sales):
     old = F.coalesce(F.col("processed_date") < "2019-06-01", F.lit(False))
     parts = C.merged(C.customer_sets(sales.filter(old)), C.customer_sets(sales.filter(~old)))
