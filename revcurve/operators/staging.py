@@ -310,6 +310,11 @@ def staging_model(sales: DataFrame, with_flags=flagged_rows) -> DataFrame:
     return derive_columns(clean_rows(sales, with_flags=with_flags))
 
 
+def staging_model_within(sales: DataFrame) -> DataFrame:
+    """t16 of customers whose rows one task can hold: see :func:`flagged_rows_within`."""
+    return derive_columns(clean_rows(sales, with_flags=flagged_rows_within))
+
+
 def derived_column(sales: DataFrame, which: str) -> DataFrame:
     """t11-t15 on their own: the deduplicated rows plus one derived column."""
     dd = with_cents(deduplicate(sales))
