@@ -25,10 +25,11 @@ import heapq
 import os
 import re
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,38 +39,44 @@ from revcurve.operators.neighbours import BUCKET, SLICE, slice_count, store_slic
 
 CAPACITY = 2048
 END = 1
-CACHED_WORDS = 300_000  # words whose ids a Python worker remembers; only speed depends on it
-PART_CHARS = 1 << 20  # a longer text is tokenised in parts that end before white space
+CACHED_WORDS = 200_000  # words whose ids a Python worker remembers, and as many older ones; only speed depends on it
+PART_CHARS = 8 << 20  # texts are tokenised together up to this size; a longer one in parts that end before white space
+MODEL_WORDS = 10_000  # words that go to the model at once
 SPACE = " \t\n\r\x0b\x0c"
-SIGNS = b".,;:!?%$)"  # closing signs of words; none of them begins a contraction
+SIGNS = ".,;:!?%$)#&*+-/=@^_~"  # closing signs of words; none of them begins a contraction
 LATIN = "".join(c for c in map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0x180)]) if c.isalpha() and len(c.lower()) == 1)
 PLAIN = re.compile(f"[{LATIN}]+")
-ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+BORDERS = pa.array([*LATIN, *"0123456789"])  # signs behind these are encoded apart
 OUT_BYTES = 8 << 20
 _RANK_BITS = 44
 
 
 class Words(dict):
-    """Ids of words; a word that is asked for first is encoded then.
+    """Ids of words, encoded when they are asked for first.
 
     No token spans ASCII white space, so a text's ids are those of its words. Nor does one span the border
-    between an ASCII letter or digit and ASCII signs behind it, so a word and its closing signs are encoded
-    apart. Words of plain Latin letters go to the tokenizer's model directly, with the normalised form of
-    each letter looked up; all others through the whole tokenizer.
+    between a Latin letter or ASCII digit and ASCII signs behind it, so a word and its closing signs are encoded
+    apart. Words of plain Latin letters go to the tokenizer's model directly, many at once, with the normalised form of
+    each letter looked up: the model marks a word's last token. All others go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        self.older: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
-        self.model_ids = self.tokenizer.model.tokenize
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         size = self.tokenizer.get_vocab_size()
         self.type = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.raw = [np.array([i], self.type).tobytes() for i in range(size)]
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.zeros(size, bool)
+        if suffix:
+            self.last[[i for token, i in self.model.get_vocab().items() if token.endswith(suffix)]] = True
         self.letters = {ord(c): self._form(c) for c in LATIN}
-        probe = [LATIN, LATIN[::-1], LATIN[::3], "Naïve", "straße", "Œuvre"]
-        if None in self.letters.values() or any(self._plain(w) != self._whole(w) for w in probe):
+        probe = [LATIN, LATIN[::-1], LATIN[::3], "Naïve", "straße", "Œuvre", *LATIN]
+        if not suffix or None in self.letters.values() or self._plain(probe) != [self._whole(w) for w in probe]:
             self.letters = {}  # not a tokenizer that treats letters one by one
 
     def _form(self, letter: str) -> str | None:
@@ -78,25 +85,55 @@ class Words(dict):
         pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(text) if self.tokenizer.pre_tokenizer else [(text, None)]
         return pieces[0][0] if len(pieces) == 1 else None
 
-    def _plain(self, word: str) -> bytes:
-        raw = self.raw
-        return b"".join([raw[t.id] for t in self.model_ids(word.translate(self.letters))])
+    def _plain(self, words: list[str]) -> list[bytes]:
+        found = self.model.encode_batch_fast([" ".join(words).translate(self.letters)], add_special_tokens=False)[0].ids
+        ids = np.array(found, self.type)
+        ends = ((np.flatnonzero(self.last[ids]) + 1) * self.type.itemsize).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
     def _whole(self, word: str) -> bytes:
-        raw = self.raw
-        return b"".join([raw[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
-
-    def __missing__(self, word: bytes) -> bytes:
-        stem = word.rstrip(SIGNS)
-        if 0 < len(stem) < len(word) and stem[-1] in ALNUM and b"<" not in word:
-            ids = self[stem] + self[word[len(stem) :]]
-        else:
-            text = word.decode()
-            ids = self._plain(text) if self.letters and PLAIN.fullmatch(text) else self._whole(text)
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = ids
-        return ids
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.type).tobytes()
+
+    def look_up(self, words: list[str]) -> list[bytes]:
+        """The ids of each of ``words``, which are distinct."""
+        found = [*map(self.get, words)]
+        missing = [word for word, ids in zip(words, found) if ids is None]
+        if missing:
+            again = [*map(self.older.get, missing)]
+            new = [word for word, ids in zip(missing, again) if ids is None]
+            plain = [w for w in new if w.isalpha() and PLAIN.fullmatch(w)] if self.letters else []
+            learnt: dict[str, bytes] = {}
+            for at in range(0, len(plain), MODEL_WORDS):
+                some = plain[at : at + MODEL_WORDS]
+                learnt.update(zip(some, self._plain(some), strict=True))
+            again = [learnt.get(w) or self._whole(w) if ids is None else ids for w, ids in zip(missing, again)]
+            if len(self) + len(missing) > CACHED_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self.update(islice(zip(missing, again), CACHED_WORDS))
+            rest = iter(again)
+            found = [next(rest) if ids is None else ids for ids in found]
+        return found
+
+    def encode_all(self, texts: pa.StringArray, end: bytes = b"") -> pa.BinaryArray:
+        """The ids of each text, in ``type``, and ``end``."""
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary
+        stems = pc.ascii_rtrim(distinct, SIGNS)
+        apart = pc.and_not(pc.is_in(pc.utf8_slice_codeunits(stems, -1), BORDERS), pc.match_substring(distinct, "<"))
+        stem_bytes = pc.binary_length(pc.if_else(apart, stems, distinct)).to_numpy()
+        begin = np.frombuffer(distinct.buffers()[1], np.int32)[: len(distinct) + 1]
+        borders = np.empty(2 * len(distinct) + 1, np.int32)  # stem and signs of each word, in the words' own bytes
+        borders[::2], borders[1::2] = begin, begin[:-1] + stem_bytes
+        parts = pa.StringArray.from_buffers(len(borders) - 1, pa.py_buffer(borders), distinct.buffers()[2]).dictionary_encode()
+
+        found = pa.array(self.look_up(parts.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.binary()).take(parts.indices)
+        ids = pa.concat_arrays([_spans(found, slice(None, None, 2)), pa.array([end], pa.binary())])
+        ends = words.offsets.to_numpy()  # ``end`` goes behind the last word of each text
+        taken = ids.take(pa.array(np.insert(coded.indices.to_numpy(), ends[1:], len(ids) - 1)))
+        return _spans(taken, ends + np.arange(len(ends)))
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, in ``type``."""
@@ -105,14 +142,30 @@ class Words(dict):
             end = min(at + PART_CHARS, len(text))
             while end < len(text) and text[end] not in SPACE:
                 end += 1
-            out.append(b"".join(map(self.__getitem__, text[at:end].encode().split())))
+            out.append(self.encode_all(pa.array([text[at:end]]))[0].as_py())
             at = end
         return out[0] if len(out) == 1 else b"".join(out)
 
 
+def _spans(values: pa.BinaryArray, borders: slice | np.ndarray) -> pa.BinaryArray:
+    """Neighbouring ``values`` as one, between those at ``borders``; nothing is copied."""
+    offsets = np.ascontiguousarray(np.frombuffer(values.buffers()[1], np.int32)[: len(values) + 1][borders])
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), values.buffers()[2]])
+
+
 _WORDS: dict[str, Words] = {}
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of (id, text) in parts of at most PART_CHARS bytes of text; a longer text is alone."""
+    ends, lo = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(), dtype=np.int64), 0
+    while lo < batch.num_rows:
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + PART_CHARS, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def _tokenise(path: str, capacity: int, end_id: int):
     """Tasks: (id, text) to (id, ids, n_tokens, left, rank in task, whole sequences before in task, task)."""
 
@@ -121,17 +174,17 @@ def _tokenise(path: str, capacity: int, end_id: int):
         end = np.array([end_id], words.type).tobytes()
         seen, whole, task = np.zeros(capacity, np.int64), 0, TaskContext.get().partitionId()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                rows = batch.slice(lo, 256)
-                ids = [words.encode(t) + end for t in rows.column(1).to_pylist()]
-                n = np.array([len(i) for i in ids], np.int64) // words.type.itemsize
-                left, ranks, before = n % capacity, np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
+            for rows in _parts(batch):
+                texts = rows.column(1)
+                ids = words.encode_all(texts.cast(pa.string()), end) if len(texts) > 1 else pa.array([words.encode(texts[0].as_py()) + end], pa.binary())
+                n = pc.binary_length(ids).to_numpy().astype(np.int64) // words.type.itemsize
+                left, ranks, before = n % capacity, np.empty(len(n), np.int64), np.empty(len(n), np.int64)
                 for i, (length, count) in enumerate(zip(left.tolist(), (n // capacity).tolist())):
                     ranks[i], before[i] = seen[length], whole
                     seen[length] += 1
                     whole += count
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(ids, pa.binary()), pa.array(n), pa.array(left.astype(np.int32)), pa.array(ranks),
+                    [rows.column(0), ids, pa.array(n), pa.array(left.astype(np.int32)), pa.array(ranks),
                      pa.array(before), pa.array(np.full(len(ids), task, np.int32))],
                     names=["id", "ids", "n_tokens", "left", "rank", "whole_before", SLICE],
                 )

@@ -129,6 +129,45 @@ def test_words_survive_a_cleared_cache(monkeypatch):
     assert len(words) <= 3
 
 
+def test_closing_signs_and_odd_words_hold_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+
+    model, words = Tokenizer.from_file(WORDS), K.Words(WORDS)
+    texts = [f"{stem}{signs}" for stem in ["a", "É", "straße", "7", "ŉ", "İ", "×", "é\u0301", "日", "'s", "x<y", "<|endoftext|>", "&"] for signs in [*K.SIGNS, "&&&", ".,###", "'", ".'"]]
+    texts += [f"{letter}{sign}" for letter in K.LATIN for sign in ".=#"]
+    texts += ["", " ", "\x1c", "\u0085a\u00a0b", "=\u0338", "h\u0331 H\u0331. the The THE", "a\x0bb\x0cc\r\nd", "<|ENDOFTEXT|> <|startoftext|>.", "ba86-22c, 4.5%."]
+    want = [model.encode(t, add_special_tokens=False).ids for t in texts]
+    for rows in (texts, [""], [" ", ""], texts[::-1]):
+        got = words.encode_all(K.pa.array(rows), np.array([1], words.type).tobytes())
+        assert [np.frombuffer(ids, words.type).tolist() for ids in got.to_pylist()] == [[*want[texts.index(t)], 1] for t in rows]
+    sliced = words.encode_all(K.pa.array(texts)[5:90][3:])
+    assert [np.frombuffer(ids, words.type).tolist() for ids in sliced.to_pylist()] == want[8:90]
+
+
+def test_no_word_of_letters_is_encoded_alone_or_twice(monkeypatch):
+    whole, plain = [], []
+    words = K.Words(WORDS)
+    real_whole, real_plain = words._whole, words._plain
+    monkeypatch.setattr(words, "_whole", lambda w: whole.append(w) or real_whole(w))
+    monkeypatch.setattr(words, "_plain", lambda some: plain.append(some) or real_plain(some))
+    monkeypatch.setattr(K, "CACHED_WORDS", 6)
+    words.encode("thing&&& parché. ça, naïve### thing parché The")
+    assert not set("".join(whole)) & set(K.LATIN)
+    assert [sorted(some) for some in plain] == [sorted(["thing", "parché", "ça", "naïve", "The"])]
+    words.encode("one two three thing. four parché")  # the cache is full: what is needed again is kept
+    words.encode("one two three four thing parché")
+    assert sorted(w for some in plain[1:] for w in some) == ["four", "one", "three", "two"]
+
+
+def test_rows_are_tokenised_together_up_to_a_size_and_long_ones_alone(monkeypatch):
+    monkeypatch.setattr(K, "PART_CHARS", 10)
+    texts = ["a" * n for n in (4, 6, 1, 0, 25, 0, 9, 2, 11)]
+    batch = K.pa.RecordBatch.from_arrays([K.pa.array(range(len(texts))), K.pa.array(texts)], names=["id", "text"])
+    assert [part.column(0).to_pylist() for part in K._parts(batch)] == [[0, 1], [2, 3], [4], [5, 6], [7], [8]]
+    assert [part.column(0).to_pylist() for part in K._parts(batch[2:5])] == [[2, 3], [4]]
+    assert not list(K._parts(batch[:0]))
+
+
 def test_query_digest(spark):
     from revcurve.llm.registry import queries
 
