@@ -36,6 +36,8 @@ row is kept; every flag is therefore ``coalesce(..., false)``.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -305,14 +307,17 @@ def derive_columns(rows: DataFrame) -> DataFrame:
     )
 
 
-def staging_model(sales: DataFrame, with_flags=flagged_rows) -> DataFrame:
-    """t16: the whole staging model (twelve columns)."""
-    return derive_columns(clean_rows(sales, with_flags=with_flags))
+class ByCustomer(NamedTuple):
+    """Sales partitioned by customer, each customer's rows few enough for one task."""
 
+    rows: DataFrame
 
-def staging_model_within(sales: DataFrame) -> DataFrame:
-    """t16 of customers whose rows one task can hold: see :func:`flagged_rows_within`."""
-    return derive_columns(clean_rows(sales, with_flags=flagged_rows_within))
+
+def staging_model(sales: DataFrame | ByCustomer, with_flags=flagged_rows) -> DataFrame:
+    """t16: the whole staging model (twelve columns); of :class:`ByCustomer` rows by :func:`flagged_rows_within`."""
+    if isinstance(sales, ByCustomer):
+        sales, with_flags = sales.rows, flagged_rows_within
+    return derive_columns(clean_rows(sales, with_flags=with_flags))
 
 
 def derived_column(sales: DataFrame, which: str) -> DataFrame:

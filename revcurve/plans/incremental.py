@@ -94,7 +94,7 @@ def _staged(raw: DataFrame, parts: int, path: str) -> DataFrame:
     spark, buckets = raw.sparkSession, parts * -(-slice_count(raw, ORDERED_BYTES) // parts)
     name = f"revcurve_staged_{uuid.uuid4().hex}"
     by_customer = raw.select(*D.SALES_COLUMNS).repartition(buckets, "customer")
-    save_model_table(T.staging_model_within(by_customer), name, bucket_by="customer", buckets=buckets, path=path)
+    save_model_table(T.staging_model(T.ByCustomer(by_customer)), name, bucket_by="customer", buckets=buckets, path=path)
     stored = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the catalog entry only: the files are external to it
     return stored
